@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import sentencepiece_codec, token_counts
+from gridloom.llm import decontaminate, language_id, pii, sentencepiece_codec, simhash, token_counts
 from gridloom.llm.common import table
 
 
@@ -21,13 +22,42 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contract_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles and three differing bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=3)
+    return found.select("doc_id", simhash.hexed().alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.contract_rows(table(spark, sf_dir, "documents"))
+
+
+def held_out(column: str, parts: int) -> Column:
+    """Whether a document is kept from training; one with a null id is not."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % parts == 2, F.lit(False))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 4))
+    network = language_id.fit(docs.where(~F.col("held_out")))
+    return language_id.predict(docs, network).select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
+    "op8_language_id": op8_language_id,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
