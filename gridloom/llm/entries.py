@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, language_id, pii, sentencepiece_codec, simhash, token_counts
+from gridloom.llm import decontaminate, language_id, lm_score, pii, sentencepiece_codec, simhash, token_counts
 from gridloom.llm.common import table
 
 
@@ -47,6 +47,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, network).select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = lm_score.fit(docs.where(~held_out("doc_id", 7)))
+    scored = lm_score.score(docs, model, counts)
+    return scored.select("doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
+    "op9_lm_score": op9_lm_score,
     "op10_token_counts": op10_token_counts,
 }
 
