@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, language_id, lm_score, pii, sentencepiece_codec, simhash, token_counts
+from gridloom.llm import decontaminate, language_id, licenses, lm_score, media, pii, sentencepiece_codec, simhash, token_counts, url_filter
 from gridloom.llm.common import table
 
 
@@ -22,6 +22,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES, url_filter.listed_domains(spark))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contract_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +72,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_media": op2_media,
+    "op3_url_filter": op3_url_filter,
+    "op4_licenses": op4_licenses,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
@@ -68,4 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": url_filter.ORACLE,
+    "op5_decontaminate": decontaminate.ORACLE,
+}
