@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pyarrow as pa
 import pyarrow.compute
@@ -17,18 +18,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder named by ``spark.checkpoint.dir``.
-
-    A private folder is made only where the setting is absent (tests, one machine).
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a private one where that is unset (tests, one machine)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it again."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+class Memory:
+    """What was found out about strings, in two generations of bounded size.
+
+    When the young one is full it becomes the old one; what is used again moves back.
+    """
+
+    def __init__(self, size: int, longest: int) -> None:
+        self.size, self.longest = size, longest
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def of(self, wanted: set[str], make: Callable[[list[str]], Iterable[tuple[str, object]]]) -> Mapping[str, object]:
+        """A mapping that has all of ``wanted``; ``make`` is asked for what is not remembered."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = []
+        for x in wanted.difference(young):
+            if x in old:
+                young[x] = old[x]
+            else:
+                missing.append(x)
+        if not missing:
+            return young
+        made = dict(make(missing))
+        if len(made) + len(young) <= 2 * self.size and max(map(len, missing)) <= self.longest:
+            young.update(made)
+            return young
+        here = {x: young[x] for x in wanted if x in young} | made
+        young.update((x, v) for x, v in made.items() if len(x) <= self.longest and len(young) < 2 * self.size)
+        return here
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Cut Arrow batches into runs of rows whose texts hold about ``limit`` characters.
 

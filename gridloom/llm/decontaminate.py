@@ -120,12 +120,8 @@ def occurrences(documents: DataFrame, phrases: DataFrame) -> DataFrame:
     return found.select("id", "h", (F.col("pos") - F.col("w.offset")).alias("start"), F.col("w.n").alias("n"), F.col("w.items").alias("items")).distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items, contaminated) of every row of ``docs``.
-
-    A word inside any occurrence of an item's window is hit. Contaminated: at least one
-    word in ``share`` is. ``items`` names the items with occurring windows, as sorted strings.
-    """
+def _verdicts(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id, h, n_words, n_hit, items, contaminated) of every row of ``docs``."""
     documents = keyed(docs, id_col, text_col)
     found = occurrences(documents, phrases_of(items, size, item_id_col, item_text_col))
     spans = F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end"))))
@@ -141,7 +137,24 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
     rows = base.join(hits, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     named = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(named).cast("long").alias("n_items"), named.alias("items"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return rows.select("id", "h", "n_words", n_hit.alias("n_hit"), named.alias("items"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id, n_words, n_hit, n_items, items, contaminated) of every row of ``docs``.
+
+    A word inside any occurrence of an item's window is hit. Contaminated: at least one
+    word in ``share`` is. ``items`` names the items with occurring windows, as sorted strings.
+    """
+    rows = _verdicts(docs, items, size, share, id_col, text_col, item_id_col, item_text_col)
+    return rows.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "contaminated")
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, as they are, that are not contaminated."""
+    bad = cut(_verdicts(docs, items, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct())
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__h"))
+    return docs.join(_near(bad, bad.count()), same, "left_anti")
 
 
 def near_each_other(docs: DataFrame, pairs: DataFrame, within: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

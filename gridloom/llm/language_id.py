@@ -289,3 +289,19 @@ def predict(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
     return rows.mapInArrow(run, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", id_col)
+
+
+def keep(df: DataFrame, network: Network, least: float = 0.35, text_col: str = "text") -> DataFrame:
+    """The rows, as they are, whose text has a language with a score of ``least`` or more."""
+    names = df.columns
+    plain = [f"c{k}" for k in range(len(names))]
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(network)
+        for part, texts in slices(batches, plain[at]):
+            found = labeller.probabilities(texts) if network.languages else [None] * len(texts)
+            yield part.filter(pa.array([p is not None and p.max() >= least for p in found], pa.bool_()))
+
+    rows = df.toDF(*plain)
+    return rows.mapInArrow(run, rows.schema).toDF(*names)

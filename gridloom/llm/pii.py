@@ -162,14 +162,13 @@ def bootstrap(docs: DataFrame, rounds: int = 3, confidence: float = 0.5, accept:
     return spots.groupBy("id", "h", "i").agg(best.alias("kind"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id, h, base, spans): spans by form, and all spans; both as (start, rank of the kind, end)."""
-    base = base_spans(docs, id_col, text_col)
+def added_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id2, h2, added): spans that context tells, of the documents that have any."""
     new = cut(bootstrap(docs, id_col=id_col, text_col=text_col, **options))
+    few = new.select(F.col("id").alias("id2"), F.col("h").alias("h2")).distinct()
     # Where the new words stand in their texts: running lengths, of the documents concerned only.
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).join(
-        new.select(F.col("id").alias("id2"), F.col("h").alias("h2")).distinct(), F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left_semi"
-    )
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    rows = rows.join(_near(few, new.count()), F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left_semi")
     rows = rows.dropDuplicates(["id", "h"]).select("id", "h", F.posexplode(_words(F.col("t"))).alias("i", "word"))
     rows = rows.select("id", "h", "i", "word", F.expr("sum(length(word)) over (partition by id, h order by i) - length(word)").alias("offset"))
     new = new.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("i").alias("i2"), "kind")
@@ -178,11 +177,32 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     start = (F.col("offset") + F.length(F.regexp_extract("word", r"^[^\p{L}0-9+(]*", 0))).cast("int")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     added = placed.groupBy("id", "h").agg(F.collect_list(F.struct(start.alias("start"), rank.alias("rank"), (start + F.length(core)).alias("end"))).alias("added"))
-    added = added.select(F.col("id").alias("id2"), F.col("h").alias("h2"), "added")
+    return added.select(F.col("id").alias("id2"), F.col("h").alias("h2"), "added")
+
+
+def _joint(base: Column, added: Column) -> Column:
+    """All spans by form, and those by context that touch none of them."""
+    apart = F.filter(added, lambda a: ~F.exists(base, lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"])))
+    return F.when(added.isNull(), base).otherwise(F.array_sort(F.concat(base, apart)))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, h, base, spans): spans by form, and all spans; both as (start, rank of the kind, end)."""
+    base = base_spans(docs, id_col, text_col)
+    added = added_spans(docs, id_col, text_col, **options)
     both = base.join(added, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
-    apart = F.filter("added", lambda a: ~F.exists("base", lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"])))
-    spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", apart)))
-    return both.select("id", "h", "base", spans.alias("spans"))
+    return both.select("id", "h", "base", _joint(F.col("base"), F.col("added")).alias("spans"))
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, with each identifier in the text replaced by its kind; null texts stay null."""
+    added = cut(added_spans(docs, id_col, text_col, **options))
+    added = added.select(F.col("id2").alias("__id"), F.col("h2").alias("__h"), F.col("added").alias("__added"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    rows = docs.withColumn("__base", F.array_sort(F.concat(*(_spans(text, k) for k in KINDS))))
+    rows = rows.join(_near(added, added.count()), rows[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(rows[text_col]) == F.col("__h")), "left")
+    masked = redacted(F.col(text_col), _joint(F.col("__base"), F.col("__added")))
+    return rows.withColumn(text_col, masked).select(*docs.columns)
 
 
 def listed(spans: Column) -> Column:

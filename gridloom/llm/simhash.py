@@ -187,3 +187,14 @@ def near_duplicates(df: DataFrame, width: int = 5, distance: int = 3, blocks: in
 def hexed(fp: str = "fp"):
     """A fingerprint as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+def keep_one(df: DataFrame, width: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, as it is: that of the least id (rows without id come last), and of equal rows any."""
+    key = F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("a"), F.hash(id_col, text_col).alias("b"))
+    found = cut(near_duplicates(df.select(key.alias("key"), F.col(text_col).alias("text")), width, distance, id_col="key", text_col="text"))
+    first = found.select("component.a", "component.b").distinct().select(F.col("a").alias("__a1"), F.col("b").alias("__b1"))
+    rows = df.withColumns({"__a": F.xxhash64(id_col, text_col), "__b": F.hash(id_col, text_col)})
+    if not found.groupBy("key").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["__a", "__b"])
+    return rows.join(first, (F.col("__a") == F.col("__a1")) & (F.col("__b") == F.col("__b1")), "left_semi").drop("__a", "__b")
