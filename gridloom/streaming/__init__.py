@@ -1,0 +1 @@
+"""Nothing yet: clustering is a batch job, and a stream of points has no labels until it ends."""
