@@ -1,0 +1,103 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from gridloom import Params, dbscan
+from gridloom.operators import density
+from gridloom.plans import summary
+from gridloom.plans.cells import Cells
+from tests import brute
+from tests.data import NINETEEN, frame
+
+
+def clusters(spark, points, params):
+    return [r.cluster_id for r in dbscan(frame(spark, points), params).orderBy("id").collect()]
+
+
+FIXTURES = [
+    ([(0, 0), (0.1, 0.1), (0.2, 0), (10, 10), (10.1, 10.1), (10.2, 10), (50, 50)], Params(0.5, 2), [1, 1, 1, 2, 2, 2, -1]),
+    ([(0.1, 0.1), (1.9, 0.1), (2.1, 0.1), (4.0, 4.0)], Params(1, 2, 2, 1), [-1, 1, 1, -1]),
+    ([(0.2, 0.2), (0.25, 0.2), (0.2, 0.25), (0.25, 0.25), (0.7, 0.7)], Params(0.12, 2), [1, 1, 1, 1, -1]),
+    (NINETEEN, Params(0.15, 2), [1, 1, 1, 1, 2, 1, 1, 1, 1, -1, 2, 2, 2, 2, 2, 2, 2, 2, 2]),
+    (NINETEEN, Params(0.18, 4), [1, 1, 1, 1, -1, 1, 1, -1, -1, -1, 2, 2, 2, 2, 2, 2, -1, -1, -1]),
+]
+
+
+@pytest.mark.parametrize(("points", "params", "want"), FIXTURES)
+def test_fixtures(spark, points, params, want):
+    assert clusters(spark, points, params) == want == brute.labels(points, params)[0]
+
+
+def test_points_that_a_scan_leaves_out(spark):
+    points = [(0, 0), (2.7, 0), (1.8, 0), (0.9, 0), (3.6, 0)]
+    assert clusters(spark, points, Params(1, 3)) == [1, 1, 1, 1, 1]
+    assert clusters(spark, points, Params(1, 3, border_mode="visit_order")) == [-1, 1, 1, 1, 1] == brute.visited(points, Params(1, 3))
+
+
+def cloud(seed, n, dims):
+    rng = np.random.default_rng(seed)
+    centres = rng.random((6, dims)) * 2 - 1
+    near = centres[rng.integers(0, 6, n)] + rng.normal(0, 0.05, (n, dims))
+    data = np.concatenate([near, rng.random((n // 3, dims)) * 2 - 1, near[: n // 6]])
+    return rng.permutation(data).tolist()
+
+
+@pytest.mark.parametrize(("seed", "n", "dims", "eps", "min_pts"), [(1, 150, 2, 0.06, 4), (2, 200, 2, 0.03, 3), (3, 150, 2, 0.2, 25), (4, 150, 3, 0.1, 5), (5, 100, 1, 0.01, 3), (6, 120, 3, 0.3, 30), (7, 100, 7, 0.35, 6), (8, 60, 2, 0.05, 1)])
+def test_labels_are_those_of_brute_force(spark, seed, n, dims, eps, min_pts):
+    points = cloud(seed, n, dims)
+    want, core = brute.labels(points, Params(eps, min_pts))
+    rows = dbscan(frame(spark, points).repartition(5), Params(eps, min_pts)).orderBy("id").collect()
+    assert [r.cluster_id for r in rows] == want
+    assert [r.is_core for r in rows] == core
+    assert clusters(spark, points, Params(eps, min_pts, merge="driver")) == want
+    assert clusters(spark, points, Params(eps, min_pts, border_mode="visit_order")) == brute.visited(points, Params(eps, min_pts))
+
+
+def test_near_tiles_whose_extremes_are_far(spark):
+    """Two dense arcs that come within eps only at inner points: extremes do not show it."""
+    t = np.linspace(-1, 1, 41)
+    left = np.stack([-0.3 * t**2, 0.3 * t], axis=1)
+    right = np.stack([0.145 + 0.3 * t**2, 0.3 * t + 0.02], axis=1)
+    points = np.concatenate([left, right]).tolist()
+    for eps in (0.12, 0.14, 0.145, 0.15, 0.2, 0.4):
+        assert clusters(spark, points, Params(eps, 3)) == brute.labels(points, Params(eps, 3))[0]
+
+
+def test_one_place_holds_most_points(spark):
+    points = [(0.5, 0.5)] * 400 + [(0.5 + k * 0.01, 0.5) for k in range(30)] + [(0.9, 0.9)]
+    params = Params(0.011, 5)
+    assert clusters(spark, points, params) == brute.labels(points, params)[0]
+
+
+def test_tiles_hold_only_neighbours(spark):
+    rng = np.random.default_rng(9)
+    for dims in (1, 2, 3):
+        p = Params(0.3, 3)
+        data = (rng.random((300, dims)) * 2 - 1).tolist()
+        tiles = {}
+        for r in density.tiled(frame(spark, data), p, dims).collect():
+            tiles.setdefault(tuple(r.tile), []).append(r.id)
+        near = brute.neighbours(data, p)
+        assert all(near[np.ix_(ids, ids)].all() for ids in tiles.values())
+
+
+def test_nothing_and_one(spark):
+    assert clusters(spark, [], Params()) == []
+    assert clusters(spark, [(1, 2)], Params(1, 1)) == [1]
+    assert clusters(spark, [(1, 2)], Params(1, 2)) == [-1]
+
+
+@pytest.mark.parametrize(("factor", "merge"), [(1, "distributed"), (2, "driver"), (3, "distributed")])
+def test_cells_come_to_the_same_labels(spark, factor, merge):
+    points = cloud(11, 120, 2)
+    params = Params(0.07, 4, cell_factor=factor, merge=merge)
+    rows = Cells(frame(spark, points), params).point_to_global().orderBy("id").collect()
+    assert [r.cluster_id for r in rows] == brute.labels(points, params)[0]
+
+
+def test_summary(spark):
+    labelled, row = summary.run(frame(spark, NINETEEN), Params(0.18, 4), "r1", "nineteen")
+    row = row.first()
+    assert (row.total_points, row.num_clusters, row.core_points, row.noise_points, row.border_points) == (19, 2, 7, 7, 5)
+    assert labelled.count() == 19 and row.dbscan_seconds > 0
