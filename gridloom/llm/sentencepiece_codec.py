@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import spm
-from gridloom.llm.common import slices
+from gridloom.llm.common import Memory, slices
 
 #: Units remembered by a worker, and the longest one that is.
-UNIT_MEMORY, UNIT_CHARS = 250_000, 64
-_UNITS: dict[bytes, dict[str, bytes]] = {}
+UNIT_MEMORY, UNIT_CHARS = 150_000, 64
+_UNITS: dict[bytes, Memory] = {}
 
 
 class Encoder:
@@ -37,25 +38,18 @@ class Encoder:
         self.units = re.compile(self.model.unit_pattern()).findall
         if data not in _UNITS:
             _UNITS.clear()
-            _UNITS[data] = {}
+            _UNITS[data] = Memory(UNIT_MEMORY, UNIT_CHARS)
         self.known = _UNITS[data]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         cut = [None if t is None else self.units(self.model.marked(t)) for t in texts]
-        known, ids_of = self.known, self.model.ids_of
-        wanted = set().union(*(u for u in cut if u))
-        new = wanted.difference(known)
-        if len(known) + len(new) > UNIT_MEMORY:
-            known.clear()
-            new = wanted
-        here = {}
-        for unit, pieces in self.model.segment(sorted(new)):
-            ids = np.fromiter((i for p in pieces for i in ids_of(p)), "<i4").tobytes()
-            (known if len(unit) <= UNIT_CHARS and len(known) < UNIT_MEMORY else here)[unit] = ids
-        if here:
-            return [None if u is None else np.frombuffer(b"".join([known.get(x) or here[x] for x in u]), "<i4") for u in cut]
+        known = self.known.of(set().union(*(u for u in cut if u)), self._encode)
         return [None if u is None else np.frombuffer(b"".join(map(known.__getitem__, u)), "<i4") for u in cut]
 
+    def _encode(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        for unit, ids in self.model.segment(sorted(units)):
+            yield unit, array("i", ids).tobytes()
+
 
 class Decoder:
     """Arrays of ids to texts."""

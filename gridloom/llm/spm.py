@@ -82,11 +82,16 @@ class Model:
             raise ValueError("the model has no byte pieces to fall back on")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the model has pieces that reach over the start of a word")
-        self.longest = max(map(len, self.ids), default=1)
         #: Proper prefixes of pieces: the inner nodes of the piece trie.
         self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p))}
         #: Characters that are part of longer pieces; around any other one, nothing merges.
         self.joining = {c for p in self.ids if len(p) > 1 for c in p}
+        self.trie: dict = {}
+        for p, i in self.ids.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = i
         self.unknown_score = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
 
     @classmethod
@@ -122,10 +127,6 @@ class Model:
         """Tokens that a piece, or a character without one, is written as."""
         return 1 if piece in self.ids else len(piece.encode())
 
-    def ids_of(self, piece: str) -> list[int]:
-        i = self.ids.get(piece)
-        return [i] if i is not None else [self.byte_ids[b] for b in piece.encode()]
-
     def merged(self, text: str) -> list[str]:
         """What merging the characters of a short text gives: best score first, then leftmost."""
         parts, ids, scores = list(text), self.ids, self.scores
@@ -140,49 +141,70 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def survives(self, left: str | None, right: str) -> bool:
+    def text_of(self, i: int) -> str:
+        """The piece of an id; a character without a piece has the id -1 less its code point."""
+        return self.pieces[i] if i >= 0 else chr(-1 - i)
+
+    def survives(self, left: int | None, right: int) -> bool:
         """Whether two adjacent pieces stay apart when their text is merged."""
         if left is None:
             return True
-        known = self.pair_memory.get((left, right))
+        known = self.pair_memory.get(key := left * (1 << 24) + right)
         if known is None:
             if len(self.pair_memory) >= PAIR_MEMORY:
                 self.pair_memory.clear()
-            known = self.pair_memory[left, right] = self.merged(left + right) == [left, right]
+            a, b = self.text_of(left), self.text_of(right)
+            known = self.pair_memory[key] = self.merged(a + b) == [a, b]
         return known
 
-    def segment(self, units: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
-        """(unit, its pieces) of sorted distinct units, by one traversal of their trie."""
-        ids, scores, longest, bpe = self.ids, self.scores, self.longest, self.model_type == BPE
-        last: list[str | None] = [None]
-        best = [0.0]
+    def segment(self, units: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """(unit, its ids) of sorted distinct units, by one traversal of their trie.
+
+        For each prefix the stack holds the id of the last piece, where that begins, the
+        score, and the nodes of the piece trie that suffixes of the prefix lead to.
+        """
+        root, scores, bpe, survives, pairs = self.trie, self.scores, self.model_type == BPE, self.survives, self.pair_memory
+        last: list[int | None] = [None]
+        begin, best, active = [0], [0.0], [[]]
         before = ""
         for unit in units:
             shared, most = 0, min(len(unit), len(before))
             while shared < most and unit[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :], best[shared + 1 :]
-            for end in range(shared + 1, len(unit) + 1):
-                chosen, score = None, 0.0
-                for start in range(max(0, end - longest), end):
-                    piece = unit[start:end]
-                    i = ids.get(piece)
-                    if i is None and end - start > 1:
+            del last[shared + 1 :], begin[shared + 1 :], best[shared + 1 :], active[shared + 1 :]
+            for end in range(shared, len(unit)):  # of the prefix in front of the character
+                c = unit[end]
+                chosen, at, score, nodes = None, end, 0.0, []
+                for start, node in (*active[end], (end, root)):  # long pieces first
+                    node = node.get(c)
+                    if node is None:
+                        continue
+                    nodes.append((start, node))
+                    i = node.get("")
+                    if i is None:
                         continue
                     if bpe:
-                        if self.survives(last[start], piece):
-                            chosen = piece
-                            break
-                    else:
-                        s = best[start] + (self.unknown_score if i is None else scores[i])
-                        if chosen is None or s > score:
-                            chosen, score = piece, s
+                        if chosen is None:
+                            left = last[start]
+                            known = True if left is None else pairs.get(left * (1 << 24) + i)
+                            if known or (known is None and survives(left, i)):
+                                chosen, at = i, start
+                    elif chosen is None or best[start] + scores[i] > score:
+                        chosen, at, score = i, start, best[start] + scores[i]
+                if chosen is None or (not bpe and at < end and "" not in root.get(c, ()) and best[end] + self.unknown_score > score):
+                    chosen, at, score = -1 - ord(c), end, best[end] + self.unknown_score
                 last.append(chosen)
+                begin.append(at)
                 best.append(score)
+                active.append(nodes)
             out, end = [], len(unit)
             while end:
-                out.append(last[end])
-                end -= len(last[end])
+                i = last[end]
+                if i < 0:
+                    out.extend(self.byte_ids[b] for b in reversed(chr(-1 - i).encode()))
+                else:
+                    out.append(i)
+                end = begin[end]
             out.reverse()
             yield unit, out
             before = unit

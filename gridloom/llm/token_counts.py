@@ -67,12 +67,13 @@ class Transducer:
         else:
             for distance, last, count in memory:  # longest first
                 piece = back[len(back) - distance :] + c
-                if (distance == 0 or piece in m.ids) and m.survives(last, piece):
+                i = m.ids.get(piece, -1 - ord(c) if distance == 0 else None)
+                if i is not None and m.survives(last, i):
                     break
             change = count + m.size_of(piece)
             kept = tuple((d + 1, p, n - change) for d, p, n in memory if back[len(back) - d :] + c in m.prefixes)
             far = max((d for d, _, _ in kept), default=0)
-            move = (self.state(((back + c)[len(back) + 1 - far :], (*kept, (0, piece, 0)))), change)
+            move = (self.state(((back + c)[len(back) + 1 - far :], (*kept, (0, i, 0)))), change)
         self.moves[state][c] = move
         return move
 
