@@ -2,8 +2,10 @@
 
 Form: e-mail addresses, IPv4 addresses, payment cards and international phone numbers
 are matched leftmost and without overlap for each kind. The expressions below match
-what the contract's do, but in linear time: a match begins where a run of its first
-characters begins, or right after the match before it.
+what the contract's do, but in linear time and without recursion: a match begins where
+a run of its first characters begins, or right after the match before it, and repeats
+take what they can and do not go back. (The form of cards fits a lone digit as well,
+which is no card.)
 
 Context: words that hold a whole match are the seeds. The one and two words in front
 of an identifier-like word (one with a digit or an @) are its patterns. Patterns and
@@ -34,9 +36,9 @@ from gridloom.llm.common import cut
 #: Fixed values of the contract: kinds in order.
 KINDS = ("email", "ip", "card", "phone")
 FORMS = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[ -]?[0-9])+",
+    "card": r"[0-9]++(?:[ -][0-9]++)*+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
@@ -100,7 +102,7 @@ def _words(text: Column) -> Column:
 
 def _core(word: Column) -> Column:
     """A word without blanks and the punctuation around it."""
-    return F.regexp_replace(word, r"^[^\p{L}0-9+(]+|[^\p{L}0-9]+$", "")
+    return F.regexp_replace(word, r"^[^\p{L}0-9+]++|(?<=[\p{L}0-9])[^\p{L}0-9]++$", "")
 
 
 def _near(df: DataFrame, rows: int) -> DataFrame:
@@ -124,7 +126,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).rlike("[0-9@]"))
     rows = rows.select("id", "h", _trimmed(_words(F.col("t"))).alias("w"))
     rows = rows.select("id", "h", F.explode(F.transform(at, lambda i: F.struct(i.alias("i"), _core(F.get(w, i)).alias("core"), _context(w, i).alias("patterns")))).alias("x"))
-    return rows.select("id", "h", "x.*").where("core != ''")
+    return rows.select("id", "h", "x.*").where(F.col("core").rlike(r"[\p{L}0-9]"))
 
 
 def pattern_counts(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
@@ -174,7 +176,7 @@ def added_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     new = new.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("i").alias("i2"), "kind")
     placed = rows.join(new, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")) & (F.col("i") == F.col("i2")))
     core = _core(F.regexp_replace("word", r"\s+$", ""))
-    start = (F.col("offset") + F.length(F.regexp_extract("word", r"^[^\p{L}0-9+(]*", 0))).cast("int")
+    start = (F.col("offset") + F.length(F.regexp_extract("word", r"^[^\p{L}0-9+]*", 0))).cast("int")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     added = placed.groupBy("id", "h").agg(F.collect_list(F.struct(start.alias("start"), rank.alias("rank"), (start + F.length(core)).alias("end"))).alias("added"))
     return added.select(F.col("id").alias("id2"), F.col("h").alias("h2"), "added")
