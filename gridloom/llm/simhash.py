@@ -103,11 +103,10 @@ def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     out = []
     for i in range(len(fps) - 1):
         near = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= distance) + i + 1
-        groups, first = np.unique(group[near], return_index=True)
-        for g, k in zip(groups.tolist(), first.tolist()):
-            if g != group[i]:
-                out.append((i, int(near[k])))
-                group[group == max(g, group[i])] = min(g, group[i])
+        for j in near[np.unique(group[near], return_index=True)[1]].tolist():  # one of each group
+            if group[j] != group[i]:
+                out.append((i, j))
+                group[group == max(group[i], group[j])] = min(group[i], group[j])
     return out
 
 
