@@ -98,37 +98,32 @@ class Scanner:
         return found
 
     def scan(self, text: str) -> list[Found]:
-        """Licences of a text's passages. A passage inside a longer one that is found is not looked at."""
-        out: list[Found] = []
+        """Licences of a text's passages, in order. A passage counts where none of its own parts is as like a template."""
         lines: list[tuple[int, int, list[str]]] = []  # start, end, words
         at = 0
         for line in text.split("\n"):
             lines.append((at, at + len(line), [] if _COPYRIGHT.match(line) else normalised(line)))
             at += len(line) + 1
-        self._passage(text, lines, 0, out)
-        return out
-
-    def _passage(self, text: str, lines: list[tuple[int, int, list[str]]], depth: int, out: list[Found]) -> None:
-        total = sum(len(w) for _, _, w in lines)
-        if self.least <= total - 1 <= self.most:
-            found = self.best([w for _, _, words in lines for w in words])
-            if found:
-                out.append(Found(lines[0][0], lines[-1][1], *found))
-                return
-        if len(lines) == 1:
-            return
-        if depth == 0:
-            group: list = []
-            for line in [*lines, None]:
-                if line is None or not text[line[0] : line[1]].strip():
-                    if group:
-                        self._passage(text, group, 1, out)
-                    group = []
-                else:
-                    group.append(line)
-        else:
-            for line in lines:
-                self._passage(text, [line], 2, out)
+        paragraphs: list[list] = [[]]
+        for line in lines:
+            if text[line[0] : line[1]].strip():
+                paragraphs[-1].append(line)
+            elif paragraphs[-1]:
+                paragraphs.append([])
+        out = []
+        for paragraph in filter(None, paragraphs):
+            parts = [f for line in paragraph for f in self._passage([line], [])] if len(paragraph) > 1 else []
+            out += self._passage(paragraph, parts)
+        return self._passage(lines, out)
+
+    def _passage(self, lines: list[tuple[int, int, list[str]]], parts: list[Found]) -> list[Found]:
+        """The passage itself, or what was found in its parts."""
+        if not self.least <= sum(len(w) for _, _, w in lines) - 1 <= self.most:
+            return parts
+        found = self.best([w for _, _, words in lines for w in words])
+        if not found or any(f.dice >= found[1] for f in parts):
+            return parts
+        return [Found(lines[0][0], lines[-1][1], *found)]
 
 
 def scan(df: DataFrame, threshold: float = 0.8, templates: Sequence[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
