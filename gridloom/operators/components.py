@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.lineage import cut
 
-#: Edges that may be brought to the driver.
-DRIVER_EDGES = 2_000_000
+#: Edges that may be brought to the driver, and roots that one task may number.
+DRIVER_EDGES, TASK_ROOTS = 500_000, 200_000
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -69,12 +69,17 @@ class UnionFind:
 
 def components_on_driver(edges: DataFrame) -> DataFrame:
     """The same, by a union-find on the driver; more than ``DRIVER_EDGES`` edges are left to :func:`components`."""
-    edges = edges.where("a != b").select("a", "b").distinct()
-    some = edges.limit(DRIVER_EDGES + 1).collect()
-    if len(some) > DRIVER_EDGES:
+    edges = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if edges.count() > DRIVER_EDGES:
         return components(edges)
     kind = edges.schema["a"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame(UnionFind.of((r["a"], r["b"]) for r in some).roots(), f"node {kind}, root {kind}")
+    found = UnionFind.of((r["a"], r["b"]) for r in edges.collect())
+    return edges.sparkSession.createDataFrame(found.roots(), f"node {kind}, root {kind}")
+
+
+def connected(edges: DataFrame, merge: str) -> DataFrame:
+    """Components where ``merge`` wants them found."""
+    return components(edges) if merge == "distributed" else components_on_driver(edges)
 
 
 def with_isolated(found: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -86,4 +91,7 @@ def numbered_roots(roots: DataFrame) -> DataFrame:
     """(root, cluster_id): distinct roots numbered from 1 in their order."""
     from gridloom.sources.points import numbered
 
-    return numbered(roots.select("root").distinct(), ["root"], "place").select("root", (F.col("place") + 1).cast("int").alias("cluster_id"))
+    roots = cut(roots.select("root").distinct())
+    if roots.count() <= TASK_ROOTS:
+        return roots.select("root", F.row_number().over(Window.orderBy("root")).alias("cluster_id"))
+    return numbered(roots, ["root"], "place").select("root", (F.col("place") + 1).cast("int").alias("cluster_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import squared_distance, tile
 from gridloom.lineage import cut
-from gridloom.operators.components import components, components_on_driver
+from gridloom.operators.components import connected
 from gridloom.operators.neighbors import TILED, neighbor_pairs, offsets, spread
 from gridloom.params import Params
 
@@ -90,11 +90,10 @@ def _gap(a_low: Column, a_high: Column, b_low: Column, b_high: Column, dims: int
 
 def core_components(flagged: DataFrame, params: Params, dims: int) -> DataFrame:
     """(id, coords, root) of the core points: root is the least core id of the component; with the tile as in ``core_points``."""
-    connected = components if params.merge == "distributed" else components_on_driver
     core = flagged.where("is_core")
     if dims > TILED:
         pairs = neighbor_pairs(core.select("id", "coords"), params, dims).where("a < b")
-        found = connected(pairs)
+        found = connected(pairs, params.merge)
         return core.join(found, core.id == found.node, "left").select("id", "coords", F.coalesce("root", "id").alias("root"))
     tiles = cut(_summaries(core, dims))
     half = [o for o in offsets(dims, REACH) if o > (0,) * dims]
@@ -105,7 +104,7 @@ def core_components(flagged: DataFrame, params: Params, dims: int) -> DataFrame:
     near = left.join(right, (F.col("near") == F.col("tile2")) & (_gap(F.col("low"), F.col("high"), F.col("low2"), F.col("high2"), dims) <= margin))
     shown = F.exists("some", lambda a: F.exists("some2", lambda b: squared_distance(a, b, dims) <= params.eps2))
     near = cut(near.select("tile", "rep", "low", "high", "tile2", "rep2", "low2", "high2", shown.alias("shown")))
-    found = connected(near.where("shown").select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
+    found = connected(near.where("shown").select(F.col("rep").alias("a"), F.col("rep2").alias("b")), params.merge)
     roots = tiles.select("tile", "rep").join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root"))
     roots = cut(roots)
     open_ = near.where("not shown").join(roots, "rep").join(roots.select(F.col("rep").alias("rep2"), F.col("root").alias("root2")), "rep2").where("root != root2")
@@ -116,7 +115,7 @@ def core_components(flagged: DataFrame, params: Params, dims: int) -> DataFrame:
         b = core.select(F.col("tile").alias("tile2"), F.col("coords").alias("cb")).join(open_, "tile2").where(_to_box(F.col("cb"), F.col("low"), F.col("high"), dims) <= margin)
         b = b.select(F.col("rep").alias("r"), F.col("rep2").alias("r2"), "cb")
         touch = a.join(b, (F.col("rep") == F.col("r")) & (F.col("rep2") == F.col("r2")) & (squared_distance(F.col("ca"), F.col("cb"), dims) <= params.eps2))
-        more = connected(touch.select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct())
+        more = connected(touch.select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct(), params.merge)
         more = more.select(F.col("node").alias("old"), F.col("root").alias("new"))
         roots = roots.join(more, F.col("root") == F.col("old"), "left").select("rep", F.coalesce("new", "root").alias("root"))
     named = tiles.select("tile", "rep").join(roots, "rep").select("tile", "root")

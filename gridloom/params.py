@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 BORDER_MODES = ("standard", "visit_order")
-MERGES = ("distributed", "driver")
+MERGES = ("auto", "distributed", "driver")
 
 
 @dataclass(frozen=True)
@@ -19,8 +19,8 @@ class Params:
 
     ``border_mode`` says which cluster a border point joins: ``standard`` the one whose
     smallest core id is least; ``visit_order`` the one a sequential scan in id order
-    would give it, which can also be none. ``merge`` says where components of local
-    clusters are found: in DataFrames, or by a union-find on the driver.
+    would give it, which can also be none. ``merge`` says where components are found: in
+    DataFrames, by a union-find on the driver, or there only if the edges are few.
     """
 
     eps: float = 0.03
@@ -28,7 +28,7 @@ class Params:
     cell_factor: float = 3.0
     buffer_factor: float = 1.0
     border_mode: str = "standard"
-    merge: str = "distributed"
+    merge: str = "auto"
 
     def __post_init__(self) -> None:
         if not (np.isfinite(self.eps) and self.eps32 > 0):

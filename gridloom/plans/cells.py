@@ -71,7 +71,7 @@ class Cells:
         """
         node = F.struct("cell_id", F.col("a").alias("id"))
         edges = self.links.where("b_core and a < b").select(node.alias("a"), F.struct("cell_id", F.col("b").alias("id")).alias("b"))
-        found = graph.components(edges).select("node.cell_id", "node.id", F.col("root.id").alias("found"))
+        found = graph.connected(edges, self.params.merge).select("node.cell_id", "node.id", F.col("root.id").alias("found"))
         core = self.copies.where("is_core").join(found, ["cell_id", "id"], "left").select("cell_id", "id", "is_home", "is_core", F.coalesce("found", "id").alias("local_root"))
         core = cut(core)
         met = self.links.where("not b_core").select("cell_id", F.col("a").alias("core"), F.col("b").alias("id"))
@@ -92,9 +92,8 @@ class Cells:
     @cached_property
     def merged(self) -> DataFrame:
         """(key, root): components of local clusters; those without an edge are their own."""
-        connected = graph.components if self.params.merge == "distributed" else graph.components_on_driver
         nodes = self.keyed().select(F.col("key").alias("node"))
-        return cut(graph.with_isolated(connected(self.same_point_edges()), nodes).withColumnRenamed("node", "key"))
+        return cut(graph.with_isolated(graph.connected(self.same_point_edges(), self.params.merge), nodes).withColumnRenamed("node", "key"))
 
     @cached_property
     def global_ids(self) -> DataFrame:

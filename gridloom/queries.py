@@ -169,7 +169,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.counts(points, dbscan(points, CUSTOMERS), CUSTOMERS)
 
 
-def _cells(spark: SparkSession, sf_dir: str, merge: str = "distributed") -> Cells:
+def _cells(spark: SparkSession, sf_dir: str, merge: str = "auto") -> Cells:
     return Cells(customers(spark, sf_dir), Params(CUSTOMERS.eps, CUSTOMERS.min_pts, merge=merge))
 
 
@@ -197,7 +197,7 @@ def component_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, sf_dir).merged.select("key", F.col("root").alias("component"))
+    return _cells(spark, sf_dir, "distributed").merged.select("key", F.col("root").alias("component"))
 
 
 def union_find(spark: SparkSession, sf_dir: str) -> DataFrame:
