@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.lineage import cut
 
 #: Fixed values of the contract: what stands between words, words of a window, and the share of hit words (1 in n).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -74,10 +74,14 @@ def term_counts(documents: DataFrame, terms: DataFrame, n_terms: int) -> DataFra
 
 
 def postings(documents: DataFrame, terms: DataFrame, n_terms: int, reach: int = 0) -> DataFrame:
-    """(term, id, h, pos, around): where the given terms stand, from 0, with up to ``reach`` words to either side."""
+    """(term, id, h, pos, around): where the given terms stand, from 0.
+
+    With ``reach``, terms whose column ``lead`` is true come with so many words to either side.
+    """
     spread = documents.select("id", "h", "w", F.posexplode("w").alias("pos", "term"))
     first = F.greatest(F.col("pos") - reach, F.lit(0))
     around = F.slice(F.col("w"), first + 1, F.col("pos") + reach - first + 1)
+    around = F.when(F.col("lead"), around) if reach else F.lit(None).cast("array<string>")
     return spread.join(_near(terms, n_terms), "term").select("term", "id", "h", "pos", around.alias("around"))
 
 
@@ -105,10 +109,11 @@ def lookups(documents: DataFrame, phrases: DataFrame) -> DataFrame:
 
 def occurrences(documents: DataFrame, phrases: DataFrame) -> DataFrame:
     """(id, h, start, n, items): every occurrence of a phrase (distinct arrays ``phrase`` with their ``items``), exact."""
-    reach = (phrases.agg(F.max(F.size("phrase"))).first()[0] or 1) - 1
+    reach = phrases.agg(F.max(F.size("phrase"))).first()[0] or 1
     wanted = cut(lookups(documents, phrases))
     n_wanted = wanted.count()
-    terms = wanted.select(F.explode(F.array("t1", "t2")).alias("term")).where("term is not null").distinct()
+    terms = wanted.select(F.explode(F.array(F.struct(F.col("t1").alias("term"), F.lit(True).alias("lead")), F.struct(F.col("t2").alias("term"), F.lit(False).alias("lead")))).alias("x"))
+    terms = terms.select("x.*").where("term is not null").groupBy("term").agg(F.max("lead").alias("lead"))
     index = cut(postings(documents, terms, 2 * n_wanted, reach))
     pairs = index.withColumnRenamed("term", "t1").join(_near(wanted, n_wanted), "t1")
     alone = pairs.where("t2 is null").select("id", "h", "pos", "around", "windows")

@@ -291,8 +291,13 @@ def predict(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", id_col)
 
 
-def keep(df: DataFrame, network: Network, least: float = 0.35, text_col: str = "text") -> DataFrame:
-    """The rows, as they are, whose text has a language with a score of ``least`` or more."""
+def keep(df: DataFrame, network: Network, least: float | None = None, text_col: str = "text") -> DataFrame:
+    """The rows, as they are, whose text has a letter and a language with a score of ``least`` or more.
+
+    Without ``least``, a score has to be a twentieth above that of languages all alike.
+    """
+    if least is None:
+        least = min(1.0, 1.05 / max(1, len(network.languages)))
     names = df.columns
     plain = [f"c{k}" for k in range(len(names))]
     at = names.index(text_col)

@@ -9,8 +9,8 @@
    pair of tiles is one group of bounded size, and such a group returns a spanning
    forest of its links instead of all of them: components keep each link between
    different fingerprints, and no list, however hot, meets in one task.
-3. ``components``: labels of nodes, by star contraction over the links, cut from
-   their lineage in the shared checkpoint folder each round.
+3. Labels of nodes come from star contraction over the links, cut from their lineage
+   in the shared checkpoint folder each round.
 
 Rows: a null text counts as empty, an empty text has fingerprint zero, and rows with
 that fingerprint are linked like any other. Repeated rows and equal ids stay rows of
@@ -29,7 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, slices
+from gridloom.lineage import cut
+from gridloom.llm.common import slices
+from gridloom.operators.components import components
 
 #: Nodes of a list that is joined with itself; rows of a tile of a longer one.
 SMALL, TILE = 32, 2048
@@ -146,29 +148,6 @@ def links(nodes: DataFrame, distance: int = 3, blocks: int | None = None) -> Dat
     return pairs.unionByName(tiles.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the least node that each node of (a, b) reaches.
-
-    Large and small stars alternate (Kiveris et al., 2014) until nothing moves. Each
-    star is a minimum by key with partial sums, joined back; AQE splits a hot key.
-    """
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    state = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u != v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
 def near_duplicates(df: DataFrame, width: int = 5, distance: int = 3, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): one row for each row of the input; the component's name is its least id."""
     marked = cut(fingerprints(df, width, id_col, text_col))
