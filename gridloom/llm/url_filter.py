@@ -169,7 +169,7 @@ LISTED = tuple(f"{name}.example.{top}" for name in ("adult-x", "ads-track", "cas
 
 
 def listed_domains(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in LISTED], "key string")
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED))).alias("key"))
 
 
 _FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
