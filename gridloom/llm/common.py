@@ -26,6 +26,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task, of one operator at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class Memory:
     """What was found out about strings, in two generations of bounded size.
 

@@ -19,6 +19,7 @@ rows and null ids make no difference; further columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import slices
+from gridloom.llm.common import held, slices
 
 UNKNOWN = "und"
-RUN_BYTES, RUN_MEMORY, RUN_CHARS = 32, 150_000, 32
+RUN_BYTES, RUN_MEMORY, RUN_CHARS = 32, 120_000, 32
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -230,19 +231,13 @@ def fit(labelled: DataFrame, per_language: int = 200, run_sample: int = 4000, hi
     return train({l: Counter(dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:run_sample])) for l, c in samples.items()}, hidden, epochs)
 
 
-_RUNS: dict[bytes, tuple[dict[str, int], np.ndarray]] = {}
-
-
 class Labeller:
     """Pools the network's labels over texts; remembers the vectors of runs."""
 
     def __init__(self, network: Network) -> None:
         self.network = network
-        key = b"".join([w.tobytes()[:4096] for w in network.weights()])
-        if key not in _RUNS:
-            _RUNS.clear()
-            _RUNS[key] = ({}, np.zeros((RUN_MEMORY, len(network.languages) + 1), np.float32))
-        self.place, self.vectors = _RUNS[key]
+        key = hashlib.sha256(b"".join(w.tobytes() for w in network.weights())).digest()
+        self.place, self.vectors = held(("runs", key, RUN_MEMORY), lambda: ({}, np.zeros((RUN_MEMORY, len(network.languages) + 1), np.float32)))
 
     def probabilities(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Of each text over the languages; None without a letter."""

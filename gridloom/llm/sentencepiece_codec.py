@@ -23,23 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import spm
-from gridloom.llm.common import Memory, slices
+from gridloom.llm.common import Memory, held, slices
 
 #: Units remembered by a worker, and the longest one that is.
-UNIT_MEMORY, UNIT_CHARS = 150_000, 64
-_UNITS: dict[bytes, Memory] = {}
+UNIT_MEMORY, UNIT_CHARS = 60_000, 64
 
 
 class Encoder:
     """Texts to arrays of ids."""
 
     def __init__(self, data: bytes) -> None:
-        self.model = spm.model_of(data)
+        self.model, self.known = held(("encoder", data), lambda: (spm.Model.parse(data), Memory(UNIT_MEMORY, UNIT_CHARS)))
         self.units = re.compile(self.model.unit_pattern()).findall
-        if data not in _UNITS:
-            _UNITS.clear()
-            _UNITS[data] = Memory(UNIT_MEMORY, UNIT_CHARS)
-        self.known = _UNITS[data]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         cut = [None if t is None else self.units(self.model.marked(t)) for t in texts]
@@ -54,8 +49,8 @@ class Encoder:
 class Decoder:
     """Arrays of ids to texts."""
 
-    def __init__(self, data: bytes) -> None:
-        self.model = m = spm.model_of(data)
+    def __init__(self, model: spm.Model) -> None:
+        self.model = m = model
         self.table = [bytes([int(p[1:-1], 16)]) if k == spm.BYTE else b"" if k == spm.CONTROL else p.replace(spm.MARK, " ").encode() for p, k in zip(m.pieces, m.kinds)]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -89,7 +84,7 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
     data = spm.read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(data)
+        decoder = Decoder(spm.Model.parse(data))
         for batch in batches:
             column = batch.column("i")
             texts = [decoder.decode(np.asarray(x.values)) if x.is_valid else None for x in column]
@@ -111,7 +106,8 @@ def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     data = spm.read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(data), Decoder(data)
+        encoder = Encoder(data)
+        decoder = Decoder(encoder.model)
         for part, texts in slices(batches, "t"):
             texts = [t or "" for t in texts]
             ids = encoder.encode(texts)

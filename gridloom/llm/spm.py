@@ -31,7 +31,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 #: Pairs of pieces whose verdict is remembered; beyond that, the memory is cleared.
-PAIR_MEMORY = 400_000
+PAIR_MEMORY = 200_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -210,17 +210,6 @@ class Model:
             before = unit
 
 
-_MODELS: dict[bytes, Model] = {}
-
-
-def model_of(data: bytes) -> Model:
-    """The parsed model; a worker parses each file once."""
-    if data not in _MODELS:
-        _MODELS.clear()
-        _MODELS[data] = Model.parse(data)
-    return _MODELS[data]
-
-
 def read_model(path: str) -> bytes:
     """Bytes of a model file on the driver; they are sent to the tasks (vocabularies have a fixed size)."""
     with open(path, "rb") as f:

@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import spm
-from gridloom.llm.common import slices
+from gridloom.llm.common import held, slices
 
 #: Characters of a chunk; states of a transducer; units whose count a worker remembers, and the longest of them.
-CHUNK_CHARS, STATE_LIMIT, UNIT_MEMORY, UNIT_CHARS = 65_536, 150_000, 400_000, 48
+CHUNK_CHARS, STATE_LIMIT, UNIT_MEMORY, UNIT_CHARS = 65_536, 150_000, 300_000, 48
 
 
 class Transducer:
@@ -100,8 +100,8 @@ class StateMap(NamedTuple):
 class Counter:
     """State maps of chunks, their composition and scan."""
 
-    def __init__(self, data: bytes) -> None:
-        self.model = spm.model_of(data)
+    def __init__(self, model: spm.Model) -> None:
+        self.model = model
         self.units = re.compile(self.model.unit_pattern()).findall
         self.transducer = Transducer(self.model)
         self.known: dict[str, int] = {}
@@ -167,23 +167,12 @@ class Counter:
         return self.total(self.scan([self.state_map(marked[k : k + CHUNK_CHARS]) for k in range(0, len(marked), CHUNK_CHARS)])[-1])
 
 
-_COUNTERS: dict[bytes, Counter] = {}
-
-
-def counter_of(data: bytes) -> Counter:
-    """The counter of a model file; a worker compiles and remembers across its tasks."""
-    if data not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[data] = Counter(data)
-    return _COUNTERS[data]
-
-
 def token_counts(df: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row."""
     data = spm.read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(data)
+        counter = held(("counter", data), lambda: Counter(spm.Model.parse(data)))
         for part, texts in slices(batches, "t"):
             tokens = [counter.count(t) if t else 0 for t in texts]
             sizes = [len(t.encode()) if t else 0 for t in texts]

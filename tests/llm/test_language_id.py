@@ -79,13 +79,11 @@ def test_a_small_memory_changes_nothing(monkeypatch):
     net = small()
     texts = ["the and thing", "über der und the", "x" * 100, "a b c d e f g h i j k"]
     want = li.Labeller(net).probabilities(texts)
-    li._RUNS.clear()
     monkeypatch.setattr(li, "RUN_MEMORY", 3)
     labeller = li.Labeller(net)
     for _ in range(2):
         for t, w in zip(texts, want):
             assert np.allclose(labeller.probabilities([t])[0], w, atol=1e-6)
-    li._RUNS.clear()
 
 
 def test_no_labels_and_no_rows(spark):

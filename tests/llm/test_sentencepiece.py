@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import hashlib
 from types import SimpleNamespace
 
@@ -34,7 +35,7 @@ def test_ids_are_the_librarys(spark, model):
 
 def test_decoding_gives_the_text_back(spark, model):
     texts = corpus(spark) + HARD
-    decoder = codec.Decoder(model.data)
+    decoder = codec.Decoder(spm.Model.parse(model.data))
     for text, ids in zip(texts, codec.Encoder(model.data).encode(texts)):
         assert decoder.decode(ids) == text.replace(spm.MARK, " ") == model.library.decode(ids.tolist())
 
@@ -46,21 +47,22 @@ def test_any_texts(texts):
     library = _library()
     want = [library.encode(t) for t in texts]
     assert [g.tolist() for g in codec.Encoder(data).encode(texts)] == want
-    counter = token_counts.counter_of(data)
+    counter = _counter()
     assert [counter.count(t) for t in texts] == list(map(len, want))
 
 
-_KEPT = []
+@functools.cache
+def _library():
+    return sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
 
 
-def _library():
-    if not _KEPT:
-        _KEPT.append(sentencepiece.SentencePieceProcessor(model_file=tokenizer_path()))
-    return _KEPT[0]
+@functools.cache
+def _counter():
+    return token_counts.Counter(spm.Model.parse(spm.read_model(tokenizer_path())))
 
 
 def test_the_walk_shares_prefixes(model):
-    m = spm.model_of(model.data)
+    m = spm.Model.parse(model.data)
     units = sorted({"▁then", "▁there", "▁thereof", "▁the", "▁other", "▁"})
     got = dict(m.segment(units))
     assert {u: got[u] for u in units} == {u: dict(m.segment([u]))[u] for u in units}
@@ -92,7 +94,7 @@ def codec_text(m, ids):
 
 
 def test_chunks_compose(model):
-    counter = token_counts.Counter(model.data)
+    counter = token_counts.Counter(spm.Model.parse(model.data))
     for text in [*HARD, "the quick  brown\nfox " * 30]:
         marked = counter.model.marked(text)
         whole = counter.closed(marked)
@@ -110,7 +112,7 @@ def test_chunks_compose(model):
 def test_a_full_transducer_is_compiled_anew(model, monkeypatch):
     monkeypatch.setattr(token_counts, "STATE_LIMIT", 10)
     text = "Several words, more than ten states of them."
-    assert token_counts.Counter(model.data).count(text) == len(model.library.encode(text))
+    assert token_counts.Counter(spm.Model.parse(model.data)).count(text) == len(model.library.encode(text))
 
 
 ROWS = [(1, "hello world", 7), (1, "hello world", 7), (None, None, 8), (2, "", 9), (3, "long " * 30_000, 1)]
