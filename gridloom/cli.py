@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from gridloom.params import BORDER_MODES, MERGES, Params
-from gridloom.plans.summary import run
+from gridloom.plans.summary import dump, run
 from gridloom.sources.points import read_points
 from gridloom.sources.sinks import write_labels, write_summary
 
@@ -25,12 +25,16 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--format", choices=("parquet", "csv", "text"), default="parquet")
     p.add_argument("--files", type=int, help="merge the labels into so many files")
     p.add_argument("--run-id", default="run")
+    p.add_argument("--debug-dir", help="write the steps over grid cells there, too")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("gridloom").getOrCreate()
     params = Params(a.eps, a.min_pts, a.cell_factor, a.buffer_factor, a.border_mode, a.merge)
-    labelled, summary = run(read_points(spark, a.input), params, a.run_id, a.input)
+    points = read_points(spark, a.input)
+    labelled, summary = run(points, params, a.run_id, a.input)
     write_labels(labelled, f"{a.output}/labels", a.format, a.files)
     write_summary(summary, f"{a.output}/summary")
+    if a.debug_dir:
+        dump(points, params, a.debug_dir)
 
 
 if __name__ == "__main__":

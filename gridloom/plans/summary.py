@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.lineage import cut
+from gridloom.metrics import Watch, resources
+from gridloom.operators.density import tiled
 from gridloom.operators.grid import copies, grid_of
+from gridloom.operators.neighbors import TILED
 from gridloom.params import Params
+from gridloom.plans.cells import Cells
 from gridloom.plans.dbscan import dbscan
+from gridloom.sources.points import dimensions
 
 
 def counts(points: DataFrame, labelled: DataFrame, params: Params) -> DataFrame:
@@ -39,18 +42,31 @@ def counts(points: DataFrame, labelled: DataFrame, params: Params) -> DataFrame:
 
 
 def run(points: DataFrame, params: Params, run_id: str = "run", dataset: str = "") -> tuple[DataFrame, DataFrame]:
-    """(labelled points, summary row with the seconds that clustering took)."""
-    began = time.perf_counter()
-    labelled = cut(dbscan(points, params))
-    seconds = time.perf_counter() - began
-    context = points.sparkSession.sparkContext
-    summary = counts(points, labelled, params).select(
-        F.lit(run_id).alias("run_id"),
-        "*",
-        F.lit(params.merge).alias("merge"),
-        F.lit(params.border_mode).alias("border_mode"),
-        F.lit(seconds).alias("dbscan_seconds"),
-        F.lit(dataset).alias("dataset"),
-        F.lit(context.defaultParallelism).alias("cores"),
-    )
-    return labelled, summary
+    """(labelled points, summary row): parameters, counts, and what reading and clustering cost.
+
+    ``neighbor_queries`` counts the points that distances were taken for; points of dense
+    tiles need none.
+    """
+    spark = points.sparkSession
+    with Watch(spark) as reading:
+        points = cut(points)
+    with Watch(spark) as work:
+        labelled = cut(dbscan(points, params))
+    dims = dimensions(points)
+    queries = 0
+    if dims is not None and dims <= TILED:
+        sizes = tiled(points, params, dims).groupBy("tile").agg(F.count("*").alias("n"))
+        queries = sizes.where(F.col("n") < params.min_pts).agg(F.sum("n")).first()[0] or 0
+    elif dims is not None:
+        queries = points.count()
+    cost = {k: round(v, 3) if isinstance(v, float) else v for k, v in vars(work.totals).items() if k != "seconds"}
+    facts = {"merge": params.merge, "border_mode": params.border_mode, "neighbor_queries": int(queries), "read_seconds": reading.totals.seconds, "dbscan_seconds": work.totals.seconds, **cost, "dataset": dataset, **resources(spark)}
+    return labelled, counts(points, labelled, params).select(F.lit(run_id).alias("run_id"), "*", *(F.lit(v).alias(k) for k, v in facts.items()))
+
+
+def dump(points: DataFrame, params: Params, path: str) -> None:
+    """Write each step over cells below ``path``, to be looked at: copies, core flags, local clusters, merge edges, labels."""
+    cells = Cells(points, params)
+    steps = {"copies": cells.copies, "core_flags": cells.flagged, "local_clusters": cells.local, "merge_edges": cells.same_point_edges(), "components": cells.merged, "labels": cells.point_to_global()}
+    for name, step in steps.items():
+        step.write.mode("overwrite").parquet(f"{path}/{name}")

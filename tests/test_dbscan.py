@@ -100,4 +100,7 @@ def test_summary(spark):
     labelled, row = summary.run(frame(spark, NINETEEN), Params(0.18, 4), "r1", "nineteen")
     row = row.first()
     assert (row.total_points, row.num_clusters, row.core_points, row.noise_points, row.border_points) == (19, 2, 7, 7, 5)
-    assert labelled.count() == 19 and row.dbscan_seconds > 0
+    assert labelled.count() == 19 and row.dbscan_seconds > 0 and row.read_seconds > 0
+    assert row.neighbor_queries == 19 and row.stages > 0 and row.tasks >= row.stages and row.shuffle_write_mb >= 0
+    empty, none = summary.run(frame(spark, []), Params(0.18, 4))
+    assert empty.collect() == [] and none.first().total_points == 0
