@@ -16,6 +16,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage; a lost executor costs the steps since then."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage; a lost executor costs the steps since then.
+
+    A checkpointed plan keeps the estimate of its size, and a join's estimate is the
+    product of its sides'. In a loop that number's digits double with each join until
+    planning takes longer than the work, so the rows are given a plan without a past.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    held = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)

@@ -16,18 +16,21 @@ DRIVER_EDGES, TASK_ROOTS = 500_000, 200_000
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the least node that each node of (a, b) reaches. Nodes are of any ordered type.
 
-    Large and small stars alternate (Kiveris et al., 2014) until nothing moves. Each
-    star is a minimum by key, with partial sums, joined back; AQE splits a hot key.
+    Large and small stars alternate (Kiveris et al., 2014) until nothing moves. Edges are
+    kept as (larger, smaller), so that a large star hangs each larger end on the least
+    neighbour of its smaller end, and a small star all smaller ends of a node on the least
+    of them. The minima are sums by key, cut from their lineage before they are joined
+    back: both sides of the join then have a shuffle of their own, and AQE splits a key
+    that holds many of the edges.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     state = None
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u != v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        least = _least(edges)
+        large = edges.join(least.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        large = cut(large)
+        least = _least(large)
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -37,6 +40,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m): the least smaller end of each node that has one."""
+    return cut(edges.groupBy("u").agg(F.min("v").alias("m")))
+
+
 class UnionFind:
     """Disjoint sets whose name is their least member."""
 
