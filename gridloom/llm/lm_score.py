@@ -49,8 +49,8 @@ END, CELL, ROW, LONG = b"\xfe", b"\xfc", b"\xfd", b"\xff"
 ENDINGS, FOLLOWERS = 2039, 32
 #: Distinct tokens that a task counts before it hands them on; tokens scored at a time.
 FLUSH, BLOCK = 200_000, 32_768
-#: Bytes of a token that is its own key.
-KEY_BYTES = 40
+#: Bytes of a token that is its own key; groups of tasks whose gradients are added first.
+KEY_BYTES, GROUPS = 40, 1024
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -256,7 +256,11 @@ def gradients(train: DataFrame, model: Model, blocks: int, id_col: str, text_col
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["block", "sums"])
 
     schema = "block int, sums binary"
-    parts = train.select(F.col(text_col).alias("t")).mapInArrow(run, schema).repartition(blocks, "block").mapInArrow(add, schema)
+    parts = train.select(F.col(text_col).alias("t")).mapInArrow(run, schema)
+    # Sums of some tasks first, then of those: no task reads what all tasks have made.
+    parts = parts.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    parts = parts.repartition("block", "group").select("block", "sums").mapInArrow(add, schema)
+    parts = parts.repartition(blocks, "block").mapInArrow(add, schema)
     joint = np.zeros((shape[0], shape[1] + 1), np.float32)
     for row in parts.collect():  # as many rows as there are blocks
         joint[row["block"] * per : (row["block"] + 1) * per] = np.frombuffer(row["sums"], np.float32).reshape(per, -1)
