@@ -156,8 +156,8 @@ def near_duplicates(df: DataFrame, width: int = 5, distance: int = 3, blocks: in
     named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = cut(named)
     # Only components of several fingerprints need a second minimum.
-    joined = named.join(found.select("root").distinct(), "root", "left_semi")
-    names = joined.groupBy("root").agg(F.min("least").alias("name"))
+    joined = named.join(cut(found.select("root").distinct()), "root", "left_semi")
+    names = cut(joined.groupBy("root").agg(F.min("least").alias("name")))  # cut: AQE can split a large component in the joins
     labels = named.join(names, "root", "left").select("fp", F.when(F.col("name").isNull(), F.col("least")).otherwise(F.col("name")).alias("component"))
     return marked.join(labels, "fp").select(id_col, "fp", "component")
 
