@@ -17,8 +17,8 @@ of the id, cover each of them once; in a round each task adds up the gradient of
 documents under the weights of the round, the sums are added by blocks of rows, and
 the driver takes one step scaled by each weight's own curvature.
 
-Counts cover the whole corpus and live in a table. The ``head`` most frequent tokens (a
-fixed number) go with the tasks; occurrences of all other tokens meet their counts in
+Counts cover the whole corpus and live in a table. The most frequent tokens (``head`` at
+most) go with the tasks; occurrences of all other tokens meet their counts in
 a join by token. A tail token is rare by definition, so that no key is hot.
 
 Rows: a null text counts as empty and has the end only. A document is known by its id
@@ -287,7 +287,15 @@ def fit(train: DataFrame, classes: int = 24, bits: int = 14, rounds: int = 3, he
         size[label[row["g"]]] += row["n"] + row["v"]
         mass[label[row["g"]]] += row["n"]
     totals = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    most = tokens.orderBy(F.desc("n"), "key").limit(head).toArrow()
+    # The most frequent tokens by bins of their counts: a sort would bring as many rows of each partition to one task.
+    order = F.floor(F.log2("n") * 64)
+    room, least = head, None
+    for row in sorted(tokens.groupBy(order.alias("bin")).count().collect(), reverse=True):  # 64 bins for each power of two
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["bin"]
+    most = tokens.where(order >= (math.inf if least is None else least)).select("key", "n").toArrow()
     known = dict(zip(most.column("key").to_pylist(), most.column("n").to_pylist()))
     bias = np.log((mass + 1) / (mass.sum() + classes)).astype(np.float32)
     model = Model(bits, label, np.zeros((1 << bits, classes), np.float32), bias, np.log10(size + 1), {}, totals["n"], totals["v"])
