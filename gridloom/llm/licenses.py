@@ -1,12 +1,20 @@
 """Licence scans: passages of texts against licence templates by Dice coefficient.
 
-A passage is a line, a paragraph (lines between blank ones) or a whole text. Passages
-and templates are normalised to words (letters and digits in lower case, spellings of
-licence alike, copyright lines left out) and compared by the Dice coefficient of their
-word bigrams, repeats included. With a threshold t, sizes a and b can reach t only if
-2 * min(a, b) >= t * (a + b); templates are sorted by size, so that this bound picks
-the few that a passage is compared with. A passage whose bigrams are found in no
-template often enough to reach t is passed over as well; both bounds are exact.
+A passage is any run of a text's words, whatever lines, paragraphs and sentences it
+crosses. Passages and templates are normalised to words (letters and digits in lower
+case, spellings of licence alike, copyright clauses left out) and compared by the Dice
+coefficient of their word bigrams, repeats included.
+
+All runs count, but few are looked at, and no bound loses any. With a threshold t, a
+passage of size a can reach t against a template of size b only if they share
+b * t / (2 - t) bigrams, which is asked of the whole text first. The best passage begins
+and ends with a bigram of the template, as any other end only adds to its size. A start
+is followed up only if the template's bigrams behind it are dense enough somewhere, and
+no further than a * t = b * (2 - t).
+
+Of passages that overlap, the one with most shared bigrams times its coefficient stays:
+a whole notice rather than the short one inside it, and the template that fits better.
+The words between those that stay are searched again.
 
 Each row is worked on by itself, in Arrow batches; nothing is shuffled.
 
@@ -20,21 +28,36 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import slices
 
-_WORD = re.compile(r"[a-z0-9]+").findall
-_COPYRIGHT = re.compile(r"\s*(?:copyright|\(c\)|©)", re.I)
+_WORD = re.compile(r"[a-z0-9]+")
+_LICENCE = re.compile(r"(?<![a-z0-9])licence")
+#: From a mark at the beginning of a line to the end of the sentence or line, or to words that a notice begins with.
+_COPYRIGHT = re.compile(
+    r"^[ \t#*/;%|-]*+(?:copyright|\(c\)|©)(?![ \t]+(?:holders?|owners?|notices?|laws?|statements?|disclaimers?|and|or)\b)"
+    r"(?:(?!\b(?:licen[cs]ed|released|distributed|permission|redistribution|spdx|this (?:program|work|file|software|source|is))\b)(?:[^\n.]|\.(?!\s|$)))*+\.?",
+    re.M,
+)
+#: Pairs of starts and ends that are compared at a time.
+BLOCK = 200_000
 
 
-def normalised(text: str) -> list[str]:
-    """Words of a passage."""
-    return ["license" + w[7:] if w.startswith("licence") else w for w in _WORD(text.lower())]
+def _lowered(text: str) -> str:
+    """The text in lower case without copyright clauses, each character in its place."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower()[0] for c in text)
+    if "copyright" in low or "(c)" in low or "©" in low:
+        low = _COPYRIGHT.sub(lambda m: " " * len(m[0]), low)
+    return _LICENCE.sub("license", low) if "licence" in low else low
 
 
 class Template(NamedTuple):
@@ -50,6 +73,16 @@ class Found(NamedTuple):
     dice: float
 
 
+class Window(NamedTuple):
+    """Words from first to last, and a template that they are like."""
+
+    weight: float
+    name: str
+    first: int
+    last: int
+    dice: float
+
+
 class Scanner:
     """Templates sorted by size, and the bigrams that any of them has."""
 
@@ -68,6 +101,17 @@ class Scanner:
         self.least = self.sizes[0] / spread if self.sizes else 1
         self.most = self.sizes[-1] * spread if self.sizes else 0
         self.spread = spread
+        # Words by number from 1; bigrams by their place among the sorted codes of all.
+        self.number = {w: k for k, w in enumerate(sorted({w for g in self.known for w in g}), 1)}
+        self.codes = np.array(sorted(self._code(g) for g in self.known), np.int64)
+        place = {c: k for k, c in enumerate(self.codes.tolist())}
+        own = [{place[self._code(g)]: c for g, c in t.bigrams.items()} for t in self.templates]
+        self.own = [(np.array(list(o)), np.array(list(o.values()))) for o in own]
+        self.begin = np.cumsum([0] + [len(o) for o in own])[:-1]
+        self.all = tuple(np.concatenate(x) for x in zip(*self.own)) if own else None
+
+    def _code(self, gram: tuple[str, str]) -> int:
+        return self.number[gram[0]] * (len(self.number) + 1) + self.number[gram[1]]
 
     @staticmethod
     def _grams(words: list[str]) -> Iterator[tuple[str, str]]:
@@ -75,10 +119,10 @@ class Scanner:
 
     @staticmethod
     def _words(text: str) -> list[str]:
-        return [w for line in text.split("\n") if not _COPYRIGHT.match(line) for w in normalised(line)]
+        return _WORD.findall(_lowered(text))
 
     def best(self, words: list[str]) -> tuple[str, float] | None:
-        """The template that a passage is most like, if by the threshold."""
+        """The template that a whole passage is most like, if by the threshold."""
         n = len(words) - 1
         if not self.least <= n <= self.most:
             return None
@@ -98,32 +142,93 @@ class Scanner:
         return found
 
     def scan(self, text: str) -> list[Found]:
-        """Licences of a text's passages, in order. A passage counts where none of its own parts is as like a template."""
-        lines: list[tuple[int, int, list[str]]] = []  # start, end, words
-        at = 0
-        for line in text.split("\n"):
-            lines.append((at, at + len(line), [] if _COPYRIGHT.match(line) else normalised(line)))
-            at += len(line) + 1
-        paragraphs: list[list] = [[]]
-        for line in lines:
-            if text[line[0] : line[1]].strip():
-                paragraphs[-1].append(line)
-            elif paragraphs[-1]:
-                paragraphs.append([])
+        """Licences of a text's passages, in order and without overlap."""
+        low = _lowered(text)
+        words = _WORD.findall(low)
+        if len(words) - 1 < self.least or self.all is None:
+            return []
+        ids = np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
+        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        code = ids[at] * (len(self.number) + 1) + ids[at + 1]
+        gram = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = self.codes[gram] == code
+        at, gram = at[hit], gram[hit]
+        chosen: list[Window] = []
+        parts = [(0, len(words))]
+        while parts:
+            low_end, high_end = parts.pop()
+            a, b = np.searchsorted(at, (low_end, high_end - 1))
+            if b - a < self.least:
+                continue
+            edge = low_end
+            for w in self._apart(self._windows(at[a:b], gram[a:b])):
+                chosen.append(w)
+                parts.append((edge, w.first))
+                edge = w.last + 1
+            if edge > low_end:
+                parts.append((edge, high_end))
+        if not chosen:
+            return []
+        spots = [m.span() for m in _WORD.finditer(low)]
+        return [Found(*self._stretch(text, spots[w.first][0], spots[w.last][1]), w.name, w.dice) for w in sorted(chosen, key=lambda w: w.first)]
+
+    @staticmethod
+    def _stretch(text: str, start: int, end: int) -> tuple[int, int]:
+        """The place with the punctuation that touches it."""
+        while start and not (text[start - 1].isspace() or text[start - 1].isalnum()):
+            start -= 1
+        while end < len(text) and not (text[end].isspace() or text[end].isalnum()):
+            end += 1
+        return start, end
+
+    def _windows(self, at: np.ndarray, gram: np.ndarray) -> list[Window]:
+        """For each template and start, the passage that is most like it, if by the threshold."""
+        counts = np.bincount(gram, minlength=len(self.codes))
+        shared = np.add.reduceat(np.minimum(counts[self.all[0]], self.all[1]), self.begin)
         out = []
-        for paragraph in filter(None, paragraphs):
-            parts = [f for line in paragraph for f in self._passage([line], [])] if len(paragraph) > 1 else []
-            out += self._passage(paragraph, parts)
-        return self._passage(lines, out)
-
-    def _passage(self, lines: list[tuple[int, int, list[str]]], parts: list[Found]) -> list[Found]:
-        """The passage itself, or what was found in its parts."""
-        if not self.least <= sum(len(w) for _, _, w in lines) - 1 <= self.most:
-            return parts
-        found = self.best([w for _, _, words in lines for w in words])
-        if not found or any(f.dice >= found[1] for f in parts):
-            return parts
-        return [Found(lines[0][0], lines[-1][1], *found)]
+        for k in np.flatnonzero(shared * self.spread >= np.array(self.sizes) - 1e-9).tolist():
+            own = np.zeros(len(self.codes), np.int64)
+            own[self.own[k][0]] = self.own[k][1]
+            mine = own[gram] > 0
+            out += self._of_template(self.templates[k], at[mine], gram[mine], own)
+        return out
+
+    def _of_template(self, t: Template, at: np.ndarray, gram: np.ndarray, own: np.ndarray) -> Iterator[Window]:
+        n = len(at)
+        # A bigram counts from a start on if fewer of its kind than the template has lie between: its place that many back is before the start.
+        order = np.argsort(gram, kind="stable")
+        source = np.arange(n) - own[gram[order]]
+        same = (source >= 0) & (gram[order[source]] == gram[order])
+        back = np.full(n, -1)
+        back[order[same]] = order[source[same]]
+        dense = 2 * np.arange(n) - self.threshold * at
+        starts = np.flatnonzero(np.maximum.accumulate(dense[::-1])[::-1] - dense >= self.threshold * (1 + t.size) - 2 - 1e-9)
+        width = min(n, int(t.size * self.spread + 1e-9))
+        per = max(1, BLOCK // width)
+        for begin in range(0, len(starts), per):
+            start = starts[begin : begin + per, None]
+            end = start + np.arange(width)
+            inside = end < n
+            end = np.minimum(end, n - 1)
+            both = ((back[end] < start) & inside).cumsum(axis=1)
+            dice = np.where(inside, 2 * both / (at[end] - at[start] + 1 + t.size), 0)
+            top = dice.argmax(axis=1)
+            for r in np.flatnonzero(dice.max(axis=1) >= self.threshold).tolist():
+                d = float(dice[r, top[r]])
+                yield Window(float(both[r, top[r]]) * d, t.name, int(at[start[r, 0]]), int(at[end[r, top[r]]]) + 1, d)
+
+    @staticmethod
+    def _apart(windows: list[Window]) -> list[Window]:
+        """Windows without overlap, weightiest first, sorted by place."""
+        out: list[Window] = []
+        if windows:
+            low = min(w.first for w in windows)
+            taken = np.zeros(max(w.last for w in windows) + 1 - low, bool)
+            for w in sorted(windows, key=lambda w: (-w.weight, w.name, w.first)):
+                if not taken[w.first - low : w.last + 1 - low].any():
+                    taken[w.first - low : w.last + 1 - low] = True
+                    out.append(w)
+        return sorted(out, key=lambda w: w.first)
 
 
 def scan(df: DataFrame, threshold: float = 0.8, templates: Sequence[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
