@@ -7,9 +7,11 @@ a run of its first characters begins, or right after the match before it, and re
 take what they can and do not go back. (The form of cards fits a lone digit as well,
 which is no card.)
 
-Context: words that hold a whole match are the seeds. The one and two words in front
-of an identifier-like word (one with a digit or an @) are its patterns. Patterns and
-instances form a graph that is scored in rounds:
+Context: numbers parted by blanks alone ("+1 (555) 123-4567", cards in groups of four)
+are one word here. Words that begin with a whole match are the seeds, and the match is
+the instance. The one and two words in front of an identifier-like word (one with a
+digit or an @) are its patterns. Patterns and instances form a graph that is scored in
+rounds:
 
 * a pattern's confidence for a kind is the score of the instances that follow it over
   all its occurrences in the corpus, whatever follows; it counts only with
@@ -95,9 +97,13 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select("id", "h", F.array_sort(F.concat(*(_spans(F.col("t"), k) for k in KINDS))).alias("base"))
 
 
+#: Where words begin: behind blanks, but not inside a run of numbers (the word in front has no letter and ends in a digit or bracket).
+_BEGIN = r"(?<=\s)(?=\S)(?!(?=(?:- )?\(?[0-9])(?<=[0-9)](?: -)? {1,3})(?<![\p{L}@]\S{0,40} {1,3}))"
+
+
 def _words(text: Column) -> Column:
-    """A text's words, each with the blanks behind it; leading blanks are a word of their own."""
-    return F.split(text, r"(?<=\s)(?=\S)")
+    """A text's words, each with the blanks behind it; leading blanks are a word of their own, runs of numbers are one."""
+    return F.split(text, _BEGIN)
 
 
 def _core(word: Column) -> Column:
@@ -109,10 +115,21 @@ def _near(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _plain(word: Column) -> Column:
+    """A word as part of a pattern, without blanks."""
+    return F.replace(F.lower(F.trim(word)), F.lit(" "), F.lit("_"))
+
+
+def _seed(core: Column) -> Column:
+    """(kind, span) of the first kind whose form a word begins with, if the match counts; else null."""
+    hits = [(k, F.regexp_extract(core, f"^(?:{FORMS[k]})", 0)) for k in KINDS]
+    return F.coalesce(*(F.when((hit != "") & valid(k, hit), F.struct(F.lit(k).alias("kind"), hit.alias("span"))) for k, hit in hits))
+
+
 def _context(w: Column, i: Column) -> Column:
     """The patterns in front of word ``i`` (from 0): the word before, and the two before."""
-    one = F.lower(F.trim(F.get(w, i - 1)))
-    return F.when(i > 1, F.array(one, F.concat_ws(" ", F.lower(F.trim(F.get(w, i - 2))), one))).when(i > 0, F.array(one)).otherwise(F.array().cast("array<string>"))
+    one = _plain(F.get(w, i - 1))
+    return F.when(i > 1, F.array(one, F.concat_ws(" ", _plain(F.get(w, i - 2)), one))).when(i > 0, F.array(one)).otherwise(F.array().cast("array<string>"))
 
 
 def _trimmed(w: Column) -> Column:
@@ -135,7 +152,7 @@ def pattern_counts(docs: DataFrame, patterns: DataFrame, text_col: str = "text")
     ends = patterns.select(F.substring_index("pattern", " ", -1).alias("end")).distinct()
     w = F.col("w")
     rows = docs.select(_trimmed(_words(F.col(text_col))).alias("w")).select("w", F.posexplode("w").alias("i", "word")).where(F.col("i") < F.size("w") - 1)
-    rows = rows.withColumn("end", F.lower("word")).join(_near(ends, n), "end").select(F.explode(_context(w, F.col("i") + 1)).alias("pattern"))
+    rows = rows.withColumn("end", _plain(F.col("word"))).join(_near(ends, n), "end").select(F.explode(_context(w, F.col("i") + 1)).alias("pattern"))
     return rows.join(_near(patterns, n), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
 
 
@@ -143,12 +160,15 @@ def bootstrap(docs: DataFrame, rounds: int = 3, confidence: float = 0.5, accept:
     """(id, h, i, kind): the words that context, not form, tells to be identifiers of a kind."""
     seen = cut(occurrences(docs, id_col, text_col))
     edges = seen.select("core", F.explode("patterns").alias("pattern")).groupBy("core", "pattern").agg(F.count("*").alias("n"))
+    forms = edges.select("core").distinct().withColumn("seed", _seed(F.col("core"))).where("seed is not null")
+    forms = cut(forms.select("core", F.col("seed.kind").alias("kind"), F.col("seed.span").alias("span")))
+    longer = forms.where("core <> span").select("core", "span")  # words that go on behind the match
+    edges = edges.join(_near(longer, longer.count()), "core", "left").groupBy(F.coalesce("span", "core").alias("core"), "pattern").agg(F.sum("n").alias("n"))
     often = edges.groupBy("pattern").agg(F.count("*").alias("distinct")).where(F.col("distinct") >= support).select("pattern")
     often = cut(often)
     totals = pattern_counts(docs, often, text_col)
     edges = cut(edges.join(totals, "pattern"))
-    kind = F.coalesce(*(F.when(F.col("core").rlike(f"^(?:{FORMS[k]})$"), F.when(valid(k, F.col("core")), F.lit(k))) for k in KINDS))
-    seeds = cut(edges.select("core").distinct().select("core", kind.alias("kind")).where("kind is not null"))
+    seeds = cut(edges.select("core").distinct().join(forms.groupBy(F.col("span").alias("core")).agg(F.min("kind").alias("kind")), "core"))
     scores = seeds.select("core", "kind", F.lit(1.0).alias("score"))
     sure = None
     for _ in range(rounds):
