@@ -48,7 +48,7 @@ def test_any_texts(texts):
     want = [library.encode(t) for t in texts]
     assert [g.tolist() for g in codec.Encoder(data).encode(texts)] == want
     counter = _counter()
-    assert [counter.count(t) for t in texts] == list(map(len, want))
+    assert counter.counts(texts) == list(map(len, want))
 
 
 @functools.cache
@@ -93,26 +93,44 @@ def codec_text(m, ids):
     return b"".join(bytes([i]) if i < 256 else m.pieces[i].encode() for i in ids).decode()
 
 
-def test_chunks_compose(model):
+UNBROKEN = ["a" * 5000, "ab" * 3001, "the" * 2000, "thequickbrownfoxjumpsoverthelazydog" * 150, "ininininin" * 300 + " x " + "tion" * 900, "日本語テキスト" * 400]
+
+
+@pytest.mark.parametrize("chunk, look, stretch, rounds", [(1, 3, 50, 6), (2, 1, 7, 0), (7, 0, 1000, 1), (50, 5, 1 << 20, 6), (512, 48, 1 << 20, 6)])
+def test_chunks_compose(model, monkeypatch, chunk, look, stretch, rounds):
+    """Whatever is guessed about the states between chunks, and wherever texts are cut."""
+    for name, value in (("CHUNK_CHARS", chunk), ("LOOK", look), ("STRETCH", stretch), ("ROUNDS", rounds)):
+        monkeypatch.setattr(token_counts, name, value)
+    texts = [*HARD, "the quick  brown\nfox " * 30, *([u[:600] for u in UNBROKEN] if chunk < 50 else UNBROKEN)]
+    assert token_counts.Counter(spm.Model.parse(model.data)).counts(texts) == list(map(len, model.library.encode(texts)))
+
+
+def test_state_maps_hold_numbers_and_compose_associatively():
+    a, b, c = {1: (2, 5), 3: (4, 6)}, {2: (7, -1), 4: (7, 1)}, {7: (9, 3)}
+    assert token_counts.compose(token_counts.compose(a, b), c) == token_counts.compose(a, token_counts.compose(b, c)) == {1: (9, 7), 3: (9, 10)}
+    assert token_counts.scan([a, b, c]) == [a, {1: (7, 4), 3: (7, 7)}, {1: (9, 7), 3: (9, 10)}]
+
+
+def test_memory_is_linear_in_a_text_without_blanks(model):
+    """What is held besides the text grows no faster than the text does."""
+    import tracemalloc
+
     counter = token_counts.Counter(spm.Model.parse(model.data))
-    for text in [*HARD, "the quick  brown\nfox " * 30]:
-        marked = counter.model.marked(text)
-        whole = counter.closed(marked)
-        for size in (1, 2, 7, 50):
-            maps = [counter.state_map(marked[k : k + size]) for k in range(0, len(marked), size)]
-            if maps:
-                prefixes = counter.scan(maps)
-                assert counter.total(prefixes[-1]) == whole
-                left = maps[0]
-                for m in maps[1:]:
-                    left = counter.compose(left, m)
-                assert counter.total(left) == whole
+    unit, peaks = "thequickbrownfoxjumpsoverthelazydog", []
+    counter.counts([unit * 1000])
+    for n in (10_000, 40_000):
+        tracemalloc.start()
+        counter.counts([unit * n])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 6 * peaks[0]
 
 
 def test_a_full_transducer_is_compiled_anew(model, monkeypatch):
     monkeypatch.setattr(token_counts, "STATE_LIMIT", 10)
-    text = "Several words, more than ten states of them."
-    assert token_counts.Counter(spm.Model.parse(model.data)).count(text) == len(model.library.encode(text))
+    monkeypatch.setattr(token_counts, "STRETCH", 20)
+    texts = ["Several words, more than ten states of them." * 3, "andoneofthemunbroken" * 9]
+    assert token_counts.Counter(spm.Model.parse(model.data)).counts(texts) == list(map(len, model.library.encode(texts)))
 
 
 ROWS = [(1, "hello world", 7), (1, "hello world", 7), (None, None, 8), (2, "", 9), (3, "long " * 30_000, 1)]
