@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from gridloom.params import BORDER_MODES, MERGES, Params
-from gridloom.plans.summary import dump, run
+from gridloom.plans.summary import dump, preview, run
 from gridloom.sources.points import read_points
 from gridloom.sources.sinks import write_labels, write_summary
 
@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--files", type=int, help="merge the labels into so many files")
     p.add_argument("--run-id", default="run")
     p.add_argument("--debug-dir", help="write the steps over grid cells there, too")
+    p.add_argument("--preview", type=int, help="print so many rows of each step over grid cells")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("gridloom").getOrCreate()
     params = Params(a.eps, a.min_pts, a.cell_factor, a.buffer_factor, a.border_mode, a.merge)
@@ -35,6 +36,9 @@ def main(argv: list[str] | None = None) -> None:
     write_summary(summary, f"{a.output}/summary")
     if a.debug_dir:
         dump(points, params, a.debug_dir)
+    if a.preview:
+        for name, rows in preview(points, params, a.preview).items():
+            print(name, *rows, sep="\n  ")
 
 
 if __name__ == "__main__":

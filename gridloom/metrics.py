@@ -17,11 +17,16 @@ class Totals:
     seconds: float = 0.0
     stages: int = 0
     tasks: int = 0
+    task_seconds: float = 0.0
     shuffle_read_mb: float = 0.0
     shuffle_write_mb: float = 0.0
     memory_spilled_mb: float = 0.0
     disk_spilled_mb: float = 0.0
 
+    def add(self, other: Totals) -> None:
+        for name, value in vars(other).items():
+            setattr(self, name, getattr(self, name) + value)
+
 
 @dataclass
 class Watch:
@@ -38,7 +43,7 @@ class Watch:
         out = {}
         for k in range(found.size()):
             s = found.apply(k)
-            out[s.stageId(), s.attemptId()] = (s.numCompleteTasks(), s.shuffleReadBytes(), s.shuffleWriteBytes(), s.memoryBytesSpilled(), s.diskBytesSpilled())
+            out[s.stageId(), s.attemptId()] = (s.numCompleteTasks(), s.executorRunTime(), s.shuffleReadBytes(), s.shuffleWriteBytes(), s.memoryBytesSpilled(), s.diskBytesSpilled())
         return out
 
     def __enter__(self) -> Watch:
@@ -49,10 +54,11 @@ class Watch:
     def __exit__(self, *_: object) -> None:
         t = self.totals
         t.seconds = time.perf_counter() - self._began
-        for key, (tasks, read, write, memory, disk) in self._stages().items():
+        for key, (tasks, run, read, write, memory, disk) in self._stages().items():
             if key not in self._before and tasks:
                 t.stages += 1
                 t.tasks += tasks
+                t.task_seconds += run / 1000
                 t.shuffle_read_mb += read / MB
                 t.shuffle_write_mb += write / MB
                 t.memory_spilled_mb += memory / MB

@@ -21,7 +21,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     neighbour of its smaller end, and a small star all smaller ends of a node on the least
     of them. The minima are sums by key, cut from their lineage before they are joined
     back: both sides of the join then have a shuffle of their own, and AQE splits a key
-    that holds many of the edges.
+    that holds many of the edges. More than ``rounds`` rounds (which grow with the logarithm
+    of a component's size, squared at most) raise an error.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     state = None
@@ -75,10 +76,16 @@ class UnionFind:
         return [(x, self.find(x)) for x in list(self.parent)]
 
 
-def components_on_driver(edges: DataFrame) -> DataFrame:
-    """The same, by a union-find on the driver; more than ``DRIVER_EDGES`` edges are left to :func:`components`."""
+def components_on_driver(edges: DataFrame, strict: bool = False) -> DataFrame:
+    """The same, by a union-find on the driver.
+
+    More than ``DRIVER_EDGES`` edges are left to :func:`components`, or refused if ``strict``.
+    """
     edges = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if edges.count() > DRIVER_EDGES:
+    n = edges.count()
+    if n > DRIVER_EDGES:
+        if strict:
+            raise ValueError(f"{n} edges are too many for the driver; use merge='auto' or 'distributed'")
         return components(edges)
     kind = edges.schema["a"].dataType.simpleString()
     found = UnionFind.of((r["a"], r["b"]) for r in edges.collect())
@@ -87,7 +94,7 @@ def components_on_driver(edges: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame, merge: str) -> DataFrame:
     """Components where ``merge`` wants them found."""
-    return components(edges) if merge == "distributed" else components_on_driver(edges)
+    return components(edges) if merge == "distributed" else components_on_driver(edges, strict=merge == "driver")
 
 
 def with_isolated(found: DataFrame, nodes: DataFrame) -> DataFrame:

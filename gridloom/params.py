@@ -20,7 +20,8 @@ class Params:
     ``border_mode`` says which cluster a border point joins: ``standard`` the one whose
     smallest core id is least; ``visit_order`` the one a sequential scan in id order
     would give it, which can also be none. ``merge`` says where components are found: in
-    DataFrames, by a union-find on the driver, or there only if the edges are few.
+    DataFrames (``distributed``), by a union-find on the ``driver``, which refuses more edges
+    than it has room for, or (``auto``) there if the edges, counted first, are few.
     """
 
     eps: float = 0.03

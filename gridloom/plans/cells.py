@@ -2,7 +2,7 @@
 
 The steps show how clusters of cells are put together. Core flags are exact before any
 cell is looked at, so that copies never have a status of their own, and the result is
-that of :func:`gridloom.plans.dbscan.dbscan`, which is the way for large inputs.
+that of :func:`gridloom.plans.clustering.density_clusters`, which is the way for large inputs.
 """
 
 from __future__ import annotations
@@ -59,8 +59,8 @@ class Cells:
         """(cell_id, a, b, b_core): neighbours that both have copies in a cell, a core."""
         pairs = neighbor_pairs(self.points, self.params, self.dims).where("a != b")
         a = self.copies.where("is_core").select(F.col("id").alias("a"), "cell_id")
-        b = self.copies.select(F.col("id").alias("b"), F.col("cell_id").alias("cell2"), F.col("is_core").alias("b_core"))
-        return pairs.join(a, "a").join(b, "b").where("cell_id = cell2").select("cell_id", "a", "b", "b_core")
+        b = self.copies.select(F.col("id").alias("b"), "cell_id", F.col("is_core").alias("b_core"))
+        return pairs.join(a, "a").join(b, ["b", "cell_id"]).select("cell_id", "a", "b", "b_core")
 
     @cached_property
     def local(self) -> DataFrame:

@@ -1,4 +1,4 @@
-"""DBSCAN: labels that do not depend on the order or partitioning of rows."""
+"""Density-based clusters: labels that do not depend on the order or partitioning of rows."""
 
 from __future__ import annotations
 
@@ -12,16 +12,17 @@ from gridloom.params import Params
 from gridloom.sources.points import dimensions
 
 
-def dbscan(points: DataFrame, params: Params) -> DataFrame:
+def density_clusters(points: DataFrame, params: Params, flagged: DataFrame | None = None) -> DataFrame:
     """(id, coords, is_core, root, cluster_id) of every point.
 
     ``root`` is the least core id of a point's cluster, null for noise. Clusters are
-    numbered from 1 in the order of their roots; noise has cluster -1.
+    numbered from 1 in the order of their roots; noise has cluster -1. ``flagged`` are the
+    rows of :func:`core_points`, where they are known already.
     """
     dims = dimensions(points)
     if dims is None:
         return points.select("id", "coords", F.lit(False).alias("is_core"), F.lit(None).cast("long").alias("root"), F.lit(-1).alias("cluster_id"))
-    flagged = cut(core_points(points, params, dims))
+    flagged = cut(core_points(points, params, dims)) if flagged is None else flagged
     rooted = cut(core_components(flagged, params, dims))
     met = touching(flagged, rooted, params, dims).groupBy("id").agg(F.min("root").alias("least"), F.min(F.when(F.col("core") == F.col("root"), F.col("root"))).alias("seed"))
     if params.border_mode == "standard":

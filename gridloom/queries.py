@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.lineage import shared_dir
 from gridloom.operators import components as graph
 from gridloom.operators import density, grid, neighbors
 from gridloom.params import Params
 from gridloom.plans import summary
 from gridloom.plans.cells import Cells
-from gridloom.plans.dbscan import dbscan
-from gridloom.sources.points import numbered, points_of
+from gridloom.plans.clustering import density_clusters
+from gridloom.sources.points import numbered, points_of, read_points
 from gridloom.sources.sinks import rendered
 
 CUSTOMERS = Params(eps=0.045, min_pts=11)
@@ -50,6 +52,14 @@ def scan_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers(spark, sf_dir).select("id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"))
 
 
+def text_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers written as lines of text, in the order of their ids, and read again."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    lines = customers(spark, sf_dir).repartitionByRange("id").sortWithinPartitions("id").select(F.array_join(F.col("coords").cast("array<string>"), ",").alias("line"))
+    lines.write.text(path)
+    return read_points(spark, path).select("id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"))
+
+
 def row_number_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(_table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], "row_id")
 
@@ -121,24 +131,24 @@ def core_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dbscan(customers(spark, sf_dir), CUSTOMERS)
+    return density_clusters(customers(spark, sf_dir), CUSTOMERS)
 
 
-def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labels(spark, sf_dir).select("id", "is_core", "cluster_id")
 
 
-def dbscan_visit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cluster_visit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = Params(CUSTOMERS.eps, CUSTOMERS.min_pts, border_mode="visit_order")
-    return dbscan(customers(spark, sf_dir), params).select("id", "cluster_id")
+    return density_clusters(customers(spark, sf_dir), params).select("id", "cluster_id")
 
 
-def dbscan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dbscan(orders(spark, sf_dir), ORDERS).select("id", "is_core", "cluster_id")
+def cluster_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density_clusters(orders(spark, sf_dir), ORDERS).select("id", "is_core", "cluster_id")
 
 
-def dbscan_baskets_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dbscan(baskets(spark, sf_dir), BASKETS).select("id", "is_core", "cluster_id")
+def cluster_baskets_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density_clusters(baskets(spark, sf_dir), BASKETS).select("id", "is_core", "cluster_id")
 
 
 def classify_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +176,7 @@ def render_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = customers(spark, sf_dir)
-    return summary.counts(points, dbscan(points, CUSTOMERS), CUSTOMERS)
+    return summary.counts(points, density_clusters(points, CUSTOMERS), CUSTOMERS)
 
 
 def _cells(spark: SparkSession, sf_dir: str, merge: str = "auto") -> Cells:
@@ -219,9 +229,9 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        scan_points, row_number_ids, bounds, grid_shape, home_cell, ghost_assignments, home_copies, ghost_count, cell_occupancy,
+        scan_points, text_points, row_number_ids, bounds, grid_shape, home_cell, ghost_assignments, home_copies, ghost_count, cell_occupancy,
         neighbor_pairs, pairwise_distance, neighbor_counts, neighbor_counts_64d, radius_search, core_points, core_components,
-        dbscan_labels, dbscan_visit_order, dbscan_orders, dbscan_baskets_3d, classify_points, clustered_points, noise_points,
+        cluster_labels, cluster_visit_order, cluster_orders, cluster_baskets_3d, classify_points, clustered_points, noise_points,
         cluster_ids, render_points, run_summary, local_clusters, point_copies, local_cluster_keys, same_point_edges,
         component_edges, connected_components, union_find, point_to_global, graph_components,
     )
@@ -302,6 +312,7 @@ visited AS (SELECT pts.id, coalesce(cc.root, CASE WHEN least < pts.id THEN least
 
 ORACLE_SQL: dict[str, str] = {
     "scan_points": f"SELECT id, c0 AS x, c1 AS y FROM ({_POINTS['customer']})",
+    "text_points": f"SELECT row_number() OVER (ORDER BY id) - 1 AS id, c0 AS x, c1 AS y FROM ({_POINTS['customer']})",
     "row_number_ids": "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS row_id FROM customer",
     "bounds": f"{_CUSTOMER} SELECT count(*) AS n, min(c0) AS min_0, max(c0) AS max_0, min(c1) AS min_1, max(c1) AS max_1 FROM pts",
     "grid_shape": f"{_GRID} SELECT {_SIZE}::DOUBLE AS cell_size, {_BUFFER}::DOUBLE AS buffer, n0 AS cells_0, n1 AS cells_1, n0 * n1 AS total_cells FROM shape",
@@ -319,10 +330,10 @@ ORACLE_SQL: dict[str, str] = {
     "radius_search": f"{_CUSTOMER}, q AS (SELECT {CENTRE[0]}::DOUBLE AS c0, {CENTRE[1]}::DOUBLE AS c1) SELECT pts.id, {_near('pts', 'q', 2)} AS d2 FROM pts, q WHERE {_near('pts', 'q', 2)} <= {RADIUS * RADIUS!r}",
     "core_points": f"{_CUSTOMER} SELECT pts.id, core.id IS NOT NULL AS is_core FROM pts LEFT JOIN core ON core.id = pts.id",
     "core_components": f"{_CUSTOMER} SELECT id, root FROM cc",
-    "dbscan_labels": f"{_CUSTOMER} SELECT id, is_core, cluster_id FROM labels",
-    "dbscan_visit_order": f"{_VISIT} SELECT id, coalesce(cluster_id, -1) AS cluster_id FROM visited LEFT JOIN num ON num.root = visited.root",
-    "dbscan_orders": f"{_steps('orders', 2, ORDERS)} SELECT id, is_core, cluster_id FROM labels",
-    "dbscan_baskets_3d": f"{_steps('baskets', 3, BASKETS)} SELECT id, is_core, cluster_id FROM labels",
+    "cluster_labels": f"{_CUSTOMER} SELECT id, is_core, cluster_id FROM labels",
+    "cluster_visit_order": f"{_VISIT} SELECT id, coalesce(cluster_id, -1) AS cluster_id FROM visited LEFT JOIN num ON num.root = visited.root",
+    "cluster_orders": f"{_steps('orders', 2, ORDERS)} SELECT id, is_core, cluster_id FROM labels",
+    "cluster_baskets_3d": f"{_steps('baskets', 3, BASKETS)} SELECT id, is_core, cluster_id FROM labels",
     "classify_points": f"{_CUSTOMER} SELECT id, CASE WHEN is_core THEN 'core' WHEN root IS NOT NULL THEN 'border' ELSE 'noise' END AS kind FROM labels",
     "clustered_points": f"{_CUSTOMER} SELECT id, cluster_id FROM labels WHERE cluster_id > 0",
     "noise_points": f"{_CUSTOMER} SELECT id FROM labels WHERE cluster_id = -1",

@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 
 from gridloom.functions.geometry import single
 
+#: Splits of text files whose first numbers may be broadcast.
+BROADCAST_BLOCKS = 100_000
+
 SCHEMA = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("coords", T.ArrayType(T.DoubleType(), False), False)])
 
 
@@ -54,10 +57,18 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     with something that is no number, fails the job. An empty input has no points.
     Trailing commas are ignored.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    lines = lines.where(F.trim("value") != "")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id())
+    # A block's lines stand together in one partition, so that they are numbered from its first; nothing is shuffled.
+    blocks = sorted(tuple(r) for r in lines.groupBy("file", "block").agg(F.count("*"), F.min("at")).collect())  # as many rows as splits of files
+    starts, total = [], 0
+    for file, block, n, first in blocks:
+        starts.append((file, block, total - first))
+        total += n
+    table = spark.createDataFrame(starts, "file string, block long, shift long")
+    table = F.broadcast(table) if len(starts) <= BROADCAST_BLOCKS else table
     parts = F.split(F.regexp_replace("value", ",+$", ""), ",")
-    rows = numbered(lines, ["file", "block", "at"]).select("id", F.transform(parts, lambda p: single(F.trim(p))).alias("coords"))
+    rows = lines.join(table, ["file", "block"]).select((F.col("at") + F.col("shift")).alias("id"), F.transform(parts, lambda p: single(F.trim(p))).alias("coords"))
     width = dimensions(rows)
     if width is None:
         return spark.createDataFrame([], SCHEMA)

@@ -3,24 +3,24 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from gridloom import Params, dbscan
+from gridloom import Params, density_clusters
 from gridloom.operators import density
 from gridloom.plans import summary
 from gridloom.plans.cells import Cells
 from tests import brute
-from tests.data import NINETEEN, frame
+from tests.data import BOWS, frame
 
 
 def clusters(spark, points, params):
-    return [r.cluster_id for r in dbscan(frame(spark, points), params).orderBy("id").collect()]
+    return [r.cluster_id for r in density_clusters(frame(spark, points), params).orderBy("id").collect()]
 
 
 FIXTURES = [
     ([(0, 0), (0.1, 0.1), (0.2, 0), (10, 10), (10.1, 10.1), (10.2, 10), (50, 50)], Params(0.5, 2), [1, 1, 1, 2, 2, 2, -1]),
     ([(0.1, 0.1), (1.9, 0.1), (2.1, 0.1), (4.0, 4.0)], Params(1, 2, 2, 1), [-1, 1, 1, -1]),
     ([(0.2, 0.2), (0.25, 0.2), (0.2, 0.25), (0.25, 0.25), (0.7, 0.7)], Params(0.12, 2), [1, 1, 1, 1, -1]),
-    (NINETEEN, Params(0.15, 2), [1, 1, 1, 1, 2, 1, 1, 1, 1, -1, 2, 2, 2, 2, 2, 2, 2, 2, 2]),
-    (NINETEEN, Params(0.18, 4), [1, 1, 1, 1, -1, 1, 1, -1, -1, -1, 2, 2, 2, 2, 2, 2, -1, -1, -1]),
+    (BOWS, Params(0.15, 2), [1, 1, 1, 2, 2, 2, 2, -1, 3, 3, 3, 3, 3, 3, 3, 4, 4]),
+    (BOWS, Params(0.18, 3), [1, 1, 1, 1, 1, 1, 1, -1, 2, 2, 2, 2, 2, 2, 2, -1, -1]),
 ]
 
 
@@ -47,7 +47,7 @@ def cloud(seed, n, dims):
 def test_labels_are_those_of_brute_force(spark, seed, n, dims, eps, min_pts):
     points = cloud(seed, n, dims)
     want, core = brute.labels(points, Params(eps, min_pts))
-    rows = dbscan(frame(spark, points).repartition(5), Params(eps, min_pts)).orderBy("id").collect()
+    rows = density_clusters(frame(spark, points).repartition(5), Params(eps, min_pts)).orderBy("id").collect()
     assert [r.cluster_id for r in rows] == want
     assert [r.is_core for r in rows] == core
     assert clusters(spark, points, Params(eps, min_pts, merge="driver")) == want
@@ -97,10 +97,12 @@ def test_cells_come_to_the_same_labels(spark, factor, merge):
 
 
 def test_summary(spark):
-    labelled, row = summary.run(frame(spark, NINETEEN), Params(0.18, 4), "r1", "nineteen")
+    labelled, row = summary.run(frame(spark, BOWS), Params(0.18, 3), "r1", "bows")
     row = row.first()
-    assert (row.total_points, row.num_clusters, row.core_points, row.noise_points, row.border_points) == (19, 2, 7, 7, 5)
-    assert labelled.count() == 19 and row.dbscan_seconds > 0 and row.read_seconds > 0
-    assert row.neighbor_queries == 19 and row.stages > 0 and row.tasks >= row.stages and row.shuffle_write_mb >= 0
+    assert (row.total_points, row.num_clusters, row.core_points, row.noise_points, row.border_points) == (17, 2, 10, 3, 4)
+    assert labelled.count() == 17 and row.cluster_seconds > 0 and row.read_seconds > 0
+    assert row.neighbor_queries == 17 and 0 < row.neighbor_percent <= 100 and row.neighbor_seconds > 0 and row.stages > 0 and row.tasks >= row.stages and row.shuffle_write_mb >= 0
+    some = summary.preview(frame(spark, BOWS), Params(0.18, 3), 4)
+    assert {name: len(rows) for name, rows in some.items()} == {"copies": 4, "core_flags": 4, "local_clusters": 4, "merge_edges": 4, "components": 4, "labels": 4}
     empty, none = summary.run(frame(spark, []), Params(0.18, 4))
     assert empty.collect() == [] and none.first().total_points == 0

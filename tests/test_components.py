@@ -43,6 +43,17 @@ def test_long_chains_and_stars(spark):
     assert got == {k: 0 for k in range(301)} | {k: 1000 for k in range(1000, 1501)}
 
 
+def test_merge_modes_beyond_the_drivers_room(spark, monkeypatch):
+    from gridloom.operators import components as module
+
+    monkeypatch.setattr(module, "DRIVER_EDGES", 2)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (4, 5)], "a long, b long")
+    for merge in ("auto", "distributed"):
+        assert sets(module.connected(edges, merge).collect()) == {1: {1, 2, 3}, 4: {4, 5}}
+    with pytest.raises(ValueError):
+        module.connected(edges, "driver")
+
+
 def test_no_edges(spark):
     empty = spark.createDataFrame([], "a long, b long")
     assert components(empty).collect() == [] and components_on_driver(empty).collect() == []

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom import Params
 from gridloom.operators import grid
-from tests.data import NINETEEN, frame
+from tests.data import BOWS, frame
 
 
 def test_copies_of_four_points(spark):
@@ -18,9 +18,9 @@ def test_copies_of_four_points(spark):
     assert sorted((r.id, *r.cell) for r in rows if not r.is_home) == [(1, 1, 0), (2, 1, 0), (3, 1, 2), (3, 2, 1), (3, 2, 2)]
 
 
-@pytest.mark.parametrize(("factor", "shape", "ghosts"), [(1, (6, 6), 105), (3, (3, 3), 16)])
-def test_copies_of_nineteen_points(spark, factor, shape, ghosts):
-    points = frame(spark, NINETEEN)
+@pytest.mark.parametrize(("factor", "shape", "ghosts"), [(1, (8, 8), 118), (3, (4, 4), 22)])
+def test_copies_of_two_bows(spark, factor, shape, ghosts):
+    points = frame(spark, BOWS)
     g = grid.grid_of(points, Params(0.15, 2, factor, 1))
     assert g.shape == shape
     assert grid.copies(points, g).where(~F.col("is_home")).count() == ghosts

@@ -33,6 +33,16 @@ def test_many_files_keep_their_order(spark, tmp_path):
     assert [tuple(r.coords) for r in rows] == [(float(k), float(j)) for k in range(3) for j in range(40)]
 
 
+def test_files_of_many_blocks_keep_their_order(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("".join(f"{j},1\n" + "\n" * (j % 3) for j in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        assert [int(r.coords[0]) for r in read_points(spark, str(tmp_path)).orderBy("id").collect()] == list(range(4000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @pytest.mark.parametrize("text", ["1,2\n3\n", "1,2\n3,x\n"])
 def test_bad_lines_fail(spark, tmp_path, text):
     with pytest.raises(Exception):
