@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.lineage import cut
 
-#: Edges that may be brought to the driver, and roots that one task may number.
-DRIVER_EDGES, TASK_ROOTS = 500_000, 200_000
+#: Edges that may be brought to the driver, roots that one task may number, and edges whose minima are not cut.
+DRIVER_EDGES, TASK_ROOTS, FEW_EDGES = 500_000, 200_000, 2_000_000
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -21,16 +23,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     neighbour of its smaller end, and a small star all smaller ends of a node on the least
     of them. The minima are sums by key, cut from their lineage before they are joined
     back: both sides of the join then have a shuffle of their own, and AQE splits a key
-    that holds many of the edges. More than ``rounds`` rounds (which grow with the logarithm
+    that holds many of the edges. Up to ``FEW_EDGES`` edges no key is worth that, and the
+    minima stay part of the plan. More than ``rounds`` rounds (which grow with the logarithm
     of a component's size, squared at most) raise an error.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    held = edges.count() > FEW_EDGES
     state = None
     for _ in range(rounds):
-        least = _least(edges)
+        least = _least(edges, held)
         large = edges.join(least.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
         large = cut(large)
-        least = _least(large)
+        least = _least(large, held)
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -41,9 +45,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _least(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, held: bool) -> DataFrame:
     """(u, m): the least smaller end of each node that has one."""
-    return cut(edges.groupBy("u").agg(F.min("v").alias("m")))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return cut(least) if held else least
 
 
 class UnionFind:
@@ -82,16 +87,35 @@ def components_on_driver(edges: DataFrame, strict: bool = False) -> DataFrame:
     More than ``DRIVER_EDGES`` edges are left to :func:`components`, or refused if ``strict``.
     """
     edges = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    n = edges.count()
-    if n > DRIVER_EDGES:
+    if (n := edges.count()) > DRIVER_EDGES:
         if strict:
             raise ValueError(f"{n} edges are too many for the driver; use merge='auto' or 'distributed'")
         return components(edges)
     kind = edges.schema["a"].dataType.simpleString()
+    if kind in ("int", "bigint") and n:
+        held = edges.toArrow()
+        nodes, roots = rooted(held.column("a").to_numpy(), held.column("b").to_numpy())
+        return edges.sparkSession.createDataFrame(pa.table({"node": nodes, "root": roots}))
     found = UnionFind.of((r["a"], r["b"]) for r in edges.collect())
     return edges.sparkSession.createDataFrame(found.roots(), f"node {kind}, root {kind}")
 
 
+def rooted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and their least reachable node: all edges hook the larger root on the smaller, then paths are halved, until nothing moves."""
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = places[: len(a)], places[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        rx, ry = root[x], root[y]
+        apart = rx != ry
+        if not apart.any():
+            return nodes, nodes[root]
+        x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
+        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def connected(edges: DataFrame, merge: str) -> DataFrame:
     """Components where ``merge`` wants them found."""
     return components(edges) if merge == "distributed" else components_on_driver(edges, strict=merge == "driver")

@@ -54,8 +54,9 @@ def core_points(points: DataFrame, params: Params, dims: int) -> DataFrame:
     right = rows.select(F.col("coords").alias("cb"), F.col("tile").alias("at"))
     met = left.join(right, (F.col("near") == F.col("at")) & (squared_distance(F.col("ca"), F.col("cb"), dims) <= params.eps2))
     counts = met.groupBy("a").agg(F.count("*").alias("n"))
-    flag = F.coalesce(F.col("n"), F.col("size")) >= params.min_pts
-    return rows.join(counts, rows.id == counts.a, "left").select("id", "coords", "tile", flag.alias("is_core"))
+    dense = rows.where(F.col("size") >= params.min_pts).select("id", "coords", "tile", F.lit(True).alias("is_core"))
+    decided = sparse.join(counts, sparse.id == counts.a).select("id", "coords", "tile", (F.col("n") >= params.min_pts).alias("is_core"))
+    return dense.unionByName(decided)
 
 
 def _summaries(core: DataFrame, dims: int) -> DataFrame:

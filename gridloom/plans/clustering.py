@@ -12,14 +12,15 @@ from gridloom.params import Params
 from gridloom.sources.points import dimensions
 
 
-def density_clusters(points: DataFrame, params: Params, flagged: DataFrame | None = None) -> DataFrame:
+def density_clusters(points: DataFrame, params: Params, flagged: DataFrame | None = None, dims: int | None = None) -> DataFrame:
     """(id, coords, is_core, root, cluster_id) of every point.
 
     ``root`` is the least core id of a point's cluster, null for noise. Clusters are
     numbered from 1 in the order of their roots; noise has cluster -1. ``flagged`` are the
-    rows of :func:`core_points`, where they are known already.
+    rows of :func:`core_points`, where they are known already; without ``dims`` the width
+    of the first point is asked for.
     """
-    dims = dimensions(points)
+    dims = dims or dimensions(points)
     if dims is None:
         return points.select("id", "coords", F.lit(False).alias("is_core"), F.lit(None).cast("long").alias("root"), F.lit(-1).alias("cluster_id"))
     flagged = cut(core_points(points, params, dims)) if flagged is None else flagged

@@ -131,7 +131,7 @@ def core_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density_clusters(customers(spark, sf_dir), CUSTOMERS)
+    return density_clusters(customers(spark, sf_dir), CUSTOMERS, dims=2)
 
 
 def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,15 +140,15 @@ def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_visit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = Params(CUSTOMERS.eps, CUSTOMERS.min_pts, border_mode="visit_order")
-    return density_clusters(customers(spark, sf_dir), params).select("id", "cluster_id")
+    return density_clusters(customers(spark, sf_dir), params, dims=2).select("id", "cluster_id")
 
 
 def cluster_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density_clusters(orders(spark, sf_dir), ORDERS).select("id", "is_core", "cluster_id")
+    return density_clusters(orders(spark, sf_dir), ORDERS, dims=2).select("id", "is_core", "cluster_id")
 
 
 def cluster_baskets_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density_clusters(baskets(spark, sf_dir), BASKETS).select("id", "is_core", "cluster_id")
+    return density_clusters(baskets(spark, sf_dir), BASKETS, dims=3).select("id", "is_core", "cluster_id")
 
 
 def classify_points(spark: SparkSession, sf_dir: str) -> DataFrame:

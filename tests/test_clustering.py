@@ -83,6 +83,7 @@ def test_tiles_hold_only_neighbours(spark):
 
 
 def test_nothing_and_one(spark):
+    assert density_clusters(frame(spark, []), Params(), dims=2).collect() == []
     assert clusters(spark, [], Params()) == []
     assert clusters(spark, [(1, 2)], Params(1, 1)) == [1]
     assert clusters(spark, [(1, 2)], Params(1, 2)) == [-1]

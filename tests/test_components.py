@@ -43,6 +43,18 @@ def test_long_chains_and_stars(spark):
     assert got == {k: 0 for k in range(301)} | {k: 1000 for k in range(1000, 1501)}
 
 
+def test_arrays_of_edges():
+    import numpy as np
+
+    from gridloom.operators.components import rooted
+
+    rng = random.Random(1)
+    for n in (0, 1, 40, 400):
+        edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(n)] + [(k, k + 1) for k in range(1000, 1000 + n)]
+        nodes, roots = rooted(np.array([a for a, _ in edges], np.int64), np.array([b for _, b in edges], np.int64))
+        assert dict(zip(nodes.tolist(), roots.tolist())) == dict(UnionFind.of(edges).roots())
+
+
 def test_merge_modes_beyond_the_drivers_room(spark, monkeypatch):
     from gridloom.operators import components as module
 
