@@ -8,17 +8,30 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.lineage import shared_dir
 
 #: Characters of text that an operator holds as Python objects at a time.
 SLICE_CHARS = 1_500_000
+#: Bytes of text in the rows of a table that may be broadcast.
+BROADCAST_BYTES = 32_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame) -> bool:
+    """Whether the rows of a table that is cheap to read, measured now, have ``BROADCAST_BYTES`` at most."""
+    return (df.agg(F.sum(F.octet_length(F.struct(*df.columns).cast("string")))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def near(df: DataFrame) -> DataFrame:
+    """A table marked for broadcast if it is small."""
+    return F.broadcast(df) if small(df) else df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"

@@ -10,15 +10,18 @@ two terms and their distance, and are looked up together.
 Postings are needed only of terms that phrases are looked up by, so that two passes
 over the texts build the index: corpus counts of all the phrases' terms, and then the
 postings of the two rarest terms of each phrase. Benchmarks do not grow with the
-training data; their tables are broadcast up to ``BROADCAST_ROWS`` rows (counted
-first) and joined by shuffle beyond that. Whatever grows with the training data is
-keyed by document.
+training data; their tables are broadcast if their measured size allows, and else words
+are counted or filtered before they are shuffled, without the texts they stand in.
+Whatever grows with the training data is keyed by document.
 
 All of it runs on built-in functions.
 
 Rows: a document is known by its id and a hash of its text, so that repeated rows and
-rows with equal or null ids each get their own result. A null text has no words and is
-never hit; items without words are in no document. Further columns are not read.
+rows with equal or null ids each get their own result. A null or empty text has no words
+and is never hit; items without words are in no document; an item without an id hits
+like any other, but is not named. Texts of any length are read whole. Repeated items
+are one. No documents give no rows; without items nothing is hit. Further columns are
+not read and may have any names.
 """
 
 from __future__ import annotations
@@ -27,13 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.lineage import cut
+from gridloom.llm.bloom import Bloom
+from gridloom.llm.common import near, small
 
 #: Fixed values of the contract: what stands between words, words of a window, and the share of hit words (1 in n).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHARE = 13, 20
 
-#: Rows of a table of phrases or terms that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Bits of the filter that words pass before they are shuffled, at most; fewer than its keys need let more words pass.
+FILTER_BITS = 1 << 23
 
 
 def words(text: Column) -> Column:
@@ -48,10 +53,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(octets), BETWEEN), "")
 
 
-def _near(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, w): a document's key and its words."""
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), words(F.col(text_col)).alias("w"))
@@ -60,43 +61,58 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def phrases_of(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(phrase, items): each distinct window of ``size`` words and the items, as strings, that have it.
 
-    An item of fewer words, but not none, is one window. Items with a null id are left out.
+    An item of fewer words, but not none, is one window. Windows of items with a null id
+    count like others, but have no item to name.
     """
-    rows = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where((F.size("w") > 0) & F.col("item").isNotNull())
+    rows = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)))
     windows = rows.select("item", F.explode(F.transform(starts, lambda s: F.slice(F.col("w"), s, size))).alias("phrase"))
     return windows.groupBy("phrase").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def term_counts(documents: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """(term, c): how often each of the given terms stands in the documents; absent ones are left out."""
-    return documents.select(F.explode("w").alias("term")).join(_near(terms, n_terms), "term").groupBy("term").agg(F.count("*").alias("c"))
+def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, c): how often each of the given terms stands in the documents; absent ones are left out.
+
+    Counted before anything is shuffled, so that a frequent word is one row of each task.
+    """
+    words = documents.select(F.explode("w").alias("term"))
+    if small(terms):
+        return words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("c"))
+    return words.groupBy("term").agg(F.count("*").alias("c")).join(terms, "term")
 
 
-def postings(documents: DataFrame, terms: DataFrame, n_terms: int, reach: int = 0) -> DataFrame:
+def postings(documents: DataFrame, terms: DataFrame, reach: int = 0) -> DataFrame:
     """(term, id, h, pos, around): where the given terms stand, from 0.
 
-    With ``reach``, terms whose column ``lead`` is true come with so many words to either side.
+    With ``reach``, terms whose column ``lead`` is true come with so many words to either
+    side. Where the terms are too many to be broadcast, words that a Bloom filter does
+    not take for terms go first; what is shuffled has the words around, never the text.
     """
     spread = documents.select("id", "h", "w", F.posexplode("w").alias("pos", "term"))
     first = F.greatest(F.col("pos") - reach, F.lit(0))
-    around = F.slice(F.col("w"), first + 1, F.col("pos") + reach - first + 1)
-    around = F.when(F.col("lead"), around) if reach else F.lit(None).cast("array<string>")
-    return spread.join(_near(terms, n_terms), "term").select("term", "id", "h", "pos", around.alias("around"))
+    around = F.slice(F.col("w"), first + 1, F.col("pos") + reach - first + 1) if reach else F.lit(None).cast("array<string>")
+    if small(terms):
+        met = spread.join(F.broadcast(terms), "term").withColumn("around", around)
+    else:
+        terms = terms.groupBy("term").agg(*(F.max(c).alias(c) for c in terms.columns if c != "term")) if reach else terms.distinct()
+        terms = cut(terms)
+        filtered = Bloom.of(terms.select(F.col("term").alias("key")), terms.count(), 0.01, 11, FILTER_BITS)
+        met = spread.where(filtered.has(F.col("term"))).select("term", "id", "h", "pos", around.alias("around")).join(terms, "term")
+    return met.select("term", "id", "h", "pos", F.when(F.col("lead"), F.col("around")).alias("around") if reach else "around")
 
 
 def lookups(documents: DataFrame, phrases: DataFrame) -> DataFrame:
     """(t1, t2, apart, windows): the term pairs that phrases are looked up by, and the phrases of each.
 
     A phrase with a term that the corpus lacks is nowhere and left out. A phrase of one
-    word has no second term. ``windows`` holds (offset of t1, n, phrase, items).
+    word has no second term. ``windows`` holds (offset of t1, n, phrase, items). Of terms
+    that are equally rare the first by name counts as rarer.
     """
     offsets = phrases.select("phrase", "items", F.posexplode("phrase").alias("offset", "term"))
     terms = cut(offsets.select("term").distinct())
-    n_terms = terms.count()
-    counts = cut(term_counts(documents, terms, n_terms))
+    counts = cut(term_counts(documents, terms))
     by = F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "term", "offset")))
-    ranked = offsets.join(_near(counts, n_terms), "term", "left").groupBy("phrase", "items").agg(by.alias("by")).where(F.col("by")[0]["c"] > 0)
+    ranked = offsets.join(near(counts), "term", "left").groupBy("phrase", "items").agg(by.alias("by")).where(F.col("by")[0]["c"] > 0)
     second = F.size("by") > 1
     rare = ranked.select(
         F.col("by")[0]["term"].alias("t1"),
@@ -109,13 +125,13 @@ def lookups(documents: DataFrame, phrases: DataFrame) -> DataFrame:
 
 def occurrences(documents: DataFrame, phrases: DataFrame) -> DataFrame:
     """(id, h, start, n, items): every occurrence of a phrase (distinct arrays ``phrase`` with their ``items``), exact."""
+    phrases = cut(phrases)
     reach = phrases.agg(F.max(F.size("phrase"))).first()[0] or 1
     wanted = cut(lookups(documents, phrases))
-    n_wanted = wanted.count()
     terms = wanted.select(F.explode(F.array(F.struct(F.col("t1").alias("term"), F.lit(True).alias("lead")), F.struct(F.col("t2").alias("term"), F.lit(False).alias("lead")))).alias("x"))
-    terms = terms.select("x.*").where("term is not null").groupBy("term").agg(F.max("lead").alias("lead"))
-    index = cut(postings(documents, terms, 2 * n_wanted, reach))
-    pairs = index.withColumnRenamed("term", "t1").join(_near(wanted, n_wanted), "t1")
+    terms = cut(terms.select("x.*").where("term is not null").groupBy("term").agg(F.max("lead").alias("lead")))
+    index = cut(postings(documents, terms, reach))
+    pairs = index.withColumnRenamed("term", "t1").join(near(wanted), "t1")
     alone = pairs.where("t2 is null").select("id", "h", "pos", "around", "windows")
     other = index.select(F.col("term").alias("t2"), F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("pos").alias("pos2")).distinct()
     met = pairs.where("t2 is not null").join(other, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")) & (F.col("pos") + F.col("apart") == F.col("pos2")) & (pairs.t2 == other.t2)).select("id", "h", "pos", "around", "windows")
@@ -156,10 +172,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows, as they are, that are not contaminated."""
-    bad = cut(_verdicts(docs, items, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct())
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__h"))
-    return docs.join(_near(bad, bad.count()), same, "left_anti")
+    """The rows, as they are, that are not contaminated. Columns may have any names."""
+    names = docs.columns
+    rows = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    key, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
+    bad = _verdicts(rows.select(key.alias("doc_id"), text.alias("text")), items, **options).where("contaminated").select("id", "h").distinct()
+    return rows.join(near(cut(bad)), key.eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("h")), "left_anti").toDF(*names)
 
 
 def near_each_other(docs: DataFrame, pairs: DataFrame, within: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,11 +189,10 @@ def near_each_other(docs: DataFrame, pairs: DataFrame, within: int, id_col: str
     """
     documents = keyed(docs, id_col, text_col)
     pairs = cut(pairs.select("a", "b", F.get(words(F.col("a")), F.lit(0)).alias("ta"), F.get(words(F.col("b")), F.lit(0)).alias("tb")).where("ta is not null and tb is not null").distinct())
-    n = pairs.count()
-    terms = pairs.select(F.explode(F.array("ta", "tb")).alias("term")).distinct()
-    index = cut(postings(documents, terms, 2 * n).select("term", "id", "h", "pos").distinct())
+    terms = cut(pairs.select(F.explode(F.array("ta", "tb")).alias("term")).distinct())
+    index = cut(postings(documents, terms).select("term", "id", "h", "pos").distinct())
     stretch = F.floor(F.col("pos") / (within + 1))
-    left = index.withColumnRenamed("term", "ta").join(_near(pairs, n), "ta").withColumn("at", F.explode(F.array(stretch - 1, stretch, stretch + 1))).withColumnRenamed("pos", "pos_a")
+    left = index.withColumnRenamed("term", "ta").join(near(pairs), "ta").withColumn("at", F.explode(F.array(stretch - 1, stretch, stretch + 1))).withColumnRenamed("pos", "pos_a")
     right = index.select(F.col("term").alias("tb2"), F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("pos").alias("pos_b"), stretch.alias("at2"))
     same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")) & (F.col("at") == F.col("at2")) & (F.col("tb") == F.col("tb2"))
     close = (F.abs(F.col("pos_a") - F.col("pos_b")) <= within) & ((F.col("ta") != F.col("tb")) | (F.col("pos_a") < F.col("pos_b")))
@@ -203,7 +220,7 @@ dn AS (
   FROM dp, (SELECT DISTINCT n FROM bw) WHERE i + n - 1 <= len(w)),
 hits AS (SELECT dn.doc_id, dn.i, dn.n, bw.item_id FROM dn JOIN bw ON dn.n = bw.n AND dn.p = bw.p),
 covered AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS i FROM hits) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {SHARE} * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)

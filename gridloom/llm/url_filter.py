@@ -6,13 +6,16 @@ by mistake; and so on until no mistake is left. Over the keys of the corpus and
 list, the parity of the first filter that lacks a key tells whether it is listed,
 without error and without a join: filters are literals of the expression. A list that
 needs more than ``LITERAL_BITS`` in its first filter is dealt into shares by a hash of
-the key, each with a cascade that is applied in a pass of its own.
+the key, each with a cascade of its own; the cascades of ``PASS_SHARES`` shares, 32 MB in
+their first filters, are applied in one pass over the rows.
 
 Everything runs on built-in functions.
 
 Rows: a null URL, or one without ``://``, has an empty host and path, fits no rule and
-is on no list. Repeated rows and null ids make no difference; further columns are not
-read. Null keys of the list are left out.
+is on no list. Urls of any length are read whole. Repeated rows and null ids make no
+difference; further columns, of any name, are not read. Null keys of the list are left
+out. Of two rules of equal length that fit, allow yields to block, then the host and path
+that sort last win. An empty table of pages gives an empty one; an empty list lists nothing.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.lineage import cut
+from gridloom.llm.bloom import Bloom
+from gridloom.llm.common import near
 
-#: Bits of a first filter, at most; rules of one expression, at most; levels of a cascade, at most.
-LITERAL_BITS, MOST_RULES, MOST_LEVELS = 1 << 23, 500, 64
+#: Bits of a first filter, at most; shares whose cascades are applied together; rules that are one expression.
+LITERAL_BITS, PASS_SHARES, FEW_RULES = 1 << 23, 32, 200
 
 
 class Rule(NamedTuple):
@@ -53,17 +58,34 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def ruling(rules: Sequence[Rule], host: Column, path: Column, value: str) -> Column:
-    """``name`` or ``verdict`` of the longest rule that fits; null without one."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    out = F.lit(None).cast("string")
+def ruling(rules: Sequence[Rule], host: Column, path: Column) -> Column:
+    """The longest rule that fits, as (name, verdict); null without one. Of equal length, the last by verdict, host and path."""
+    out = F.lit(None).cast("struct<name:string,verdict:string>")
     for r in sorted(rules, key=lambda r: (len(r.name), r)):
         fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
-        out = F.when(fits, F.lit(getattr(r, value))).otherwise(out)
+        out = F.when(fits, F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"))).otherwise(out)
     return out
 
 
+def with_ruling(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``rows`` (with ``host`` and ``path``) and the rule that each fits.
+
+    A few rules are one expression. More are a table: each distinct host gets the rules of
+    its domains, best first, and a row takes the first of its host's whose path it begins with.
+    """
+    if len(rules) <= FEW_RULES:
+        return rows.withColumn("ruled", ruling(rules, F.col("host"), F.col("path")))
+    spark = rows.sparkSession
+    ranked = [(k, r.host, r.path, r.name, r.verdict) for k, r in enumerate(sorted(set(rules), key=lambda r: (len(r.name), r), reverse=True))]
+    table = spark.createDataFrame(ranked, "rank int, domain string, start string, name string, verdict string")
+    labels = max(r.host.count(".") + 1 for r in rules)
+    hosts = rows.select("host").distinct().select("host", F.explode(domains(F.col("host"), labels)).alias("domain"))
+    mine = hosts.join(near(table), "domain").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "start", "name", "verdict"))).alias("mine"))
+    rows = rows.join(mine, "host", "left")
+    first = F.get(F.filter("mine", lambda r: F.startswith(F.col("path"), r["start"])), F.lit(0))
+    return rows.withColumn("ruled", F.when(first.isNotNull(), F.struct(first["name"].alias("name"), first["verdict"].alias("verdict")))).drop("mine")
+
+
 def domains(host: Column, labels: int) -> Column:
     """A host and the domains above it that have at most ``labels`` labels; a longer host alone is left out."""
     parts = F.split(host, r"\.", -1)
@@ -71,53 +93,21 @@ def domains(host: Column, labels: int) -> Column:
     return F.transform(F.sequence(F.greatest(n - (labels - 1), F.lit(1)), n), lambda i: F.array_join(F.slice(parts, i, n), "."))
 
 
-class Level(NamedTuple):
-    seed: int
-    bits: int
-    hashes: int
-    words: str  # the filter's 64-bit words, comma-separated
-
-    def has(self, key: Column) -> Column:
-        words = F.split(F.lit(self.words), ",").cast("array<bigint>")  # folded to one literal
-        out = None
-        for at in _places(key, self.seed, self.bits, self.hashes):
-            one = F.call_function("shiftright", F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
-            out = one if out is None else out & one
-        return out
-
-
-def _places(key: Column, seed: int, bits: int, hashes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(seed), F.lit(j)), F.lit(bits)) for j in range(hashes)]
-
-
-def _level(keys: DataFrame, n: int, error: float, seed: int) -> Level:
-    bits = max(64, 64 * math.ceil(1.45 * math.log2(1 / error) * n / 64))
-    hashes = max(1, round(bits / n * math.log(2)))
-    at = keys.select(F.explode(F.array(*_places(F.col("key"), seed, bits, hashes))).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))).alias("bits"))
-    held = [0] * (bits // 64)
-    for row in words.collect():  # as many rows as a filter has words
-        held[row["word"]] = row["bits"]
-    return Level(seed, bits, hashes, ",".join(map(str, held)))
-
-
 class Cascade:
     """Exact membership for the keys that it was built over."""
 
-    def __init__(self, levels: list[Level]) -> None:
+    def __init__(self, levels: list[Bloom]) -> None:
         self.levels = levels
 
     @classmethod
     def build(cls, keys: DataFrame, seed: int = 0) -> Cascade:
-        """From (key, listed), each key once."""
+        """From (key, listed), each key once. A level leaves about half of the mistakes, so that few levels follow."""
         mine, others = cut(keys.where("listed").select("key")), cut(keys.where(~F.col("listed")).select("key"))
         n, rest = mine.count(), others.count()
-        levels: list[Level] = []
+        levels: list[Bloom] = []
         error = min(0.5, max(1e-4, n / max(rest, 1) / math.sqrt(2)))
         while n:
-            if len(levels) == MOST_LEVELS:
-                raise RuntimeError("the cascade does not end")
-            levels.append(_level(mine, n, error, seed + len(levels)))
+            levels.append(Bloom.of(mine, n, error, seed + len(levels)))
             mine, others = cut(others.where(levels[-1].has(F.col("key")))), mine
             n, error = mine.count(), 0.5
         return cls(levels)
@@ -142,14 +132,18 @@ def on_list(rows: DataFrame, listed: DataFrame, host_col: str = "host", out: str
     shares = -(-facts["n"] * 20 // LITERAL_BITS)
     share = F.pmod(F.xxhash64("key", F.lit("share")), F.lit(shares))
     rows = rows.withColumn(out, F.lit(False))
-    for k in range(shares):
-        cascade = Cascade.build(keys.where(share == k), seed=1000 * k)
+    for first in range(0, shares, PASS_SHARES):
+        cascades = {k: Cascade.build(keys.where(share == k), seed=1000 * k) for k in range(first, min(first + PASS_SHARES, shares))}
 
-        def hit(key: Column, k: int = k, cascade: Cascade = cascade) -> Column:
-            return (F.pmod(F.xxhash64(key, F.lit("share")), F.lit(shares)) == k) & cascade.has(key)
+        def hit(key: Column, cascades: dict[int, Cascade] = cascades) -> Column:
+            of = F.pmod(F.xxhash64(key, F.lit("share")), F.lit(shares))
+            found = F.lit(False)
+            for k, cascade in cascades.items():
+                found = F.when(of == k, cascade.has(key)).otherwise(found)
+            return found
 
         rows = rows.withColumn(out, F.col(out) | F.exists(domains(F.col(host_col), labels), lambda d: hit(d)))
-        if k + 1 < shares:
+        if first + PASS_SHARES < shares:
             rows = cut(rows)
     return rows
 
@@ -157,10 +151,9 @@ def on_list(rows: DataFrame, listed: DataFrame, host_col: str = "host", out: str
 def judge(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict): the longest fitting rule's verdict, else block if a domain is listed, else allow."""
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    rows = on_list(rows, listed, "host", "listed")
-    host, path = F.col("host"), F.col("path")
-    verdict = F.coalesce(ruling(rules, host, path, "verdict"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
-    return rows.select(F.col("id").alias(id_col), "host", "path", ruling(rules, host, path, "name").alias("rule"), verdict.alias("verdict"))
+    rows = with_ruling(on_list(rows, listed, "host", "listed"), rules)
+    verdict = F.coalesce(F.col("ruled.verdict"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
+    return rows.select(F.col("id").alias(id_col), "host", "path", F.col("ruled.name").alias("rule"), verdict.alias("verdict"))
 
 
 # Fixed values of the query: its rules, and the domains of its list.

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ def test_long_lists_are_dealt_into_shares(spark, monkeypatch):
     listed = spark.range(0, 600, 3).select(F.concat(F.lit("h"), F.col("id"), F.lit(".com")).alias("key"))
     got = {r.host for r in uf.on_list(rows, listed).where("listed").collect()}
     assert got == {f"h{k}.com" for k in range(0, 500, 3)}
+    monkeypatch.setattr(uf, "PASS_SHARES", 2)
+    assert {r.host for r in uf.on_list(rows, listed).where("listed").collect()} == got
 
 
 def test_empty_tables_and_clashing_columns(spark):
@@ -45,5 +50,19 @@ def test_empty_tables_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "http://spam.org/", "x", "y"), (1, "http://spam.org/", "x", "y"), (None, None, None, None)], "page_id long, url string, host string, verdict string")
     rows = uf.judge(df, uf.RULES, spark.createDataFrame([("spam.org",)], "key string")).collect()
     assert sorted((r.page_id or 0, r.verdict) for r in rows) == [(0, "allow"), (1, "block"), (1, "block")]
-    with pytest.raises(ValueError):
-        uf.ruling([uf.Rule("block", str(k), "/") for k in range(uf.MOST_RULES + 1)], F.lit("a"), F.lit("b"), "name")
+    rows = uf.judge(df, uf.RULES, spark.createDataFrame([("spam.org",)], "key string"))
+    assert not re.search("Python|Pandas|Arrow", rows._jdf.queryExecution().toString())
+
+
+def test_many_rules_say_the_same(spark, monkeypatch):
+    """On both sides of what one expression holds, a table of rules gives what the expression does."""
+    rng = random.Random(2)
+    hosts = ["com", "a.com", "b.a.com", "net", "x.net", "a.x.net", "org"]
+    rules = [uf.Rule(rng.choice(("allow", "block")), rng.choice(hosts), "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(4)))) for _ in range(250)]
+    urls = [f"http://{rng.choice(('', 'q.', 'a.'))}{rng.choice(hosts)}/{''.join(rng.choice('ab/') for _ in range(5))}" for _ in range(200)] + ["nothing", None, "http://"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    none = spark.createDataFrame([], "key string")
+    monkeypatch.setattr(uf, "FEW_RULES", 1000)
+    want = sorted(tuple(r) for r in uf.judge(df, rules, none).collect())
+    monkeypatch.setattr(uf, "FEW_RULES", 249)
+    assert sorted(tuple(r) for r in uf.judge(df, rules, none).collect()) == want and len({r[3] for r in want}) > 20
