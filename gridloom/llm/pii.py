@@ -9,22 +9,25 @@ which is no card.)
 
 Context: numbers parted by blanks alone ("+1 (555) 123-4567", cards in groups of four)
 are one word here. Words that begin with a whole match are the seeds, and the match is
-the instance. The one and two words in front of an identifier-like word (one with a
-digit or an @) are its patterns. Patterns and instances form a graph that is scored in
-rounds:
-
-* a pattern's confidence for a kind is the score of the instances that follow it over
-  all its occurrences in the corpus, whatever follows; it counts only with
-  ``support`` distinct instances that score at least ``accept``;
+the instance. The patterns of an identifier-like word (one with a digit or an @) are the
+one and two words in front of it, the one and two behind it, and the words on both
+sides; a pattern is known by a 64-bit hash of its words. Patterns and instances form a
+graph that is scored in rounds:
+
+* a pattern's confidence for a kind is the score of the instances that stand in it over
+  all words of the corpus that do, whatever they are; it counts only with ``support``
+  distinct instances that score at least ``accept``;
 * an instance's score for a kind is 1 for a seed, else one minus the product of one
   minus the confidences of its confident patterns.
 
-Instances that score ``accept`` at the end are identifiers of that kind wherever a
-confident pattern stands in front of them. Everything runs on built-in functions;
-graph tables are keyed by pattern or instance and summed before they are shuffled.
+Instances that score ``accept`` at the end are identifiers of that kind wherever they
+stand in a confident pattern; of two kinds the more confident one counts, then the last
+by name. Everything runs on built-in functions; graph tables are keyed by pattern or
+instance and summed before they are shuffled, and no text or list of words is.
 
-Rows: a null text counts as empty. A document is known by its id and a hash of its
-text, so that repeated rows and rows with equal or null ids get their own results.
+Rows: a null or empty text has no spans; texts of any length are read whole. A document
+is known by its id and a hash of its text, so that repeated rows and rows with equal or
+null ids get their own results. No rows give no rows. Further columns may have any names.
 Offsets count code points.
 """
 
@@ -34,6 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.lineage import cut
+from gridloom.llm.bloom import Bloom
+from gridloom.llm.common import near, small
 
 #: Fixed values of the contract: kinds in order.
 KINDS = ("email", "ip", "card", "phone")
@@ -45,8 +50,8 @@ FORMS = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
-#: Rows of a table of patterns that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Bits of the filter that keys of patterns pass before they are shuffled, at most.
+FILTER_BITS = 1 << 23
 
 
 def _digits(s: Column) -> Column:
@@ -111,10 +116,6 @@ def _core(word: Column) -> Column:
     return F.regexp_replace(word, r"^[^\p{L}0-9+]++|(?<=[\p{L}0-9])[^\p{L}0-9]++$", "")
 
 
-def _near(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def _plain(word: Column) -> Column:
     """A word as part of a pattern, without blanks."""
     return F.replace(F.lower(F.trim(word)), F.lit(" "), F.lit("_"))
@@ -127,9 +128,17 @@ def _seed(core: Column) -> Column:
 
 
 def _context(w: Column, i: Column) -> Column:
-    """The patterns in front of word ``i`` (from 0): the word before, and the two before."""
-    one = _plain(F.get(w, i - 1))
-    return F.when(i > 1, F.array(one, F.concat_ws(" ", _plain(F.get(w, i - 2)), one))).when(i > 0, F.array(one)).otherwise(F.array().cast("array<string>"))
+    """Keys of the patterns around slot ``i`` (from 0) of the plain words ``w``; null for those that the text's edge cuts off."""
+    left, far, right, beyond = (F.get(w, i + d) for d in (-1, -2, 1, 2))
+    sides = [("l", left), ("ll", far, left), ("r", right), ("rr", right, beyond), ("lr", left, right)]
+
+    def key(kind: str, *words: Column) -> Column:
+        there = words[0].isNotNull()
+        for word in words[1:]:
+            there = there & word.isNotNull()
+        return F.when(there, F.xxhash64(F.lit(kind), *words))
+
+    return F.array(*(key(*side) for side in sides))
 
 
 def _trimmed(w: Column) -> Column:
@@ -137,37 +146,42 @@ def _trimmed(w: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, i, core, patterns): identifier-like words and what stands in front of them."""
+    """(id, h, i, core, patterns): identifier-like words and the keys of the patterns around them."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9@]"))
     w = F.col("w")
     at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).rlike("[0-9@]"))
     rows = rows.select("id", "h", _trimmed(_words(F.col("t"))).alias("w"))
-    rows = rows.select("id", "h", F.explode(F.transform(at, lambda i: F.struct(i.alias("i"), _core(F.get(w, i)).alias("core"), _context(w, i).alias("patterns")))).alias("x"))
-    return rows.select("id", "h", "x.*").where(F.col("core").rlike(r"[\p{L}0-9]"))
+    rows = rows.select("id", "h", F.explode(F.transform(at, lambda i: F.struct(i.alias("i"), _core(F.get(w, i)).alias("core"), F.transform(F.sequence(i - 2, i + 2), lambda j: _plain(F.get(w, j))).alias("near")))).alias("x"))
+    rows = rows.select("id", "h", "x.*").where(F.col("core").rlike(r"[\p{L}0-9]"))
+    return rows.select("id", "h", "i", "core", F.array_compact(_context(F.col("near"), F.lit(2))).alias("patterns"))
 
 
 def pattern_counts(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
-    """(pattern, total): how often each given pattern stands in front of any word of the corpus."""
-    n = patterns.count()
-    ends = patterns.select(F.substring_index("pattern", " ", -1).alias("end")).distinct()
+    """(pattern, total): how many words of the corpus, of whatever kind, stand in each given pattern.
+
+    Keys are counted before they are shuffled; those that are no given pattern go before
+    that, by a broadcast of the patterns or by a Bloom filter where they are too many.
+    """
     w = F.col("w")
-    rows = docs.select(_trimmed(_words(F.col(text_col))).alias("w")).select("w", F.posexplode("w").alias("i", "word")).where(F.col("i") < F.size("w") - 1)
-    rows = rows.withColumn("end", _plain(F.col("word"))).join(_near(ends, n), "end").select(F.explode(_context(w, F.col("i") + 1)).alias("pattern"))
-    return rows.join(_near(patterns, n), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.transform(_words(F.col(text_col)), lambda x: _plain(F.regexp_replace(x, r"\s+$", ""))).alias("w"))
+    keys = rows.select("w", F.posexplode("w").alias("i", "word")).select(F.explode(_context(w, F.col("i"))).alias("pattern"))
+    if small(patterns):
+        return keys.join(F.broadcast(patterns), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+    some = Bloom.of(patterns.select(F.col("pattern").alias("key")), patterns.count(), 0.01, 7, FILTER_BITS)
+    return keys.where(F.col("pattern").isNotNull() & some.has(F.col("pattern"))).groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern")
 
 
 def bootstrap(docs: DataFrame, rounds: int = 3, confidence: float = 0.5, accept: float = 0.6, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, i, kind): the words that context, not form, tells to be identifiers of a kind."""
     seen = cut(occurrences(docs, id_col, text_col))
     edges = seen.select("core", F.explode("patterns").alias("pattern")).groupBy("core", "pattern").agg(F.count("*").alias("n"))
-    forms = edges.select("core").distinct().withColumn("seed", _seed(F.col("core"))).where("seed is not null")
+    forms = seen.select("core").distinct().withColumn("seed", _seed(F.col("core"))).where("seed is not null")
     forms = cut(forms.select("core", F.col("seed.kind").alias("kind"), F.col("seed.span").alias("span")))
-    longer = forms.where("core <> span").select("core", "span")  # words that go on behind the match
-    edges = edges.join(_near(longer, longer.count()), "core", "left").groupBy(F.coalesce("span", "core").alias("core"), "pattern").agg(F.sum("n").alias("n"))
-    often = edges.groupBy("pattern").agg(F.count("*").alias("distinct")).where(F.col("distinct") >= support).select("pattern")
-    often = cut(often)
-    totals = pattern_counts(docs, often, text_col)
-    edges = cut(edges.join(totals, "pattern"))
+    longer = cut(forms.where("core <> span").select("core", "span"))  # words that go on behind the match
+    edges = cut(edges.join(near(longer), "core", "left").groupBy(F.coalesce("span", "core").alias("core"), "pattern").agg(F.sum("n").alias("n")))
+    often = cut(edges.groupBy("pattern").agg(F.count("*").alias("distinct")).where(F.col("distinct") >= support).select("pattern"))
+    totals = cut(pattern_counts(docs, often, text_col))
+    edges = cut(edges.join(near(totals), "pattern"))
     seeds = cut(edges.select("core").distinct().join(forms.groupBy(F.col("span").alias("core")).agg(F.min("kind").alias("kind")), "core"))
     scores = seeds.select("core", "kind", F.lit(1.0).alias("score"))
     sure = None
@@ -175,11 +189,12 @@ def bootstrap(docs: DataFrame, rounds: int = 3, confidence: float = 0.5, accept:
         scored = edges.join(scores, "core")
         sums = scored.groupBy("pattern", "kind").agg(F.sum(F.col("score") * F.col("n")).alias("mass"), F.count_if(F.col("score") >= accept).alias("good"), F.first("total").alias("total"))
         sure = cut(sums.where((F.col("good") >= support) & (F.col("mass") >= confidence * F.col("total"))).select("pattern", "kind", F.least(F.col("mass") / F.col("total"), F.lit(0.999)).alias("confidence")))
-        reached = edges.join(sure, "pattern").groupBy("core", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+        reached = edges.join(near(sure), "pattern").groupBy("core", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         fresh = reached.join(seeds.select("core"), "core", "left_anti")
         scores = cut(seeds.select("core", "kind", F.lit(1.0).alias("score")).unionByName(fresh))
-    new = scores.join(seeds.select("core"), "core", "left_anti").where(F.col("score") >= accept)
-    spots = seen.select("id", "h", "i", "core", F.explode("patterns").alias("pattern")).join(sure, "pattern").join(new.select("core", "kind"), ["core", "kind"])
+    new = cut(scores.join(seeds.select("core"), "core", "left_anti").where(F.col("score") >= accept).select("core", "kind"))
+    # Few words are new: what they are not goes before patterns are spread out.
+    spots = seen.join(near(new), "core").select("id", "h", "i", "kind", F.explode("patterns").alias("pattern")).join(near(sure), ["pattern", "kind"])
     best = F.max_by("kind", F.struct("confidence", "kind"))
     return spots.groupBy("id", "h", "i").agg(best.alias("kind"))
 
@@ -190,7 +205,7 @@ def added_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = new.select(F.col("id").alias("id2"), F.col("h").alias("h2")).distinct()
     # Where the new words stand in their texts: running lengths, of the documents concerned only.
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-    rows = rows.join(_near(few, new.count()), F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left_semi")
+    rows = rows.join(near(cut(few)), F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left_semi")
     rows = rows.dropDuplicates(["id", "h"]).select("id", "h", F.posexplode(_words(F.col("t"))).alias("i", "word"))
     rows = rows.select("id", "h", "i", "word", F.expr("sum(length(word)) over (partition by id, h order by i) - length(word)").alias("offset"))
     new = new.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("i").alias("i2"), "kind")
@@ -218,13 +233,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows, with each identifier in the text replaced by its kind; null texts stay null."""
-    added = cut(added_spans(docs, id_col, text_col, **options))
-    added = added.select(F.col("id2").alias("__id"), F.col("h2").alias("__h"), F.col("added").alias("__added"))
-    text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.withColumn("__base", F.array_sort(F.concat(*(_spans(text, k) for k in KINDS))))
-    rows = rows.join(_near(added, added.count()), rows[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(rows[text_col]) == F.col("__h")), "left")
-    masked = redacted(F.col(text_col), _joint(F.col("__base"), F.col("__added")))
-    return rows.withColumn(text_col, masked).select(*docs.columns)
+    names = docs.columns
+    rows = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    plain = rows.columns
+    key, text = (plain[names.index(c)] for c in (id_col, text_col))
+    added = cut(added_spans(rows, key, text, **options))
+    rows = rows.withColumn("base", F.array_sort(F.concat(*(_spans(F.coalesce(text, F.lit("")), k) for k in KINDS))))
+    rows = rows.join(near(added), F.col(key).eqNullSafe(F.col("id2")) & (F.xxhash64(text) == F.col("h2")), "left")
+    masked = redacted(F.col(text), _joint(F.col("base"), F.col("added")))
+    return rows.select(*(masked.alias(c) if c == text else F.col(c) for c in plain)).toDF(*names)
 
 
 def listed(spans: Column) -> Column:
