@@ -1,29 +1,40 @@
 """Scores of texts under a hashed maximum-entropy language model.
 
-A token's class is predicted from its history, and the token from its class:
+A token is predicted in three factors:
 
-    P(token | history) = P(class | features of the history) * P(token | class)
+    P(token | history) = P(class | features) * P(subclass | class, features) * P(token | class, subclass)
 
-* Features: the word before, the pair of words before, and the words two and three
-  places back (skips), hashed into rows of one weight table; a softmax over classes.
+* Features of the history: the word before, the pair of words before, and the words two
+  and three places back (skips). Alone they are hashed into rows of the weights of a
+  softmax over classes; together with the class, into rows of those over its subclasses.
 * Classes: endings of words (their last three bytes, hashed) are clustered by the
   endings that follow them in the whole training text. The end of a text is a class
-  of its own.
-* Within a class, a softmax whose weights are the logarithms of the corpus counts plus
-  one, with one place for all unseen tokens of the class. It sums to one.
+  of its own. Subclasses: beginnings of words (two bytes, hashed), dealt so that all
+  weigh alike.
+* Within a subclass, a softmax whose weights are the logarithms of the corpus counts plus
+  one, with one place for all unseen tokens. It sums to one.
+
+The number of rows grows with the corpus: one for each 128 distinct tokens counted in it,
+rounded to a power of two, and 2 ** ``most_bits`` at most (16 MB for each factor by
+default); beyond that, contexts share rows. The counts grow without a bound.
 
 Training is distributed: ``rounds`` slices of the training documents, dealt by a hash
 of the id, cover each of them once; in a round each task adds up the gradient of its
 documents under the weights of the round, the sums are added by blocks of rows, and
-the driver takes one step scaled by each weight's own curvature.
-
-Counts cover the whole corpus and live in a table. The most frequent tokens (``head`` at
-most) go with the tasks; occurrences of all other tokens meet their counts in
-a join by token. A tail token is rare by definition, so that no key is hot.
-
-Rows: a null text counts as empty and has the end only. A document is known by its id
-and a hash of its text while its parts are summed; repeated rows come out as often as
-they went in. Without training rows all counts are zero.
+the driver takes one step scaled by each weight's own curvature. Gradients of tokens are
+rounded to whole multiples of 1 / ``UNIT`` and added as whole numbers, and so are the
+logarithms of counts, so that no result depends on the order or partitioning of rows,
+or on which tasks had to run again.
+
+Counts live in a table. The most frequent tokens (``head`` at most) go with the tasks;
+occurrences of all other tokens meet their counts in a join by token. A tail token is
+rare by definition, so that no key is hot.
+
+Rows: a null or empty text has the end only. Texts of any length are read whole. A
+document is known by its id and a hash of its text while its parts are summed; repeated
+rows come out as often as they went in. Without training rows all counts are zero; no
+rows give no rows. Further columns, of any name, are not read. Tokens of equal count
+fall into the head together or not at all.
 """
 
 from __future__ import annotations
@@ -37,7 +48,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.lineage import cut
@@ -45,12 +56,14 @@ from gridloom.llm.common import slices
 
 #: Keys of what is no word; UTF-8 has none of these bytes.
 END, CELL, ROW, LONG = b"\xfe", b"\xfc", b"\xfd", b"\xff"
-#: Endings are dealt into so many groups, what follows them into so many.
-ENDINGS, FOLLOWERS = 2039, 32
-#: Distinct tokens that a task counts before it hands them on; tokens scored at a time.
-FLUSH, BLOCK = 200_000, 32_768
+#: Endings are dealt into so many groups, what follows them into so many, and beginnings into so many.
+ENDINGS, FOLLOWERS, BEGINNINGS = 2039, 32, 1021
+#: Distinct tokens that a task counts before it hands them on; tokens scored at a time; characters scanned at a time.
+FLUSH, BLOCK, SLICE = 200_000, 8192, 400_000
 #: Bytes of a token that is its own key; groups of tasks whose gradients are added first.
 KEY_BYTES, GROUPS = 40, 1024
+#: Whole numbers that stand for a gradient of one, and for a logarithm of one.
+UNIT, LOG_UNIT = 1 << 12, 1 << 36
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -71,12 +84,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def key_of(token: bytes) -> bytes:
-    """The token, or a digest and the last bytes of a very long one."""
-    return token if len(token) <= KEY_BYTES else LONG + xxhash.xxh128_digest(token) + token[-3:]
-
-
-def ending_group(ending: np.ndarray) -> np.ndarray:
-    return ending % ENDINGS
+    """The token, or the first bytes, a digest and the last bytes of a very long one."""
+    return token if len(token) <= KEY_BYTES else token[:2] + LONG + xxhash.xxh128_digest(token) + token[-3:]
 
 
 @dataclass
@@ -84,37 +93,42 @@ class Scan:
     """The tokens of a run of texts, ends included, without an object for each."""
 
     hashes: np.ndarray  # uint64, of each token
-    group: np.ndarray  # ending group; ENDINGS for an end
+    ending: np.ndarray  # group of its ending; ENDINGS for an end
+    beginning: np.ndarray  # group of its beginning; BEGINNINGS for an end
     first: np.ndarray  # index of each text's first token, and the number of all
 
     @classmethod
-    def of(cls, texts: list[bytes]) -> Scan:
+    def of(cls, texts: list[bytes], hashed: bool = True) -> Scan:
         data = np.frombuffer(b" ".join([b"", *texts, b""]) if texts else b" ", np.uint8)
         word = ~_BLANK[data]
         starts = np.flatnonzero(word[1:] & ~word[:-1]) + 1
         ends = np.flatnonzero(word[:-1] & ~word[1:]) + 1
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(data))[: len(data)], out=sums[1:])
-            h = (sums[ends] - sums[starts]) * _powers(_P_INVERSE, len(data))[starts]
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
+        h = np.zeros(len(starts), np.uint64)
+        if hashed:
+            with np.errstate(over="ignore"):
+                sums = np.zeros(len(data) + 1, np.uint64)
+                np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(data))[: len(data)], out=sums[1:])
+                h = (sums[ends] - sums[starts]) * _powers(_P_INVERSE, len(data))[starts]
+                h ^= h >> np.uint64(29)
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(32)
         size = ends - starts
         last = data[ends - 1].astype(np.int64)
         last += np.where(size > 1, data[ends - 2].astype(np.int64) << 8, 0)
         last += np.where(size > 2, data[np.maximum(ends - 3, 0)].astype(np.int64) << 16, 0)
+        two = data[starts].astype(np.int64)
+        two = np.where(size > 1, two << 8 | data[np.minimum(starts + 1, len(data) - 1)], two)
         edge = np.cumsum([1] + [len(t) + 1 for t in texts])  # where each text begins
         words = np.searchsorted(starts, edge)  # words in front of each text
         first = words + np.arange(len(edge))
         place = np.arange(len(starts)) + np.searchsorted(edge, starts, side="right") - 1
-        hashes = np.full(int(first[-1]), 1, np.uint64)
-        group = np.full(int(first[-1]), ENDINGS, np.int64)
-        hashes[place], group[place] = h, ending_group(last)
-        return cls(hashes, group, first)
+        n = int(first[-1])
+        hashes, ending, beginning = np.full(n, 1, np.uint64), np.full(n, ENDINGS, np.int64), np.full(n, BEGINNINGS, np.int64)
+        hashes[place], ending[place], beginning[place] = h, last % ENDINGS, two % BEGINNINGS
+        return cls(hashes, ending, beginning, first)
 
-    def features(self, bits: int) -> list[np.ndarray]:
-        """Row numbers of each token's features."""
+    def features(self) -> list[np.ndarray]:
+        """Numbers of each token's features, before they are mixed."""
         n = len(self.hashes)
         inside = np.arange(n) - np.repeat(self.first[:-1], np.diff(self.first))
         back = []
@@ -125,8 +139,47 @@ class Scan:
             back.append(h)
         a, b, c = back
         with np.errstate(over="ignore"):
-            mixed = [a * np.uint64(0x9E3779B97F4A7C15), (a * np.uint64(0xD6E8FEB86659FD93) ^ (b >> np.uint64(7))) * np.uint64(0xA0761D6478BD642F), b * np.uint64(0xE7037ED1A0B428DB), c * np.uint64(0x8EBC6AF09C88C6E3)]
-        return [(m >> np.uint64(64 - bits)).astype(np.uint16) for m in mixed]
+            return [a, a * np.uint64(0xD6E8FEB86659FD93) ^ (b >> np.uint64(7)), b + np.uint64(0xE7037ED1A0B428DB), c + np.uint64(0x8EBC6AF09C88C6E3)]
+
+
+def _rows(feature: np.ndarray, extra: np.ndarray | int, bits: int) -> np.ndarray:
+    """The row of weights of a feature, alone or together with a class."""
+    with np.errstate(over="ignore"):
+        m = (feature ^ np.uint64(extra) if isinstance(extra, int) else feature ^ (extra.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)) * np.uint64(0x9E3779B97F4A7C15)
+        m ^= m >> np.uint64(32)
+        m *= np.uint64(0xD6E8FEB86659FD93)
+    return (m >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _softmax(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, target: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """(natural logarithm of each target's probability, all probabilities)."""
+    z = bias + weights[rows[0]]
+    for r in rows[1:]:
+        z += weights[r]
+    z -= z.max(axis=1, keepdims=True)
+    mine = z[np.arange(len(target)), target]
+    np.exp(z, out=z)
+    total = z.sum(axis=1)
+    if keep:
+        z /= total[:, None]
+    return mine - np.log(total), z if keep else None
+
+
+@dataclass
+class Sums:
+    """Gradients in whole numbers (floats that hold such), by row: a column for each class or subclass, and how often the row took part. Columns lie together."""
+
+    top: np.ndarray  # (rows, classes + 1)
+    low: np.ndarray  # (rows, subclasses + 1)
+
+    @staticmethod
+    def add(to: np.ndarray, rows: list[np.ndarray], p: np.ndarray, target: np.ndarray) -> None:
+        q = np.rint(p * np.float32(-UNIT))
+        q[np.arange(len(target)), target] += UNIT
+        joint, times = np.concatenate(rows), len(rows)
+        for k in range(q.shape[1]):
+            to[:, k] += np.bincount(joint, np.tile(q[:, k], times), len(to))
+        to[:, -1] += np.bincount(joint, minlength=len(to))
 
 
 @dataclass
@@ -134,38 +187,37 @@ class Model:
     """Everything scoring needs; of a size set by its parameters."""
 
     bits: int
-    classes: np.ndarray  # of each ending group, and of the end
-    weights: np.ndarray  # (rows, classes)
-    bias: np.ndarray
-    log_size: np.ndarray  # log10 of each class's tokens + distinct tokens + 1
+    classes: np.ndarray  # of each group of endings, and of the end: 0
+    subs: np.ndarray  # of each group of beginnings, and of the end: 0
+    top: np.ndarray  # (rows, classes)
+    low: np.ndarray  # (rows, subclasses)
+    bias: np.ndarray  # (classes,)
+    low_bias: np.ndarray  # (classes, subclasses)
+    log_size: np.ndarray  # (classes, subclasses): log10 of tokens + distinct tokens + 1
     head: dict[bytes, int] = field(default_factory=dict)
     tokens: int = 0
     distinct: int = 0
 
-    def class_log(self, scan: Scan, gradient: np.ndarray | None = None, seen: np.ndarray | None = None) -> np.ndarray:
-        """log10 P(class | history) of each token; adds to the gradient of its natural logarithm."""
-        rows, target = scan.features(self.bits), self.classes[scan.group]
-        out = np.empty(len(target))
-        for at in range(0, len(target), BLOCK):
-            part = [r[at : at + BLOCK] for r in rows]
-            y = target[at : at + BLOCK]
-            z = self.bias + self.weights[part[0]]
-            for r in part[1:]:
-                z += self.weights[r]
-            z -= z.max(axis=1, keepdims=True)
-            mine = z[np.arange(len(y)), y]
-            np.exp(z, out=z)
-            total = z.sum(axis=1)
-            out[at : at + BLOCK] = (mine - np.log(total)) / math.log(10)
-            if gradient is not None:
-                z /= -total[:, None]
-                z[np.arange(len(y)), y] += 1
-                for r in part:
-                    order = np.argsort(r, kind="stable")
-                    r = r[order]
-                    cuts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                    gradient[r[cuts]] += np.add.reduceat(z[order], cuts, axis=0)
-                    seen[r[cuts]] += np.diff(np.append(cuts, len(r)))
+    def factors(self, scan: Scan, sums: Sums | None = None) -> np.ndarray:
+        """log10 P(class and subclass | history) of each token; adds to the gradients of its natural logarithm."""
+        features = scan.features()
+        y, sub = self.classes[scan.ending], self.subs[scan.beginning]
+        top = [_rows(f, 0, self.bits) for f in features]
+        low = [_rows(f, y, self.bits) for f in features[:3]]
+        out = np.empty(len(y))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(y), BLOCK):
+            part = slice(at, at + BLOCK)
+            one, p = _softmax(self.top, [r[part] for r in top], self.bias, y[part], sums is not None)
+            two, q = _softmax(self.low, [r[part] for r in low], self.low_bias[y[part]], sub[part], sums is not None)
+            two[y[part] == 0] = 0  # the end has no subclasses
+            out[part] = (one.astype(np.float64) + two) / math.log(10)
+            if sums is not None:
+                held.append((p, q))
+        if sums is not None and held:
+            Sums.add(sums.top, top, np.concatenate([p for p, _ in held]), y)
+            inner = y > 0
+            Sums.add(sums.low, [r[inner] for r in low], np.concatenate([q for _, q in held])[inner], sub[inner])
         return out
 
 
@@ -183,13 +235,13 @@ def corpus_counts(train: DataFrame, text_col: str = "text") -> DataFrame:
         def drain(c: dict) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["key", "n"])
 
-        for _, texts in slices(batches, "t"):
+        for _, texts in slices(batches, "t", SLICE):
             data = _lowered(texts)
             for d in data:
                 counts.update(d.split())
             counts[END] += len(data)
-            scan = Scan.of(data)
-            a, b = scan.group[:-1], scan.group[1:]
+            scan = Scan.of(data, hashed=False)
+            a, b = scan.ending[:-1], scan.ending[1:]
             both = (a < ENDINGS) & (b < ENDINGS)
             cells += np.bincount(a[both] * FOLLOWERS + b[both] % FOLLOWERS, minlength=len(cells))
             if len(counts) > FLUSH:
@@ -231,61 +283,87 @@ def cluster(cells: np.ndarray, classes: int, seed: int = 3, passes: int = 25) ->
     return labels + 1
 
 
-def gradients(train: DataFrame, model: Model, blocks: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """The gradient over all rows and how often each row of weights took part."""
+def balanced(mass: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each group, so that parts weigh alike: heavy groups first, each to the part that is lightest by then."""
+    held, out = np.zeros(parts), np.zeros(len(mass), np.int64)
+    for g in np.argsort(-mass, kind="stable"):
+        out[g] = held.argmin()
+        held[out[g]] += mass[g] + 1e-9
+    return out
+
+
+def gradients(train: DataFrame, model: Model, blocks: int, tasks: int, text_col: str) -> Sums:
+    """The gradients over all rows, which ``tasks`` tasks read."""
     sent = train.sparkSession.sparkContext.broadcast(model)
-    shape, per = model.weights.shape, model.weights.shape[0] // blocks
+    rows, wide, narrow = len(model.top), model.top.shape[1] + 1, model.low.shape[1] + 1
+    per = rows // blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen, any_rows = np.zeros(shape, np.float32), np.zeros(shape[0], np.float32), False
-        for _, texts in slices(batches, "t"):
-            sent.value.class_log(Scan.of(_lowered(texts)), total, seen)
+        sums, any_rows = Sums(np.zeros((rows, wide), order="F"), np.zeros((rows, narrow), order="F")), False
+        for _, texts in slices(batches, "t", SLICE):
+            sent.value.factors(Scan.of(_lowered(texts)), sums)
             any_rows = True
         if any_rows:
-            joint = np.concatenate([total, seen[:, None]], axis=1)
+            joint = np.concatenate([sums.top, sums.low], axis=1).astype(np.int64)
             for k in range(blocks):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([joint[k * per : (k + 1) * per].tobytes()], pa.binary())], ["block", "sums"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch], last: bool = False) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, s in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist()):
-                part = np.frombuffer(s, np.float32).astype(np.float64)
+                part = np.frombuffer(s, np.int64)
                 held[k] = held[k] + part if k in held else part
         for k, v in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["block", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(v.astype(np.float32) if last else v).tobytes()], pa.binary())], ["block", "sums"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return add(batches, last=True)
 
     schema = "block int, sums binary"
-    parts = train.select(F.col(text_col).alias("t")).mapInArrow(run, schema)
+    parts = train.select(F.col(text_col).alias("t")).coalesce(tasks).mapInArrow(run, schema)
     # Sums of some tasks first, then of those: no task reads what all tasks have made.
     parts = parts.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
     parts = parts.repartition("block", "group").select("block", "sums").mapInArrow(add, schema)
-    parts = parts.repartition(blocks, "block").mapInArrow(add, schema)
-    joint = np.zeros((shape[0], shape[1] + 1), np.float32)
+    parts = parts.repartition(blocks, "block").mapInArrow(finish, schema)
+    joint = np.zeros((rows, wide + narrow), np.float32)
     for row in parts.collect():  # as many rows as there are blocks
         joint[row["block"] * per : (row["block"] + 1) * per] = np.frombuffer(row["sums"], np.float32).reshape(per, -1)
     sent.destroy()
-    return joint[:, :-1], joint[:, -1]
+    return Sums(joint[:, :wide], joint[:, wide:])
+
 
+def _step(weights: np.ndarray, sums: np.ndarray, prior: np.ndarray, rate: float, ridge: float) -> None:
+    curvature = sums[:, -1:] * np.maximum(prior * (1 - prior), 1e-3)[None, :]
+    weights += (rate * np.clip(sums[:, :-1] / UNIT / (curvature + ridge), -4, 4)).astype(np.float32)
 
-def fit(train: DataFrame, classes: int = 24, bits: int = 14, rounds: int = 3, head: int = 200_000, step: float = 0.6, ridge: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the table of the counts of all tokens (key, n)."""
-    if bits > 16:
-        raise ValueError("rows are numbered with 16 bits")
+
+def fit(train: DataFrame, classes: int = 16, subclasses: int = 16, bits: int | None = None, most_bits: int = 18, rounds: int = 6, head: int = 200_000, step: float = 0.6, ridge: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model, and the table of the counts of all tokens (key, n). Without ``bits`` the number of rows follows from the distinct tokens."""
     counts = cut(corpus_counts(train, text_col))
     first = F.substring("key", 1, 1)
     cells = np.zeros(ENDINGS * FOLLOWERS)
     for row in counts.where(first == F.lit(CELL)).collect():  # ENDINGS * FOLLOWERS at most
         cells[int.from_bytes(row["key"][1:], "big")] = row["n"]
     tokens = counts.where(first != F.lit(CELL))
-    ending = F.conv(F.hex(F.substring("key", -3, 3)), 16, 10).cast("long")
-    group = F.when(F.col("key") == F.lit(END), F.lit(ENDINGS)).otherwise(ending % ENDINGS)
-    label = np.zeros(ENDINGS + 1, np.int64)
+
+    def number(part: Column) -> Column:
+        return F.conv(F.hex(part), 16, 10).cast("long")
+
+    end = F.col("key") == F.lit(END)
+    ending = F.when(end, F.lit(ENDINGS)).otherwise(number(F.substring("key", -3, 3)) % ENDINGS)
+    beginning = F.when(end, F.lit(BEGINNINGS)).otherwise(number(F.substring("key", 1, 2)) % BEGINNINGS)
+    label, sub = np.zeros(ENDINGS + 1, np.int64), np.zeros(BEGINNINGS + 1, np.int64)
     label[:ENDINGS] = cluster(cells.reshape(ENDINGS, FOLLOWERS), classes - 1)
-    size, mass = np.zeros(classes), np.zeros(classes)
-    for row in tokens.groupBy(group.alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        size[label[row["g"]]] += row["n"] + row["v"]
-        mass[label[row["g"]]] += row["n"]
+    weight = np.zeros(BEGINNINGS + 1)
+    for row in tokens.groupBy(beginning.alias("g")).agg(F.sum("n").alias("n")).collect():  # a row for each group
+        weight[row["g"]] = row["n"]
+    sub[:BEGINNINGS] = balanced(weight[:BEGINNINGS], subclasses)
+    size, mass = np.zeros((classes, subclasses)), np.zeros((classes, subclasses))
+    of = [F.get(F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast("array<int>"), g.cast("int")) for x, g in ((label, ending), (sub, beginning))]
+    for row in tokens.groupBy(of[0].alias("y"), of[1].alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # classes * subclasses at most
+        size[row["y"], row["s"]] = row["n"] + row["v"]
+        mass[row["y"], row["s"]] = row["n"]
     totals = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     # The most frequent tokens by bins of their counts: a sort would bring as many rows of each partition to one task.
     order = F.floor(F.log2("n") * 64)
@@ -297,14 +375,20 @@ def fit(train: DataFrame, classes: int = 24, bits: int = 14, rounds: int = 3, he
         least = row["bin"]
     most = tokens.where(order >= (math.inf if least is None else least)).select("key", "n").toArrow()
     known = dict(zip(most.column("key").to_pylist(), most.column("n").to_pylist()))
-    bias = np.log((mass + 1) / (mass.sum() + classes)).astype(np.float32)
-    model = Model(bits, label, np.zeros((1 << bits, classes), np.float32), bias, np.log10(size + 1), {}, totals["n"], totals["v"])
-    prior = np.exp(bias)
+    bits = bits or min(most_bits, max(8, round(math.log2(totals["v"] + 1)) - 7))
+    by_class = mass.sum(axis=1)
+    bias = np.log((by_class + 1) / (by_class.sum() + classes)).astype(np.float32)
+    low_bias = np.log((mass + 1) / (by_class + subclasses)[:, None]).astype(np.float32)
+    model = Model(bits, label, sub, np.zeros((1 << bits, classes), np.float32), np.zeros((1 << bits, subclasses), np.float32), bias, low_bias, np.log10(size + 1), {}, totals["n"], totals["v"])
+    low_prior = (mass.sum(axis=0) + 1) / (mass.sum() + subclasses)
     slice_of = F.pmod(F.xxhash64(F.col(id_col), F.lit("round")), F.lit(rounds))
+    # A round reads a part of the documents of every partition; so many tasks that each has a whole partition's worth.
+    tasks = max(train.sparkSession.sparkContext.defaultParallelism, -(-train.select(text_col).rdd.getNumPartitions() // max(1, rounds)))
     for k in range(rounds if totals["n"] else 0):
-        g, seen = gradients(train.where(slice_of == k), model, 16, id_col, text_col)
-        curvature = seen[:, None] * np.maximum(prior * (1 - prior), 1e-3)[None, :]
-        model.weights += (step / (1 + 0.5 * k) * np.clip(g / (curvature + ridge), -4, 4)).astype(np.float32)
+        sums = gradients(train.where(slice_of == k), model, 16, tasks, text_col)
+        rate = step / (1 + 0.5 * k)
+        _step(model.top, sums.top, np.exp(bias), rate, ridge)
+        _step(model.low, sums.low, low_prior, rate, ridge)
     model.head = known
     return model, tokens
 
@@ -318,10 +402,10 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
         m = sent.value
         number = {t: k for k, t in enumerate(m.head)}
         log_count = np.log10(np.append(np.fromiter(m.head.values(), np.float64, len(number)) + 1, 1))
-        for part, texts in slices(batches, "t"):
+        for part, texts in slices(batches, "t", SLICE):
             data = _lowered(texts)
             scan = Scan.of(data)
-            logs = m.class_log(scan) - m.log_size[m.classes[scan.group]]
+            logs = m.factors(scan) - m.log_size[m.classes[scan.ending], m.subs[scan.beginning]]
             ids, hs = part.column("id"), part.column("h").to_pylist()
             take, keys, ns, tokens, known, log_n, log_c, rows = [], [], [], [], [], [], [], []
             end = number.get(END, -1)
@@ -344,8 +428,8 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
                     rows.append(0)
                     tokens.append(0)
                     known.append(0)
-                    log_n.append(0.0)
-                    log_c.append(0.0)
+                    log_n.append(None)
+                    log_c.append(None)
             take = pa.array(take, pa.int32())
             columns = [ids.take(take), part.column("h").take(take), pa.array(keys, pa.binary())]
             columns += [pa.array(x, pa.int64()) for x in (ns, rows, tokens, known)] + [pa.array(x, pa.float64()) for x in (log_n, log_c)]
@@ -355,14 +439,16 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
     parts = source.mapInArrow(run, schema.format(source.schema["id"].dataType.simpleString()))
     parts = parts.join(counts.select("key", F.col("n").alias("c")), "key", "left")
     n, c = F.col("n"), F.coalesce("c", F.lit(0))
+    # What each of equal rows has once is their greatest value; tail tokens are summed over the rows, in whole numbers.
+    rare = F.sum(n * F.round(F.log10(c + 1) * LOG_UNIT).cast("long")) / F.sum("rows") / LOG_UNIT
     sums = parts.groupBy("id", "h").agg(
         F.sum("rows").alias("rows"),
-        F.sum("tokens").alias("tokens"),
-        F.sum(F.col("known") + F.when(c > 0, n).otherwise(0)).alias("known"),
-        F.sum(F.col("log_count") + n * F.log10(c + 1)).alias("log_count"),
-        F.sum("log_class").alias("log_class"),
+        F.max("tokens").alias("tokens"),
+        (F.max("known") + F.sum(F.when(c > 0, n).otherwise(0)) / F.sum("rows")).alias("known"),
+        (F.max("log_count") + rare).alias("log_count"),
+        F.max("log_class").alias("log_class"),
     )
-    each = sums.select("id", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"), *((F.col(x) / F.col("rows")).alias(x) for x in ("tokens", "known", "log_count", "log_class")))
+    each = sums.select("id", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"), "tokens", "known", "log_count", "log_class")
     size = math.log10(model.tokens + model.distinct + 1)
     return each.select(
         F.col("id").alias(id_col),
