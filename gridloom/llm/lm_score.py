@@ -14,8 +14,8 @@ A token is predicted in three factors:
 * Within a subclass, a softmax whose weights are the logarithms of the corpus counts plus
   one, with one place for all unseen tokens. It sums to one.
 
-The number of rows grows with the corpus: one for each 128 distinct tokens counted in it,
-rounded to a power of two, and 2 ** ``most_bits`` at most (16 MB for each factor by
+The number of rows grows with the corpus: one for each 32 distinct tokens counted in it,
+rounded to a power of two, 2 ** 14 at least and 2 ** ``most_bits`` at most (16 MB for each factor by
 default); beyond that, contexts share rows. The counts grow without a bound.
 
 Training is distributed: ``rounds`` slices of the training documents, dealt by a hash
@@ -375,7 +375,7 @@ def fit(train: DataFrame, classes: int = 16, subclasses: int = 16, bits: int | N
         least = row["bin"]
     most = tokens.where(order >= (math.inf if least is None else least)).select("key", "n").toArrow()
     known = dict(zip(most.column("key").to_pylist(), most.column("n").to_pylist()))
-    bits = bits or min(most_bits, max(8, round(math.log2(totals["v"] + 1)) - 7))
+    bits = bits or min(most_bits, max(14, round(math.log2(totals["v"] + 1)) - 5))
     by_class = mass.sum(axis=1)
     bias = np.log((by_class + 1) / (by_class.sum() + classes)).astype(np.float32)
     low_bias = np.log((mass + 1) / (by_class + subclasses)[:, None]).astype(np.float32)

@@ -159,7 +159,7 @@ def test_rows_grow_with_the_corpus(spark):
     def bits(n):
         return lm.fit(spark.range(1).selectExpr("id AS doc_id", f"array_join(transform(sequence(1, {n}), x -> concat('w', x)), ' ') AS text"), rounds=0)[0].bits
 
-    assert bits(100) == 8 < bits(80_000) == 9 < bits(150_000) == 10
+    assert bits(100) == 14 < bits(1_000_000) == 15 < bits(2_000_000) == 16
 
 
 def test_held_out_texts_are_likelier_than_by_counts_alone(spark):
