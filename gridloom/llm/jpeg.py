@@ -7,7 +7,8 @@ component two bands of AC coefficients without theirs, then the lowest bits of e
 Reading works scan by scan on many files at a time. Restart intervals do not depend on
 each other, so that each is a lane and a step decodes one symbol in every lane. A file
 from elsewhere (other samplings, tables, bands, runs of empty blocks, no restarts) is
-read by the same code with fewer lanes. Sequential files are not read.
+read by the same code with fewer lanes. Sizes need not be whole units. Sequential files,
+and broken ones, are not read, and do not keep others from being read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 import struct
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 
@@ -90,6 +92,7 @@ class Shape:
     width: np.ndarray  # units (MCUs) across and down, of each image
     height: np.ndarray
     sampling: tuple[tuple[int, int], ...] = ((2, 2), (1, 1), (1, 1))
+    size: np.ndarray | None = None  # (images, 2): rows and columns of pixels, where these are no whole units
 
     def __post_init__(self) -> None:
         units = self.width * self.height
@@ -116,8 +119,19 @@ class Shape:
         if len(components) > 1:
             columns = np.isin(self.component, components)
             return self.order[:, columns].ravel(), self.units, int(columns.sum())
-        first = self.first[components[0]]
-        return np.arange(first[0], first[-1]), first - first[0], 1
+        k = components[0]
+        first = self.first[k]
+        if self.size is None:
+            return np.arange(first[0], first[-1]), first - first[0], 1
+        # Blocks outside the picture are no part of a scan of one component.
+        h, v = self.sampling[k]
+        across, down = (max(x) for x in zip(*self.sampling))
+        rows = -(-(-(-self.size[:, 0] * v // down)) // 8)
+        columns = -(-(-(-self.size[:, 1] * h // across)) // 8)
+        of = np.concatenate([[0], np.cumsum(rows * columns)])
+        image = np.repeat(np.arange(len(rows)), rows * columns)
+        local = np.arange(of[-1]) - of[image]
+        return first[image] + local // columns[image] * (self.width[image] * h) + local % columns[image], of, 1
 
 
 def intervals(units: np.ndarray, restart: int) -> tuple[np.ndarray, np.ndarray]:
@@ -334,7 +348,7 @@ class Parsed:
     scans: list[Scan] = field(default_factory=list)
 
     def kind(self) -> tuple:
-        return (self.sampling, tuple(s.kind() for s in self.scans))
+        return (self.sampling, self.quantisers, tuple(s.kind() for s in self.scans))
 
 
 def parse(data: bytes) -> Parsed:
@@ -349,6 +363,8 @@ def parse(data: bytes) -> Parsed:
     while True:
         while data[at + 1] == 255:
             at += 1
+        if data[at] != 255:
+            raise ValueError("a marker is missing")
         marker = data[at + 1]
         if marker == EOI:
             break
@@ -387,6 +403,10 @@ def parse(data: bytes) -> Parsed:
             out.scans.append(Scan(tuple(k for k, _ in picks), low, high, bits >> 4, bits & 15, restart, dc, ac, at, end.start()))
             at = end.start()
     out.quantisers = tuple(quantisers[k] for k in uses)
+    if not out.scans or not out.sampling or min(out.size) < 1 or min(min(x) for x in out.sampling) < 1 or len(out.sampling) not in (1, 3):
+        raise ValueError("the file has no picture that is read")
+    if out.size[0] * out.size[1] > MOST_PIXELS:
+        raise ValueError("the picture is too large")
     return out
 
 
@@ -548,39 +568,68 @@ def _read_refined(c: np.ndarray, scan: Scan, bits: Bits, order: np.ndarray, star
     c[order, low : scan.high + 1] = flat.reshape(n, width)
 
 
-def read(files: list[bytes]) -> list[tuple[list[int], Shape, np.ndarray, list[Parsed]]]:
-    """Groups of files with the same scans: (places in ``files``, shape, coefficients (blocks, 64), headers)."""
-    parsed = [parse(f) for f in files]
+#: What broken files make the readers raise.
+BROKEN = (ValueError, IndexError, KeyError, struct.error, MemoryError, OverflowError)
+#: Pixels of a picture, at most: headers may promise any size.
+MOST_PIXELS = 1 << 28
+
+
+class Group(NamedTuple):
+    """Files with the same scans, read together."""
+
+    members: list[int]  # their places in the files given
+    shape: Shape
+    coefficients: np.ndarray  # (blocks, 64)
+    heads: list[Parsed]
+
+
+def read(files: list[bytes]) -> tuple[list[Group], dict[int, str]]:
+    """The files in groups, and why which of them could not be read, by place."""
+    parsed: dict[int, Parsed] = {}
+    failed: dict[int, str] = {}
     groups: dict[tuple, list[int]] = {}
-    for k, p in enumerate(parsed):
-        # Scans of one component have no blocks outside the image, so sizes must fit whole units to be read together.
-        h, v = (max(x) for x in zip(*p.sampling))
-        whole = p.size[0] % (8 * v) == 0 and p.size[1] % (8 * h) == 0
-        if not whole:
-            raise ValueError("only files of whole units are read")
-        groups.setdefault(p.kind(), []).append(k)
+    for k, f in enumerate(files):
+        try:
+            parsed[k] = parse(f)
+            groups.setdefault(parsed[k].kind(), []).append(k)
+        except BROKEN as e:
+            failed[k] = str(e) or type(e).__name__
     out = []
-    for members in groups.values():
-        heads = [parsed[k] for k in members]
-        h, v = (max(x) for x in zip(*heads[0].sampling))
-        shape = Shape(np.array([p.size[1] // (8 * h) for p in heads]), np.array([p.size[0] // (8 * v) for p in heads]), heads[0].sampling)
-        c = np.zeros((shape.blocks, 64), np.int16)
-        for s, scan in enumerate(heads[0].scans):
-            order, units, per = shape.scan_order(scan.components)
-            start, number = intervals(units, scan.restart)
-            bits = Bits.of([files[k][parsed[k].scans[s].start : parsed[k].scans[s].end] for k in members], number)
-            if scan.low == 0 and scan.old == 0:
-                _read_dc(c, shape, scan, bits, order, start, per)
-            elif scan.low == 0:
-                unit = np.arange(len(order)) // per
-                lane = np.searchsorted(start[:-1], unit, side="right") - 1
-                c[order, 0] |= (bits.bit(bits.lane[lane] + np.arange(len(order)) - start[lane] * per) << scan.new).astype(np.int16)
-            elif scan.old == 0:
-                _read_band(c, scan, bits, order, start)
+    todo = list(groups.values())
+    while todo:
+        members = todo.pop(0)
+        try:
+            out.append(_decoded(files, members, [parsed[k] for k in members]))
+        except BROKEN as e:
+            if len(members) > 1:
+                todo += [[k] for k in members]
             else:
-                _read_refined(c, scan, bits, order, start)
-        out.append((members, shape, c, heads))
-    return out
+                failed[members[0]] = str(e) or type(e).__name__
+    return out, failed
+
+
+def _decoded(files: list[bytes], members: list[int], heads: list[Parsed]) -> Group:
+    sizes = np.array([p.size for p in heads])
+    across, down = (max(x) for x in zip(*heads[0].sampling))
+    units = -(-sizes // (8 * down, 8 * across))
+    whole = (sizes == units * (8 * down, 8 * across)).all()
+    shape = Shape(units[:, 1], units[:, 0], heads[0].sampling, None if whole else sizes)
+    c = np.zeros((shape.blocks, 64), np.int16)
+    for s, scan in enumerate(heads[0].scans):
+        order, count, per = shape.scan_order(scan.components)
+        start, number = intervals(count, scan.restart)
+        bits = Bits.of([files[k][p.scans[s].start : p.scans[s].end] for k, p in zip(members, heads)], number)
+        if scan.low == 0 and scan.old == 0:
+            _read_dc(c, shape, scan, bits, order, start, per)
+        elif scan.low == 0:
+            unit = np.arange(len(order)) // per
+            lane = np.searchsorted(start[:-1], unit, side="right") - 1
+            c[order, 0] |= (bits.bit(bits.lane[lane] + np.arange(len(order)) - start[lane] * per) << scan.new).astype(np.int16)
+        elif scan.old == 0:
+            _read_band(c, scan, bits, order, start)
+        else:
+            _read_refined(c, scan, bits, order, start)
+    return Group(members, shape, c, heads)
 
 
 _IDCT = idct_matrix()
@@ -589,9 +638,7 @@ _IDCT = idct_matrix()
 def rgb_units(c: np.ndarray, shape: Shape, heads: list[Parsed]) -> np.ndarray:
     """(units, height, width, 3) bytes: colours of each unit, chroma upsampled by repetition."""
     h, v = (max(x) for x in zip(*shape.sampling))
-    quantisers = heads[0].quantisers
-    if any(p.quantisers != quantisers for p in heads):
-        raise ValueError("files read together have one set of quantisers")
+    quantisers = heads[0].quantisers  # of all: they are part of what files are grouped by
     planes = []
     for k, (a, b) in enumerate(shape.sampling):
         q = np.frombuffer(quantisers[k], ">u2").astype(np.float32)
@@ -616,7 +663,8 @@ def rgb_units(c: np.ndarray, shape: Shape, heads: list[Parsed]) -> np.ndarray:
     return out
 
 
-def image(units: np.ndarray, width: int, height: int) -> np.ndarray:
-    """(rows, columns, 3) of one image from its units."""
+def image(units: np.ndarray, width: int, height: int, size: tuple[int, int] | None = None) -> np.ndarray:
+    """(rows, columns, 3) of one image from its units; what lies beyond its size is cut off."""
     n, b, a, _ = units.shape
-    return units.reshape(height, width, b, a, 3).transpose(0, 2, 1, 3, 4).reshape(height * b, width * a, 3)
+    whole = units.reshape(height, width, b, a, 3).transpose(0, 2, 1, 3, 4).reshape(height * b, width * a, 3)
+    return whole if size is None else whole[: size[0], : size[1]]

@@ -9,8 +9,10 @@ payload and the picture come: inverse transform, upsampled chroma, full-resoluti
 Every function works row by row in Arrow batches; nothing is shuffled. Memory is
 bounded by a slice of rows, or by one row where that is larger.
 
-Rows: a null payload or file gives null results, where nothing else is said. Repeated
-rows, null ids and further columns make no difference.
+Rows: a null payload or file gives null results, where nothing else is said; a file that
+is broken, sequential or too large gives nulls and a reason. Empty texts are payloads like
+others, and texts of any length are stored whole. Equal texts give equal values. Repeated
+rows, null ids and further columns of any name make no difference; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -54,7 +56,10 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 def decode(files: list[bytes], colours: bool = True) -> list[tuple[bytes, np.ndarray | None]]:
     """(payload, RGB tensor) of each file that :func:`encode` wrote; tensors only with ``colours``."""
     out: list = [None] * len(files)
-    for members, shape, c, heads in jpeg.read(files):
+    groups, failed = jpeg.read(files)
+    if failed:
+        raise ValueError(f"no files of payloads: {failed}")
+    for members, shape, c, heads in groups:
         units = jpeg.rgb_units(c, shape, heads) if colours else None
         for k, place in enumerate(members):
             rgb = jpeg.image(units[shape.units[k] : shape.units[k + 1]], int(shape.width[k]), int(shape.height[k])) if colours else None
@@ -86,23 +91,29 @@ def to_media(df: DataFrame, id_col: str = "id", payload_col: str = "payload") ->
 
 
 def from_media(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """(id, height, width, rgb binary) of every row's progressive file: samples row by row, three to a pixel."""
+    """(id, height, width, rgb binary, error) of every row's progressive file: samples row by row, three to a pixel.
+
+    A file that cannot be read has nulls, and says why in ``error``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, files in slices(batches, "m", SLICE_BYTES):
             given = [k for k, f in enumerate(files) if f is not None]
-            found: list = [(None, None, None)] * len(files)
-            for members, shape, c, heads in jpeg.read([files[k] for k in given]) if given else []:
+            found: list = [(None, None, None, None)] * len(files)
+            groups, failed = jpeg.read([files[k] for k in given])
+            for place, why in failed.items():
+                found[given[place]] = (None, None, None, why)
+            for members, shape, c, heads in groups:
                 units = jpeg.rgb_units(c, shape, heads)
                 for k, place in enumerate(members):
-                    rgb = jpeg.image(units[shape.units[k] : shape.units[k + 1]], int(shape.width[k]), int(shape.height[k]))
-                    found[given[place]] = (rgb.shape[0], rgb.shape[1], rgb.tobytes())
-            columns = [pa.array(x, t) for x, t in zip(zip(*found), (pa.int32(), pa.int32(), pa.binary()))] if found else []
-            yield pa.RecordBatch.from_arrays([part.column("k"), *columns], ["k", "height", "width", "rgb"])
+                    rgb = jpeg.image(units[shape.units[k] : shape.units[k + 1]], int(shape.width[k]), int(shape.height[k]), heads[k].size)
+                    found[given[place]] = (rgb.shape[0], rgb.shape[1], rgb.tobytes(), None)
+            columns = [pa.array(x, t) for x, t in zip(zip(*found), (pa.int32(), pa.int32(), pa.binary(), pa.string()))] if found else []
+            yield pa.RecordBatch.from_arrays([part.column("k"), *columns], ["k", "height", "width", "rgb", "error"])
 
     rows = df.select(F.col(id_col).alias("k"), F.col(media_col).alias("m"))
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(run, f"k {kind}, height int, width int, rgb binary").withColumnRenamed("k", id_col)
+    return rows.mapInArrow(run, f"k {kind}, height int, width int, rgb binary, error string").withColumnRenamed("k", id_col)
 
 
 def text_media(df: DataFrame, multiple: int = 576, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,22 +122,27 @@ def text_media(df: DataFrame, multiple: int = 576, id_col: str = "doc_id", text_
     A text's UTF-8 (null: empty) is filled up with bytes 255 to a positive multiple of
     ``multiple``, written as a file, and read back from that. Columns: id, n_bytes
     (unfilled), payload_bytes, payload_sha256 and tail_crc32 (the last 32 bytes) as read
-    back, media_bytes, media_sha256, and feature: height x width and the mean of each
-    colour over all pixels.
+    back, media_bytes, media_sha256, feature: height x width and the mean of each colour
+    over all pixels, and of the tensor of full resolution height, width and rgb_sha256.
     """
-    names = ["k", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["k", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "t", SLICE_BYTES):
             data = [(t or "").encode() for t in texts]
             files = encode([d + b"\xff" * (-len(d) % multiple if d else multiple) for d in data])
             back: list = [None] * len(files)
-            feature: list = [""] * len(files)
-            for members, shape, c, heads in jpeg.read(files):
-                sums = np.add.reduceat(jpeg.rgb_units(c, shape, heads).reshape(shape.units[-1], -1, 3).sum(axis=1, dtype=np.int64), shape.units[:-1], axis=0)
+            feature, size, digest = [""] * len(files), [(0, 0)] * len(files), [""] * len(files)
+            groups, failed = jpeg.read(files)
+            if failed:
+                raise ValueError(f"files that were just written cannot be read: {failed}")
+            for members, shape, c, heads in groups:
+                units = jpeg.rgb_units(c, shape, heads)
+                sums = np.add.reduceat(units.reshape(shape.units[-1], -1, 3).sum(axis=1, dtype=np.int64), shape.units[:-1], axis=0)
                 for k, place in enumerate(members):
                     back[place] = _payload(c, shape, k, heads[k])
-                    h, w = heads[k].size
+                    h, w = size[place] = heads[k].size
+                    digest[place] = hashlib.sha256(jpeg.image(units[shape.units[k] : shape.units[k + 1]], int(shape.width[k]), int(shape.height[k])).tobytes()).hexdigest()
                     feature[place] = f"{h}x{w}:" + ",".join(f"{x / (h * w):.3f}" for x in sums[k].tolist())
             columns = [
                 [len(d) for d in data],
@@ -136,11 +152,14 @@ def text_media(df: DataFrame, multiple: int = 576, id_col: str = "doc_id", text_
                 [len(f) for f in files],
                 [hashlib.sha256(f).hexdigest() for f in files],
                 feature,
+                [h for h, _ in size],
+                [w for _, w in size],
+                digest,
             ]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([part.column("k"), *map(pa.array, columns, kinds)], names)
 
     rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    schema = f"k {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"k {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb_sha256 string"
     return rows.mapInArrow(run, schema).withColumnRenamed("k", id_col)
