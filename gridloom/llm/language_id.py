@@ -1,59 +1,130 @@
 """Language of texts by a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of a lower-cased run of letters between two blanks,
-forwards and backwards, and labels every position with a distribution over languages.
-A text's probabilities are the mean over all positions of all its letter runs, whole
-text included. A run's labels depend on the run alone, so that a task evaluates each
-distinct run once and pools by multiplicity. Runs over ``RUN_BYTES`` bytes are read
-in pieces of that length.
+A text is read as its letters (with the marks that belong to them) in lower case, each
+run of anything else as one blank, in UTF-8. The network goes over all these bytes,
+forwards and backwards, across words, and labels every position with a distribution
+over the languages and ``noise``. A text's probabilities are the mean over its
+positions.
+
+To be read side by side, a text is cut into pieces of ``STEP`` bytes. A piece is entered
+``CONTEXT`` bytes early from either side, so that both states have seen what stands
+around it; in front of a text and behind it stand blanks. Where a text is cut depends
+on the text alone, so that its results do not depend on what is read beside it (up to
+the rounding of sums, which scores are rounded for).
 
 It is trained on the driver, in numpy, by backpropagation through time, on a bounded
-sample: the ``per_language`` labelled documents of each language whose hashed id is
-least (whole texts), and of those the most frequent ``run_sample`` distinct runs of
-each language.
-
-A text that is null or has no letter gets ``und`` and score 0. A language is any
-non-null label of the training rows; without any, every text gets ``und``. Repeated
-rows and null ids make no difference; further columns are not read.
+sample of whole labelled texts: of each language the ``per_language`` distinct texts with
+the least hash among those of up to ``longest`` bytes (fewer of each where there are so
+many languages that all would be more than ``most_documents``; more than
+``most_languages`` raise an error). Samples are cut into stretches of one to ``STEP``
+bytes, so that short texts are learned as well. ``noise`` is learned from made-up words
+of random letters and from random letters of all scripts; in training it weighs as much as a language.
+
+A text that is null or has no letter (of a Unicode category L) gets ``und`` and score 0;
+else the score is the language's share among languages. A language is any non-null
+label of the training rows; without any, every text gets ``und``. Between languages that
+score alike the first by name is taken. Texts of any length are read whole. Repeated
+rows and null ids make no difference; no rows give no rows; further columns, of any
+name, are not read, or kept as they are by :func:`keep`.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections import Counter
-from collections.abc import Iterator
+import functools
+import math
+import random
+import sys
+import unicodedata
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import held, slices
+from gridloom.llm.common import slices
 
 UNKNOWN = "und"
-RUN_BYTES, RUN_MEMORY, RUN_CHARS = 32, 120_000, 32
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes of a piece, and in front of it and behind it; pieces read side by side; characters handled at a time.
+STEP, CONTEXT, LANES, SLICE = 128, 16, 512, 600_000
+_BLANK = 32
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    np.multiply(x, np.float32(0.5), out=x)
+    np.tanh(x, out=x)
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+    return x
+
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """By code point: 2 for letters, 1 for marks, else 0."""
+    return np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)], np.uint8)
 
-def _pieces(run: str) -> list[bytes]:
-    """The bytes of a run, in pieces of bounded length."""
-    data = run.encode()
-    return [data[at : at + RUN_BYTES] for at in range(0, len(data), RUN_BYTES)]
 
+@dataclass
+class Bytes:
+    """Texts as one run of bytes: where each begins, and the end; whether it has a letter."""
 
-def _windows(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte matrix (time, run) with a blank around each run, and the lengths."""
-    lengths = np.fromiter((len(r) + 2 for r in runs), np.int64, len(runs))
-    matrix = np.full((int(lengths.max(initial=2)), len(runs)), 32, np.uint8)
-    for k, r in enumerate(runs):
-        matrix[1 : len(r) + 1, k] = np.frombuffer(r, np.uint8)
-    return matrix, lengths
+    data: np.ndarray
+    edges: np.ndarray
+    lettered: np.ndarray
+
+    @classmethod
+    def of(cls, texts: Sequence[str | None]) -> Bytes:
+        low = [t.lower() if t else "" for t in texts]
+        points = np.frombuffer((" ".join(low) + " ").encode("utf-32-le"), "<u4")
+        kind = _kinds()[points]
+        ends = np.cumsum([len(t) + 1 for t in low])
+        inner = kind > 0
+        kept = inner.copy()
+        kept[1:] |= inner[:-1]  # the first of other characters behind a letter stays, as a blank
+        letters = np.concatenate([[0], np.cumsum(kind == 2)])
+        points = np.where(inner, points, _BLANK).astype("<u4")[kept]
+        sizes = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        sizes = np.concatenate([[0], np.cumsum(sizes)])
+        number = np.concatenate([[0], np.cumsum(kept)])
+        edges = sizes[number[np.concatenate([[0], ends])]]
+        lettered = np.diff(letters[np.concatenate([[0], ends])]) > 0
+        return cls(np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8), edges, lettered)
+
+
+@dataclass
+class Pieces:
+    """Pieces of texts: where each begins, its length, and its text."""
+
+    start: np.ndarray
+    size: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def of(cls, edges: np.ndarray) -> Pieces:
+        length = np.diff(edges)
+        n = -(-length // STEP)
+        owner = np.repeat(np.arange(len(length)), n)
+        start = edges[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * STEP
+        return cls(start, np.minimum(STEP, edges[1:][owner] - start), owner)
+
+    def batches(self, lanes: int = LANES) -> Iterator[np.ndarray]:
+        """Numbers of pieces that are read together, alike lengths."""
+        order = np.argsort(-self.size, kind="stable")
+        for at in range(0, len(order), lanes):
+            yield order[at : at + lanes]
+
+    def matrices(self, data: np.ndarray, edges: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(time, piece) of the bytes read forwards, from ``CONTEXT`` in front on, and backwards, from ``CONTEXT`` behind on."""
+        start, size, owner = self.start[some], self.size[some], self.owner[some]
+        t = np.arange(CONTEXT + int(size.max()))[:, None]
+        low, high = edges[:-1][owner], edges[1:][owner]
+
+        def read(at: np.ndarray) -> np.ndarray:
+            inside = (at >= low) & (at < high)
+            return np.where(inside, data[np.clip(at, 0, len(data) - 1)], _BLANK)
+
+        return read(start - CONTEXT + t), read(start + size - 1 + CONTEXT - t)
 
 
 @dataclass
@@ -64,52 +135,57 @@ class Direction:
     gates: np.ndarray  # (H, 2H)
     inner: np.ndarray  # (H, H)
 
-    def run(self, matrix: np.ndarray, live: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States (time, run, H); a run that has ended, or not begun, keeps its state."""
+    def run(self, matrix: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+        """States (time, piece, H)."""
         size = self.inner.shape[0]
         h = np.zeros((matrix.shape[1], size), np.float32)
         states, tape = np.empty((*matrix.shape, size), np.float32), []
         for t in range(len(matrix)):
             x = self.byte[matrix[t]]
-            zr = _sigmoid(x[:, : 2 * size] + h @ self.gates)
+            zr = h @ self.gates
+            zr += x[:, : 2 * size]
+            _sigmoid(zr)
             z, r = zr[:, :size], zr[:, size:]
-            n = np.tanh(x[:, 2 * size :] + (r * h) @ self.inner)
-            new = np.where(live[t][:, None], (1 - z) * n + z * h, h)
+            n = (r * h) @ self.inner
+            n += x[:, 2 * size :]
+            np.tanh(n, out=n)
             if keep:
                 tape.append((h, z, r, n))
-            states[t] = h = new
+            h = h - n
+            h *= z
+            h += n
+            states[t] = h
         return states, tape
 
-    def back(self, matrix: np.ndarray, live: np.ndarray, tape: list, d_states: np.ndarray) -> Direction:
+    def back(self, matrix: np.ndarray, tape: list, d_states: np.ndarray) -> Direction:
         """Gradients, from those of the states."""
         size = self.inner.shape[0]
-        g = Direction(np.zeros_like(self.byte), np.zeros_like(self.gates), np.zeros_like(self.inner))
+        gates, inner = np.zeros_like(self.gates), np.zeros_like(self.inner)
+        added = np.empty((*matrix.shape, 3 * size), np.float32)
         dh = np.zeros_like(d_states[0])
         for t in range(len(matrix) - 1, -1, -1):
             h, z, r, n = tape[t]
-            on = live[t][:, None]
             dh = dh + d_states[t]
-            d_new = dh * on
-            dn = d_new * (1 - z) * (1 - n * n)
+            dn = dh * (1 - z) * (1 - n * n)
             d_rh = dn @ self.inner.T
-            dz = d_new * (h - n) * z * (1 - z)
-            dr = d_rh * h * r * (1 - r)
-            d_zr = np.concatenate([dz, dr], 1)
-            g.inner += (r * h).T @ dn
-            g.gates += h.T @ d_zr
-            np.add.at(g.byte, matrix[t], np.concatenate([d_zr, dn], 1))
-            dh = dh * (1 - on) + d_new * z + d_rh * r + d_zr @ self.gates.T
-        return g
+            d_zr = np.concatenate([dh * (h - n) * z * (1 - z), d_rh * h * r * (1 - r)], 1)
+            inner += (r * h).T @ dn
+            gates += h.T @ d_zr
+            added[t, :, : 2 * size], added[t, :, 2 * size :] = d_zr, dn
+            dh = dh * z + d_rh * r + d_zr @ self.gates.T
+        which, flat = matrix.ravel(), added.reshape(-1, 3 * size)
+        byte = np.stack([np.bincount(which, flat[:, k], 256) for k in range(3 * size)], 1).astype(np.float32)
+        return Direction(byte, gates, inner)
 
 
 @dataclass
 class Network:
-    """Both directions and the labelling layer."""
+    """Both directions and the labelling layer; the last label is noise."""
 
     languages: list[str]
     ahead: Direction
     behind: Direction
-    out: np.ndarray  # (2H + 1, L)
+    out: np.ndarray  # (2H + 1, languages + 1)
 
     @classmethod
     def fresh(cls, languages: list[str], hidden: int, seed: int = 7) -> Network:
@@ -119,90 +195,122 @@ class Network:
             return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
 
         layers = [Direction(make(256, 3 * hidden) * 4, make(hidden, 2 * hidden), make(hidden, hidden)) for _ in range(2)]
-        return cls(languages, *layers, make(2 * hidden + 1, len(languages)))
-
-    @staticmethod
-    def _turned(matrix: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Each column's first ``length`` entries in reverse order; an involution."""
-        at = lengths[None, :] - 1 - np.arange(len(matrix))[:, None]
-        at = np.where(at < 0, np.arange(len(matrix))[:, None], at)
-        return matrix[at, np.arange(matrix.shape[1])[None, :]]
-
-    def label(self, matrix: np.ndarray, lengths: np.ndarray, keep: bool = False) -> tuple:
-        """Distributions (time, run, language), zero past a run's end; with ``keep`` what training needs as well."""
-        live = np.arange(len(matrix))[:, None] < lengths[None, :]
-        a, tape_a = self.ahead.run(matrix, live, keep)
-        turned = self._turned(matrix, lengths)
-        b, tape_b = self.behind.run(turned, live, keep)
-        both = np.concatenate([a, self._turned(b, lengths), np.ones((*matrix.shape, 1), np.float32)], 2)
-        logits = both @ self.out
-        p = np.exp(logits - logits.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
+        return cls(languages, *layers, make(2 * hidden + 1, len(languages) + 1))
+
+    def label(self, ahead: np.ndarray, behind: np.ndarray, size: np.ndarray, keep: bool = False) -> tuple:
+        """Distributions (position, piece, label), zero past a piece's end; with ``keep`` what training needs as well."""
+        a, tape_a = self.ahead.run(ahead, keep)
+        b, tape_b = self.behind.run(behind, keep)
+        position = np.arange(len(ahead) - CONTEXT)[:, None]
+        live = position < size
+        mirror = np.where(live, CONTEXT + size - 1 - position, 0)
+        lanes = np.arange(len(size))
+        hidden = a.shape[2]
+        a, b = a[CONTEXT:], b[mirror, lanes]
+        p = a.reshape(-1, hidden) @ self.out[:hidden]
+        p += b.reshape(-1, hidden) @ self.out[hidden:-1]
+        p += self.out[-1]
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        p = p.reshape(*live.shape, -1)
         p *= live[:, :, None]
-        return (p, live, both, turned, tape_a, tape_b) if keep else (p,)
+        return (p, live, mirror, a, b, tape_a, tape_b) if keep else (p,)
 
-    def gradients(self, matrix: np.ndarray, lengths: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    def gradients(self, ahead: np.ndarray, behind: np.ndarray, size: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Loss and gradients of the weighted mean cross-entropy over positions."""
-        p, live, both, turned, tape_a, tape_b = self.label(matrix, lengths, keep=True)
+        p, live, mirror, a, b, tape_a, tape_b = self.label(ahead, behind, size, keep=True)
         w = live * weight[None, :].astype(np.float32)
         total = w.sum()
-        runs = np.arange(len(target))
-        loss = -(np.log(np.maximum(p[:, runs, target], 1e-9)) * w).sum() / total
-        d = p.copy()
-        d[:, runs, target] -= 1
+        lanes = np.arange(len(size))
+        loss = -(np.log(np.maximum(p[:, lanes, target], 1e-9)) * w).sum() / total
+        d = p
+        d[:, lanes, target] -= 1
         d *= (w / total)[:, :, None]
-        g_out = np.tensordot(both, d, ([0, 1], [0, 1]))
-        d_both = d @ self.out.T
-        size = self.ahead.inner.shape[0]
-        ga = self.ahead.back(matrix, live, tape_a, d_both[:, :, :size])
-        gb = self.behind.back(turned, live, tape_b, self._turned(d_both[:, :, size : 2 * size], lengths))
+        hidden = a.shape[2]
+        flat = d.reshape(-1, d.shape[2])
+        g_out = np.concatenate([a.reshape(-1, hidden).T @ flat, b.reshape(-1, hidden).T @ flat, flat.sum(axis=0)[None]])
+        d_a, d_b = np.zeros((*ahead.shape, hidden), np.float32), np.zeros((*behind.shape, hidden), np.float32)
+        d_a[CONTEXT:] = d @ self.out[:hidden].T
+        at, lane = np.nonzero(live)
+        d_b[mirror[at, lane], lane] = d[at, lane] @ self.out[hidden:-1].T
+        ga, gb = self.ahead.back(ahead, tape_a, d_a), self.behind.back(behind, tape_b, d_b)
         return float(loss), [ga.byte, ga.gates, ga.inner, gb.byte, gb.gates, gb.inner, g_out]
 
     def weights(self) -> list[np.ndarray]:
         return [self.ahead.byte, self.ahead.gates, self.ahead.inner, self.behind.byte, self.behind.gates, self.behind.inner, self.out]
 
-    def run_vectors(self, runs: list[str]) -> np.ndarray:
-        """Sums over the positions of each run: one column a language, then the number of positions."""
-        out = np.zeros((len(runs), len(self.languages) + 1), np.float32)
-        pieces, owner = [], []
-        for k, r in enumerate(runs):
-            for piece in _pieces(r):
-                pieces.append(piece)
-                owner.append(k)
-        order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))  # alike lengths together: little padding
-        for at in range(0, len(order), 2048):
-            some = order[at : at + 2048]
-            matrix, lengths = _windows([pieces[k] for k in some])
-            (p,) = self.label(matrix, lengths)
-            mine = np.array([owner[k] for k in some])
-            np.add.at(out, mine, np.concatenate([p.sum(axis=0), lengths[:, None].astype(np.float32)], 1))
-        return out
-
-
-def train(samples: dict[str, Counter], hidden: int = 16, epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
-    """Fit by Adam, from languages with their runs and counts. A run's weight is the root of its count."""
+    def probabilities(self, texts: Sequence[str | None]) -> list[np.ndarray | None]:
+        """Mean over the positions of each text, of all labels; None without a letter."""
+        read = Bytes.of(texts)
+        pieces = Pieces.of(read.edges)
+        sums = np.zeros((len(texts), len(self.languages) + 1))
+        for some in pieces.batches():
+            ahead, behind = pieces.matrices(read.data, read.edges, some)
+            (p,) = self.label(ahead, behind, pieces.size[some])
+            np.add.at(sums, pieces.owner[some], p.sum(axis=0, dtype=np.float64))
+        sizes = np.diff(read.edges)
+        return [np.round(s / n, 6) if has else None for s, n, has in zip(sums, sizes.tolist(), read.lettered.tolist())]
+
+
+def noise(rng: random.Random, n: int) -> list[str]:
+    """Words of random letters: of the alphabet, and of one stretch of other letters each."""
+    letters = [chr(c) for c in np.flatnonzero(_kinds()[: 0x10000] == 2).tolist()]
+    out = []
+    for k in range(n):
+        if k % 2:
+            chosen = "abcdefghijklmnopqrstuvwxyz"
+        else:
+            at = rng.randrange(len(letters) - 64)
+            chosen = letters[at : at + 64]
+        out.append(" ".join("".join(rng.choice(chosen) for _ in range(rng.randrange(2, 10))) for _ in range(rng.randrange(2, 20))))
+    return out
+
+
+def _stretches(rng: random.Random, texts: list[str]) -> list[str]:
+    """Texts cut into stretches of many lengths."""
+    out = []
+    for t in texts:
+        at = 0
+        while at < len(t):
+            n = rng.choice((8, 16, 32, 64, STEP, STEP, STEP))
+            out.append(t[at : at + n])
+            at += n
+    return out
+
+
+def train(samples: dict[str, list[str]], hidden: int = 16, epochs: int = 3, batch: int = 96, rate: float = 0.012, seed: int = 7) -> Network:
+    """Fit by Adam, from languages and their texts. All labels weigh alike."""
     languages = sorted(samples)
     network = Network.fresh(languages, hidden, seed)
-    items = [(p, k, n) for k, name in enumerate(languages) for r, n in sorted(samples[name].items()) for p in _pieces(r)]
-    if not items:
+    if not languages:
         return network
-    rng = np.random.default_rng(seed)
-    share = np.zeros(len(languages))
-    for _, k, n in items:
-        share[k] += n**0.5
+    rng = random.Random(seed)
+    texts, target = [], []
+    for k, name in enumerate(languages):
+        some = _stretches(rng, sorted(samples[name]))
+        texts += some
+        target += [k] * len(some)
+    made = noise(rng, max(64, len(texts) // (2 * len(languages))))
+    texts += made
+    target += [len(languages)] * len(made)
+    read = Bytes.of(texts)
+    pieces = Pieces.of(read.edges)
+    labels = np.array(target)[pieces.owner]
+    share = np.bincount(labels, pieces.size, len(languages) + 1)
     weights = network.weights()
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    steps = epochs * -(-len(items) // batch)
+    dice = np.random.default_rng(seed)
+    steps = max(1, epochs * -(-len(labels) // batch))
     for _ in range(epochs):
-        order = rng.permutation(len(items)).tolist()
-        stretch = 16 * batch  # inside it, alike lengths together: little padding
-        order = [k for at in range(0, len(order), stretch) for k in sorted(order[at : at + stretch], key=lambda k: len(items[k][0]))]
-        for at in rng.permutation(range(0, len(order), batch)):
-            some = [items[k] for k in order[at : at + batch]]
-            matrix, lengths = _windows([r for r, _, _ in some])
-            target = np.array([k for _, k, _ in some])
-            weight = np.array([n**0.5 for _, _, n in some]) / share[target] * share.mean()
-            _, grads = network.gradients(matrix, lengths, target, weight)
+        order = dice.permutation(len(labels))
+        stretch = 16 * batch  # inside it, alike lengths together
+        order = np.concatenate([o[np.argsort(-pieces.size[o], kind="stable")] for o in (order[k : k + stretch] for k in range(0, len(order), stretch))]) if len(order) else order
+        for at in dice.permutation(np.arange(0, len(order), batch)):
+            some = order[at : at + batch]
+            ahead, behind = pieces.matrices(read.data, read.edges, some)
+            y = labels[some]
+            _, grads = network.gradients(ahead, behind, pieces.size[some], y, share.mean() / np.maximum(share[y], 1))
             step += 1
             pace = rate * (1 - (step - 1) / steps)
             for w, g, a, b in zip(weights, grads, first, second):
@@ -213,72 +321,45 @@ def train(samples: dict[str, Counter], hidden: int = 16, epochs: int = 6, batch:
     return network
 
 
-def fit(labelled: DataFrame, per_language: int = 200, run_sample: int = 4000, hidden: int = 16, epochs: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
-    """Train on rows of (id, text, language).
+def sample(labelled: DataFrame, per_language: int, longest: int, most_documents: int, most_languages: int, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
+    """The texts to learn from, by language.
 
-    The bounds of the sample are ``per_language`` documents and ``run_sample`` distinct
-    runs a language; the documents are those with the least hash of id and text.
+    Distinct texts are counted by language (approximately), so that a bound on the hash
+    leaves somewhat more than are wanted; the least of these are taken on the driver.
     """
-    rows = labelled.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h")).where("l is not null and t is not null")
-    order = Window.partitionBy("l").orderBy("h")
-    chosen = rows.select("l", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("h").distinct().toPandas()["h"].tolist()
-    if not chosen:
-        return train({})
-    texts = rows.where(F.col("h").isin(chosen)).dropDuplicates(["l", "h"])
-    samples: dict[str, Counter] = {}
-    for l, t in sorted((r["l"], r["t"]) for r in texts.toLocalIterator()):
-        samples.setdefault(l, Counter()).update(_LETTERS.findall(t.lower()))
-    return train({l: Counter(dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:run_sample])) for l, c in samples.items()}, hidden, epochs)
-
-
-class Labeller:
-    """Pools the network's labels over texts; remembers the vectors of runs."""
-
-    def __init__(self, network: Network) -> None:
-        self.network = network
-        key = hashlib.sha256(b"".join(w.tobytes() for w in network.weights())).digest()
-        self.place, self.vectors = held(("runs", key, RUN_MEMORY), lambda: ({}, np.zeros((RUN_MEMORY, len(network.languages) + 1), np.float32)))
-
-    def probabilities(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Of each text over the languages; None without a letter."""
-        cut = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
-        wanted = set().union(*cut)
-        new = wanted.difference(self.place)
-        if len(self.place) + len(new) > RUN_MEMORY:
-            self.place.clear()
-            new = wanted
-        new = sorted(new)
-        fresh = self.network.run_vectors(new)
-        room = RUN_MEMORY - len(self.place)
-        stay = [k for k, r in enumerate(new) if len(r) <= RUN_CHARS][: max(room, 0)]
-        start = len(self.place)
-        self.vectors[start : start + len(stay)] = fresh[stay]
-        self.place.update(zip((new[k] for k in stay), range(start, start + len(stay))))
-        if len(stay) == len(new):
-            place, vectors = self.place, self.vectors
-        else:  # long runs, or more than the memory holds: this slice's own
-            some = [r for r in wanted if r in self.place]
-            place = dict(zip(some + new, range(len(some) + len(new))))
-            vectors = np.concatenate([self.vectors[[self.place[r] for r in some]], fresh]) if some else fresh
-        out: list[np.ndarray | None] = []
-        for runs in cut:
-            if not runs:
-                out.append(None)
-                continue
-            total = vectors[np.fromiter(map(place.__getitem__, runs), np.int64, len(runs))].sum(axis=0, dtype=np.float64)
-            out.append(total[:-1] / total[-1])
-        return out
+    u = F.pmod(F.xxhash64(text_col), F.lit(1 << 40))
+    rows = labelled.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"), u.alias("u"))
+    rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.octet_length("t") <= longest))
+    counts = rows.groupBy("l").agg(F.approx_count_distinct("u", 0.02).alias("n")).limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not counts:
+        return {}
+    per = max(1, min(per_language, most_documents // len(counts)))
+    some = per + 6 * math.sqrt(per) + 6
+    bounds = [(r["l"], int(min(1.0, 1.15 * some / r["n"]) * (1 << 40))) for r in counts]
+    limits = labelled.sparkSession.createDataFrame(bounds, "l string, bound long")
+    found = rows.join(F.broadcast(limits), "l").where("u < bound").select("l", "u", "t").dropDuplicates(["l", "u"]).collect()
+    out: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: (r["l"], r["u"])):
+        if len(out.setdefault(r["l"], [])) < per:
+            out[r["l"]].append(r["t"])
+    return out
+
+
+def fit(labelled: DataFrame, per_language: int = 120, longest: int = 16_384, most_documents: int = 4_000, most_languages: int = 2_000, hidden: int = 16, epochs: int = 3, text_col: str = "text", lang_col: str = "lang") -> Network:
+    """Train on rows of (text, language), of which a bounded sample is taken."""
+    return train(sample(labelled, per_language, longest, most_documents, most_languages, text_col, lang_col), hidden, epochs)
 
 
 def predict(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row. The network has a fixed size and goes with the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(network)
-        for part, texts in slices(batches, "t"):
-            found = labeller.probabilities(texts) if network.languages else [None] * len(texts)
-            names = [UNKNOWN if p is None else network.languages[int(p.argmax())] for p in found]
-            scores = [0.0 if p is None else min(1.0, float(p.max())) for p in found]
+        for part, texts in slices(batches, "t", SLICE):
+            found = network.probabilities(texts) if network.languages else [None] * len(texts)
+            names = [UNKNOWN if p is None else network.languages[int(p[:-1].argmax())] for p in found]
+            scores = [0.0 if p is None else min(1.0, round(float(p[:-1].max() / max(p[:-1].sum(), 1e-9)), 5)) for p in found]
             yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["k", "lang_pred", "score"])
 
     rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
@@ -286,22 +367,16 @@ def predict(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", id_col)
 
 
-def keep(df: DataFrame, network: Network, least: float | None = None, text_col: str = "text") -> DataFrame:
-    """The rows, as they are, whose text has a letter and a language with a score of ``least`` or more.
-
-    Without ``least``, a score has to be a twentieth above that of languages all alike.
-    """
-    if least is None:
-        least = min(1.0, 1.05 / max(1, len(network.languages)))
+def keep(df: DataFrame, network: Network, most_noise: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows, as they are, that have a letter and whose positions are noise with a mean probability of ``most_noise`` at most."""
     names = df.columns
     plain = [f"c{k}" for k in range(len(names))]
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(network)
-        for part, texts in slices(batches, plain[at]):
-            found = labeller.probabilities(texts) if network.languages else [None] * len(texts)
-            yield part.filter(pa.array([p is not None and p.max() >= least for p in found], pa.bool_()))
+        for part, texts in slices(batches, plain[at], SLICE):
+            found = network.probabilities(texts) if network.languages else [None] * len(texts)
+            yield part.filter(pa.array([p is not None and p[-1] <= most_noise for p in found], pa.bool_()))
 
     rows = df.toDF(*plain)
     return rows.mapInArrow(run, rows.schema).toDF(*names)
