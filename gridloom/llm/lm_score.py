@@ -4,9 +4,10 @@ A token is predicted in three factors:
 
     P(token | history) = P(class | features) * P(subclass | class, features) * P(token | class, subclass)
 
-* Features of the history: the word before, the pair of words before, and the words two
-  and three places back (skips). Alone they are hashed into rows of the weights of a
-  softmax over classes; together with the class, into rows of those over its subclasses.
+* Features of the history: the word before, the pair of words before, and the word two
+  places back (a skip). They are hashed into rows of the weights of a softmax
+  over classes; the first two, each together with the class, into rows of those over its
+  subclasses.
 * Classes: endings of words (their last three bytes, hashed) are clustered by the
   endings that follow them in the whole training text. The end of a text is a class
   of its own. Subclasses: beginnings of words (two bytes, hashed), dealt so that all
@@ -14,9 +15,9 @@ A token is predicted in three factors:
 * Within a subclass, a softmax whose weights are the logarithms of the corpus counts plus
   one, with one place for all unseen tokens. It sums to one.
 
-The number of rows grows with the corpus: one for each 32 distinct tokens counted in it,
-rounded to a power of two, 2 ** 14 at least and 2 ** ``most_bits`` at most (16 MB for each factor by
-default); beyond that, contexts share rows. The counts grow without a bound.
+The number of rows grows with the corpus: one for each 64 distinct tokens counted in it,
+rounded to a power of two, 2 ** 15 at least and 2 ** ``most_bits`` at most (16 MB for each
+factor by default); beyond that, contexts share rows. The counts grow without a bound.
 
 Training is distributed: ``rounds`` slices of the training documents, dealt by a hash
 of the id, cover each of them once; in a round each task adds up the gradient of its
@@ -132,14 +133,14 @@ class Scan:
         n = len(self.hashes)
         inside = np.arange(n) - np.repeat(self.first[:-1], np.diff(self.first))
         back = []
-        for k in (1, 2, 3):
+        for k in (1, 2):
             h = np.full(n, 7, np.uint64)
             h[k:] = self.hashes[:-k] if k <= n else 0
             h[inside < k] = 7
             back.append(h)
-        a, b, c = back
+        a, b = back
         with np.errstate(over="ignore"):
-            return [a, a * np.uint64(0xD6E8FEB86659FD93) ^ (b >> np.uint64(7)), b + np.uint64(0xE7037ED1A0B428DB), c + np.uint64(0x8EBC6AF09C88C6E3)]
+            return [a, a * np.uint64(0xD6E8FEB86659FD93) ^ (b >> np.uint64(7)), b + np.uint64(0xE7037ED1A0B428DB)]
 
 
 def _rows(feature: np.ndarray, extra: np.ndarray | int, bits: int) -> np.ndarray:
@@ -151,18 +152,21 @@ def _rows(feature: np.ndarray, extra: np.ndarray | int, bits: int) -> np.ndarray
     return (m >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _softmax(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, target: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """(natural logarithm of each target's probability, all probabilities)."""
-    z = bias + weights[rows[0]]
+def _softmax(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, target: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the targets' probabilities; all probabilities go to ``p``.
+
+    Weights are bounded by the steps of training, so that no exponential is too large.
+    """
+    some = np.empty_like(p)
+    np.take(weights, rows[0], axis=0, out=p, mode="clip")
     for r in rows[1:]:
-        z += weights[r]
-    z -= z.max(axis=1, keepdims=True)
-    mine = z[np.arange(len(target)), target]
-    np.exp(z, out=z)
-    total = z.sum(axis=1)
-    if keep:
-        z /= total[:, None]
-    return mine - np.log(total), z if keep else None
+        p += np.take(weights, r, axis=0, out=some, mode="clip")
+    p += bias
+    mine = p[np.arange(len(target)), target]
+    np.exp(p, out=p)
+    total = p.sum(axis=1)
+    p /= total[:, None]
+    return mine - np.log(total)
 
 
 @dataclass
@@ -174,12 +178,13 @@ class Sums:
 
     @staticmethod
     def add(to: np.ndarray, rows: list[np.ndarray], p: np.ndarray, target: np.ndarray) -> None:
-        q = np.rint(p * np.float32(-UNIT))
-        q[np.arange(len(target)), target] += UNIT
-        joint, times = np.concatenate(rows), len(rows)
-        for k in range(q.shape[1]):
-            to[:, k] += np.bincount(joint, np.tile(q[:, k], times), len(to))
-        to[:, -1] += np.bincount(joint, minlength=len(to))
+        p *= np.float32(-UNIT)
+        q = np.rint(p, out=p).T.astype(np.float64)
+        q[target, np.arange(len(target))] += UNIT
+        for k, one in enumerate(q):
+            for r in rows:
+                to[:, k] += np.bincount(r, one, len(to))
+        to[:, -1] += np.bincount(np.concatenate(rows), minlength=len(to))
 
 
 @dataclass
@@ -203,21 +208,19 @@ class Model:
         features = scan.features()
         y, sub = self.classes[scan.ending], self.subs[scan.beginning]
         top = [_rows(f, 0, self.bits) for f in features]
-        low = [_rows(f, y, self.bits) for f in features[:3]]
+        low = [_rows(f, y, self.bits) for f in features[:2]]
         out = np.empty(len(y))
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        p, q = np.empty((len(y), self.top.shape[1]), np.float32), np.empty((len(y), self.low.shape[1]), np.float32)
         for at in range(0, len(y), BLOCK):
             part = slice(at, at + BLOCK)
-            one, p = _softmax(self.top, [r[part] for r in top], self.bias, y[part], sums is not None)
-            two, q = _softmax(self.low, [r[part] for r in low], self.low_bias[y[part]], sub[part], sums is not None)
+            one = _softmax(self.top, [r[part] for r in top], self.bias, y[part], p[part])
+            two = _softmax(self.low, [r[part] for r in low], self.low_bias[y[part]], sub[part], q[part])
             two[y[part] == 0] = 0  # the end has no subclasses
             out[part] = (one.astype(np.float64) + two) / math.log(10)
-            if sums is not None:
-                held.append((p, q))
-        if sums is not None and held:
-            Sums.add(sums.top, top, np.concatenate([p for p, _ in held]), y)
+        if sums is not None:
             inner = y > 0
-            Sums.add(sums.low, [r[inner] for r in low], np.concatenate([q for _, q in held])[inner], sub[inner])
+            Sums.add(sums.top, top, p, y)
+            Sums.add(sums.low, [r[inner] for r in low], q[inner], sub[inner])
         return out
 
 
@@ -338,7 +341,7 @@ def _step(weights: np.ndarray, sums: np.ndarray, prior: np.ndarray, rate: float,
     weights += (rate * np.clip(sums[:, :-1] / UNIT / (curvature + ridge), -4, 4)).astype(np.float32)
 
 
-def fit(train: DataFrame, classes: int = 16, subclasses: int = 16, bits: int | None = None, most_bits: int = 18, rounds: int = 6, head: int = 200_000, step: float = 0.6, ridge: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+def fit(train: DataFrame, classes: int = 16, subclasses: int = 8, bits: int | None = None, most_bits: int = 18, rounds: int = 4, head: int = 200_000, step: float = 0.6, ridge: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model, and the table of the counts of all tokens (key, n). Without ``bits`` the number of rows follows from the distinct tokens."""
     counts = cut(corpus_counts(train, text_col))
     first = F.substring("key", 1, 1)
@@ -375,7 +378,7 @@ def fit(train: DataFrame, classes: int = 16, subclasses: int = 16, bits: int | N
         least = row["bin"]
     most = tokens.where(order >= (math.inf if least is None else least)).select("key", "n").toArrow()
     known = dict(zip(most.column("key").to_pylist(), most.column("n").to_pylist()))
-    bits = bits or min(most_bits, max(14, round(math.log2(totals["v"] + 1)) - 5))
+    bits = bits or min(most_bits, max(15, round(math.log2(totals["v"] + 1)) - 6))
     by_class = mass.sum(axis=1)
     bias = np.log((by_class + 1) / (by_class.sum() + classes)).astype(np.float32)
     low_bias = np.log((mass + 1) / (by_class + subclasses)[:, None]).astype(np.float32)
@@ -407,32 +410,29 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
             scan = Scan.of(data)
             logs = m.factors(scan) - m.log_size[m.classes[scan.ending], m.subs[scan.beginning]]
             ids, hs = part.column("id"), part.column("h").to_pylist()
-            take, keys, ns, tokens, known, log_n, log_c, rows = [], [], [], [], [], [], [], []
+            # First a row for each text, then one for each of its tail tokens.
+            tokens, known, log_n, log_c = [], [], [], []
+            keys = [ROW + xxhash.xxh64_digest(b"%d %d" % (h, k)) for k, h in enumerate(hs)]
+            ns, owners = [0] * len(data), list(range(len(data)))
             end = number.get(END, -1)
             for k, d in enumerate(data):
                 words = d.split()
                 at = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
-                rest = np.flatnonzero(at < 0)
-                take.append(k)
-                keys.append(ROW + xxhash.xxh64_digest(b"%d %d" % (hs[k], k)))
-                ns.append(0)
-                rows.append(1)
+                rest = np.flatnonzero(at < 0).tolist()
                 tokens.append(len(words) + 1)
                 known.append(len(words) - len(rest) + (end >= 0))
                 log_n.append(float(log_count[at].sum() + log_count[end]))
                 log_c.append(float(logs[scan.first[k] : scan.first[k + 1]].sum()))
-                for key, n in Counter(key_of(words[j]) for j in rest.tolist()).items():
-                    take.append(k)
-                    keys.append(key)
-                    ns.append(n)
-                    rows.append(0)
-                    tokens.append(0)
-                    known.append(0)
-                    log_n.append(None)
-                    log_c.append(None)
-            take = pa.array(take, pa.int32())
-            columns = [ids.take(take), part.column("h").take(take), pa.array(keys, pa.binary())]
-            columns += [pa.array(x, pa.int64()) for x in (ns, rows, tokens, known)] + [pa.array(x, pa.float64()) for x in (log_n, log_c)]
+                tail = Counter([key_of(words[j]) for j in rest])
+                keys += tail
+                ns += tail.values()
+                owners += repeat(k, len(tail))
+            more = len(keys) - len(data)
+            take = pa.array(owners, pa.int32())
+            columns = [ids.take(take), part.column("h").take(take), pa.array(keys, pa.binary()), pa.array(ns, pa.int64())]
+            for values, kind, rest in (([1] * len(data), pa.int64(), 0), (tokens, pa.int64(), 0), (known, pa.int64(), 0), (log_n, pa.float64(), None), (log_c, pa.float64(), None)):
+                filler = pa.nulls(more, kind) if rest is None else pa.array(np.zeros(more, np.int64))
+                columns.append(pa.concat_arrays([pa.array(values, kind), filler]))
             yield pa.RecordBatch.from_arrays(columns, ["id", "h", "key", "n", "rows", "tokens", "known", "log_count", "log_class"])
 
     source = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
@@ -458,3 +458,19 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
         (F.col("log_count") - F.col("tokens") * size).alias("base_score"),
         (F.col("log_count") + F.col("log_class")).alias("score"),
     )
+
+
+#: Counts and base scores in SQL; the checksum that deals the documents is worked out bit by bit.
+ORACLE_BASE = r"""
+WITH d AS (
+  SELECT doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS w,
+    coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT) % 7 = 2, false) AS held_out
+  FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS token FROM d),
+c AS (SELECT token, count(*) AS n FROM t WHERE NOT held_out GROUP BY token),
+size AS (SELECT sum(n) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.n) AS n_known, CAST(any_value(size.n) AS BIGINT) AS train_tokens,
+  round(sum(log10((coalesce(c.n, 0) + 1) / (size.n + size.v + 1))), 5) AS base_score
+FROM t LEFT JOIN c USING (token), size GROUP BY doc_id, held_out
+"""
