@@ -48,6 +48,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.contract_rows(table(spark, sf_dir, "documents"))
 
 
+def pii_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 finds by form alone."""
+    return pii.form_rows(table(spark, sf_dir, "documents"))
+
+
 def held_out(column: str, parts: int) -> Column:
     """Whether a document is kept from training; one with a null id is not."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts == 2, F.lit(False))
@@ -66,6 +71,12 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's counts and base scores, rounded, without its model."""
+    scored = op9_lm_score(spark, sf_dir)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -81,9 +92,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_lm_score": op9_lm_score,
     "op10_token_counts": op10_token_counts,
+    "pii_forms": pii_forms,
+    "lm_base": lm_base,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": url_filter.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
+    "pii_forms": pii.ORACLE_FORMS,
+    "lm_base": lm_score.ORACLE_BASE,
 }

@@ -250,14 +250,45 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def form_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What form alone tells: the counts of each kind and the digest of the spans."""
+    found = base_spans(docs, id_col, text_col)
+    counts = [F.size(F.filter("base", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select(F.col("id").alias(id_col), *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"))
+
+
+#: The same in SQL.
+_SQL_FORMS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_MATCHES = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {n} AS rank, regexp_extract_all(t, '{f}') AS m, string_split_regex(t, '{f}') AS g FROM d" for n, (k, f) in enumerate(_SQL_FORMS.items()))
+ORACLE_FORMS = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS ({_MATCHES}),
+e AS (SELECT doc_id, kind, rank, m, g, unnest(range(1, len(m) + 1)) AS i FROM p WHERE len(m) > 0),
+s AS (SELECT doc_id, kind, rank, m[i] AS h, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS a FROM e),
+v AS (SELECT *, regexp_replace(h, '[^0-9]', '', 'g') AS n FROM s),
+ok AS (
+  SELECT doc_id, kind, rank, a, a + length(h) AS z FROM v
+  WHERE kind = 'email' OR (kind = 'phone' AND length(n) BETWEEN 10 AND 15)
+    OR (kind = 'ip' AND regexp_full_match(h, '{_PART}(\.{_PART}){{3}}'))
+    OR (kind = 'card' AND length(n) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(n)), lambda j:
+      CASE WHEN j % 2 = 0 THEN CAST(n[length(n) - j] AS INTEGER) WHEN CAST(n[length(n) - j] AS INTEGER) > 4 THEN 2 * CAST(n[length(n) - j] AS INTEGER) - 9 ELSE 2 * CAST(n[length(n) - j] AS INTEGER) END)) % 10 = 0)),
+by_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+    string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) AS spans FROM ok GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256
+FROM d LEFT JOIN by_doc USING (doc_id)
+"""
+
+
 def contract_rows(docs: DataFrame, **options) -> DataFrame:
     """The query's columns."""
     found = find(docs, **options)
-
-    def of(rank: int) -> Column:
-        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
-
-    counts = [of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 

@@ -13,9 +13,11 @@
    in the shared checkpoint folder each round.
 
 Rows: a null text counts as empty, an empty text has fingerprint zero, and rows with
-that fingerprint are linked like any other. Repeated rows and equal ids stay rows of
-their own. A null id takes part, but never names a component; a component without any
-id has a null name.
+that fingerprint are linked like any other. Texts of any length are read whole. Repeated
+rows and equal ids stay rows of their own, and the least id names a component whatever
+links tie. A null id takes part, but never names a component; a component without any
+id has a null name. No rows give no rows. Further columns, of any name, are not read, or
+kept as they are by :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -155,10 +157,9 @@ def near_duplicates(df: DataFrame, width: int = 5, distance: int = 3, blocks: in
     found = components(links(nodes, distance, blocks))
     named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = cut(named)
-    # Only components of several fingerprints need a second minimum.
-    joined = named.join(cut(found.select("root").distinct()), "root", "left_semi")
-    names = cut(joined.groupBy("root").agg(F.min("least").alias("name")))  # cut: AQE can split a large component in the joins
-    labels = named.join(names, "root", "left").select("fp", F.when(F.col("name").isNull(), F.col("least")).otherwise(F.col("name")).alias("component"))
+    # Each task's least ids come first, so that a large component is a row for each task; cut: AQE can split it in the joins.
+    names = cut(named.groupBy("root").agg(F.min("least").alias("component")))
+    labels = named.select("fp", "root").join(names, "root").select("fp", "component")
     return marked.join(labels, "fp").select(id_col, "fp", "component")
 
 
@@ -169,10 +170,15 @@ def hexed(fp: str = "fp"):
 
 def keep_one(df: DataFrame, width: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, as it is: that of the least id (rows without id come last), and of equal rows any."""
-    key = F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("a"), F.hash(id_col, text_col).alias("b"))
-    found = cut(near_duplicates(df.select(key.alias("key"), F.col(text_col).alias("text")), width, distance, id_col="key", text_col="text"))
-    first = found.select("component.a", "component.b").distinct().select(F.col("a").alias("__a1"), F.col("b").alias("__b1"))
-    rows = df.withColumns({"__a": F.xxhash64(id_col, text_col), "__b": F.hash(id_col, text_col)})
+    names = df.columns
+    rows = df.toDF(*(f"c{k}" for k in range(len(names))))
+    plain = rows.columns
+    id_, text = (plain[names.index(c)] for c in (id_col, text_col))
+    marks = F.xxhash64(id_, text), F.hash(id_, text)
+    key = F.struct(F.col(id_).isNull().alias("without"), F.col(id_).alias("id"), marks[0].alias("a"), marks[1].alias("b"))
+    found = cut(near_duplicates(rows.select(key.alias("key"), F.col(text).alias("text")), width, distance, id_col="key", text_col="text"))
+    first = found.select("component.a", "component.b").distinct()
+    rows = rows.withColumns({"a1": marks[0], "b1": marks[1]})
     if not found.groupBy("key").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["__a", "__b"])
-    return rows.join(first, (F.col("__a") == F.col("__a1")) & (F.col("__b") == F.col("__b1")), "left_semi").drop("__a", "__b")
+        rows = rows.dropDuplicates(["a1", "b1"])
+    return rows.join(first, (F.col("a1") == F.col("a")) & (F.col("b1") == F.col("b")), "left_semi").select(*plain).toDF(*names)

@@ -5,7 +5,7 @@ import sentencepiece
 
 import corpus_pipeline
 from gridloom.llm import entries, spm
-from tests.llm.test_decontaminate import brute as hits
+from tests.llm.test_decontaminate import words
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -39,14 +39,26 @@ def test_language(steps):
 
 def test_near_duplicates(steps):
     rows = sorted(steps[1], key=lambda r: (r.doc_id is None, r.doc_id))
-    root = brute_components([brute_fingerprint(r.text, 3) for r in rows], 3)
+    root = brute_components([brute_fingerprint(r.text, 3) for r in rows], corpus_pipeline.BITS)
     assert sorted(map(repr, steps[2])) == sorted(repr(rows[k]) for k in set(root))
 
 
 def test_decontamination(spark, steps):
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
-    few = [r for r in steps[2] if len(r.text) < 4000]
-    assert {r.doc_id for r in few if not hits(r.text, items)[3]} == {r.doc_id for r in steps[3] if len(r.text) < 4000}
+    windows = set()
+    for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect():
+        w = words(r.text)
+        windows |= {tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))} - {()}
+    sizes = sorted({len(w) for w in windows})
+
+    def contaminated(text):
+        w, hit = words(text), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    assert {r.doc_id for r in steps[2] if not contaminated(r.text)} == {r.doc_id for r in steps[3]}
     assert len(steps[3]) < len(steps[2])
 
 

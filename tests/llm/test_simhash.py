@@ -98,6 +98,9 @@ def test_one_of_each_stays(spark):
     kept = simhash.keep_one(df, width=3)
     assert kept.columns == df.columns
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 3, 7, 8]
+    clashing = df.withColumns({c: F.lit(1) for c in ("__a", "__b", "a", "b", "key", "c0", "component", "x.y")})
+    kept = simhash.keep_one(clashing, width=3)
+    assert kept.columns == clashing.columns and sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 3, 7, 8]
 
 
 def test_documents_against_brute_force(spark):
