@@ -18,8 +18,10 @@ The words between those that stay are searched again.
 
 Each row is worked on by itself, in Arrow batches; nothing is shuffled.
 
-Rows: null and empty texts have no licence. Repeated rows, null ids and further columns
-make no difference. Between templates that score alike, the first by name is taken.
+Rows: null and empty texts have no licence; texts of any length are searched whole.
+Repeated rows, null ids and further columns of any name make no difference. Between
+templates that score alike, the first by name is taken, and of passages that weigh alike
+the first by template and place. No rows give no rows; without templates nothing is found.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm import license_texts
 from gridloom.llm.common import slices
 
 _WORD = re.compile(r"[a-z0-9]+")
@@ -274,11 +277,13 @@ You should have received a copy of the GNU {0}General Public License along with
 _UNLICENSE = """This is free and unencumbered software released into the public domain.
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
 TEMPLATES = (
+    ("Apache-2.0", license_texts.APACHE),
     ("Apache-2.0", _APACHE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("BSD-2-Clause", f"{_BSD_HEAD}\n{_BSD_TAIL}"),
     ("BSD-3-Clause", f"{_BSD_HEAD}\n{_BSD_THIRD}\n{_BSD_TAIL}"),
+    ("BSL-1.0", license_texts.BOOST),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -288,8 +293,10 @@ TEMPLATES = (
     ("AGPL-3.0", _GPL.format("Affero ", "3")),
     ("GPL-2.0", _GPL.format("", "2")),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0", license_texts.GPL_PREAMBLE),
     ("GPL-3.0", _GPL.format("", "3")),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("LGPL-3.0", license_texts.LGPL_EXTRA),
     ("LGPL-3.0", _GPL.format("Lesser ", "3")),
     ("ISC", _ISC),
     ("MIT", _MIT),
@@ -297,5 +304,7 @@ TEMPLATES = (
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", license_texts.MPL_GRANTS),
     ("Unlicense", _UNLICENSE),
+    ("Zlib", license_texts.ZLIB),
 )

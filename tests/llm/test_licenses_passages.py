@@ -67,3 +67,12 @@ def test_every_run_of_words_counts():
 def test_repeats_stay_cheap():
     found = SCANNER.scan("\n\n".join([li._MIT.replace("\n", "\n\n")] * 100))
     assert [f.name for f in found] == ["MIT"] * 100
+
+
+def test_a_whole_licence_above_code():
+    from gridloom.llm import license_texts
+
+    for name, text in (("Apache-2.0", license_texts.APACHE), ("Zlib", license_texts.ZLIB), ("BSL-1.0", license_texts.BOOST)):
+        wrapped = "\n".join(f"   {line}" for line in text.replace(". ", ".\n\n").split("\n"))
+        found = SCANNER.scan(wrapped + "\n\ndef main():\n    return 0\n" + STORY)
+        assert [f.name for f in found] == [name] and found[0].dice > 0.95
