@@ -250,11 +250,19 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _counts() -> list[Column]:
+    """How many base spans there are of each kind."""
+
+    def of(rank: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+
+    return [of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+
 def form_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What form alone tells: the counts of each kind and the digest of the spans."""
     found = base_spans(docs, id_col, text_col)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select(F.col("id").alias(id_col), *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"))
+    return found.select(F.col("id").alias(id_col), *_counts(), F.sha2(listed(F.col("base")), 256).alias("base_sha256"))
 
 
 #: The same in SQL.
@@ -288,8 +296,7 @@ FROM d LEFT JOIN by_doc USING (doc_id)
 def contract_rows(docs: DataFrame, **options) -> DataFrame:
     """The query's columns."""
     found = find(docs, **options)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *_counts(), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
