@@ -1,13 +1,14 @@
 """Clustering step by step over grid cells: local clusters, merge edges, global labels.
 
-The steps show how clusters of cells are put together. Core flags are exact before any
-cell is looked at, so that copies never have a status of their own, and the result is
+The steps show how clusters of cells are put together. In :class:`Cells`, core flags are exact
+before any cell is looked at, so that copies never have a status of their own, and the result is
 that of :func:`gridloom.plans.clustering.density_clusters`, which is the way for large inputs.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from gridloom.operators.density import core_points
 from gridloom.operators.grid import Grid, copies, grid_of
 from gridloom.operators.neighbors import neighbor_pairs
 from gridloom.params import Params
+from gridloom.plans.clustering import density_clusters
 from gridloom.sources.points import dimensions
 
 
@@ -27,6 +29,25 @@ def key(cell_id: Column, local_root: Column) -> Column:
     return F.concat_ws("_", cell_id.cast("string"), local_root.cast("string"))
 
 
+def each_alone(points: DataFrame, params: Params) -> DataFrame:
+    """(cell_id, id, is_home, is_core, local_root): every cell's copies clustered by themselves, as if there were no other cell.
+
+    Neighbours are counted among the copies of a cell only, so that a copy far from its home
+    can lose its core status there. Cells are kept apart by one more coordinate, in which
+    they lie further from each other than any neighbour; so no cell has to fit into a task.
+    ``local_root`` is the least core id of the cell's cluster, null for noise.
+    """
+    grid = grid_of(points, params)
+    if grid is None:
+        return points.sparkSession.createDataFrame([], "cell_id long, id long, is_home boolean, is_core boolean, local_root long")
+    if math.prod(grid.shape) >= 1 << 50:
+        raise OverflowError("the grid has more cells than can be told apart")
+    held = cut(copies(points, grid).select(F.struct("id", "cell_id").alias("id"), F.concat("coords", F.array(F.col("cell_id") * F.lit(8 * params.eps32))).alias("coords"), "is_home"))
+    found = density_clusters(held.select("id", "coords"), replace(params, border_mode="standard"), dims=grid.dims + 1)
+    found = found.select("id", "is_core", F.col("root.id").alias("local_root"))
+    return held.select("id", "is_home").join(found, "id").select("id.cell_id", "id.id", "is_home", "is_core", "local_root")
+
+
 @dataclass
 class Cells:
     """The steps for one set of points, which has at least one."""

@@ -13,7 +13,7 @@ from gridloom.operators import components as graph
 from gridloom.operators import density, grid, neighbors
 from gridloom.params import Params
 from gridloom.plans import summary
-from gridloom.plans.cells import Cells
+from gridloom.plans.cells import Cells, each_alone
 from gridloom.plans.clustering import density_clusters
 from gridloom.sources.points import numbered, points_of, read_points
 from gridloom.sources.sinks import rendered
@@ -187,6 +187,11 @@ def local_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).local.select("cell_id", "id", "is_home", "is_core", "local_root")
 
 
+def cells_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cell clustered by itself."""
+    return each_alone(customers(spark, sf_dir), CUSTOMERS)
+
+
 def point_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = F.max(F.when(F.col("is_home"), F.col("cell_id")))
     return _cells(spark, sf_dir).copies.groupBy("id").agg(F.count("*").alias("copies"), home.alias("home"), F.bool_or("is_core").alias("is_core"))
@@ -232,7 +237,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scan_points, text_points, row_number_ids, bounds, grid_shape, home_cell, ghost_assignments, home_copies, ghost_count, cell_occupancy,
         neighbor_pairs, pairwise_distance, neighbor_counts, neighbor_counts_64d, radius_search, core_points, core_components,
         cluster_labels, cluster_visit_order, cluster_orders, cluster_baskets_3d, classify_points, clustered_points, noise_points,
-        cluster_ids, render_points, run_summary, local_clusters, point_copies, local_cluster_keys, same_point_edges,
+        cluster_ids, render_points, run_summary, local_clusters, cells_alone, point_copies, local_cluster_keys, same_point_edges,
         component_edges, connected_components, union_find, point_to_global, graph_components,
     )
 }
@@ -305,6 +310,15 @@ kcc(key, root) USING KEY (key) AS (
   SELECT DISTINCT key, key FROM keyed UNION
   (SELECT e.dst, min(kcc.root) FROM kcc JOIN twoway e ON e.src = kcc.key JOIN recurring.kcc AS r ON r.key = e.dst WHERE kcc.root < r.root GROUP BY e.dst))"""
 
+#: Each cell by itself: neighbours, cores and components among its own copies.
+_ALONE = f"""{_GRID},
+apairs AS MATERIALIZED (SELECT x.cell_id, a, b FROM pairs JOIN copies x ON x.id = a JOIN copies y ON y.id = b AND y.cell_id = x.cell_id),
+acore AS MATERIALIZED (SELECT cell_id, a AS id FROM apairs GROUP BY cell_id, a HAVING count(*) >= {CUSTOMERS.min_pts}),
+alinks AS MATERIALIZED (SELECT p.cell_id, a, b FROM apairs p JOIN acore x ON x.cell_id = p.cell_id AND x.id = a JOIN acore y ON y.cell_id = p.cell_id AND y.id = b),
+acc(cell_id, id, root) USING KEY (cell_id, id) AS (
+  SELECT cell_id, id, id FROM acore UNION
+  (SELECT l.cell_id, l.b, min(acc.root) FROM acc JOIN alinks l ON l.cell_id = acc.cell_id AND l.a = acc.id JOIN recurring.acc AS r ON r.cell_id = l.cell_id AND r.id = l.b WHERE acc.root < r.root GROUP BY l.cell_id, l.b))"""
+
 #: A scan in id order, in closed form.
 _VISIT = f"""{_CUSTOMER},
 met AS (SELECT pairs.a AS id, min(cc.root) AS least, min(CASE WHEN cc.root = cc.id THEN cc.root END) AS seed FROM pairs JOIN cc ON cc.id = pairs.b WHERE pairs.a NOT IN (SELECT id FROM core) GROUP BY pairs.a),
@@ -343,6 +357,9 @@ ORACLE_SQL: dict[str, str] = {
         count(*) AS total_points, (SELECT count(*) FROM copies WHERE NOT is_home) AS ghost_points, count(DISTINCT root) AS num_clusters, count(*) FILTER (is_core) AS core_points,
         count(*) FILTER (NOT is_core AND root IS NOT NULL) AS border_points, count(*) FILTER (root IS NULL) AS noise_points FROM labels""",
     "local_clusters": f"{_CELLS} SELECT cell_id, id, is_home, is_core, local_root FROM local",
+    "cells_alone": f"""{_ALONE} SELECT c.cell_id, c.id, c.is_home, k.id IS NOT NULL AS is_core, coalesce(k.root, t.root) AS local_root
+        FROM copies c LEFT JOIN acc k ON k.cell_id = c.cell_id AND k.id = c.id
+        LEFT JOIN (SELECT p.cell_id, p.a AS id, min(acc.root) AS root FROM apairs p JOIN acc ON acc.cell_id = p.cell_id AND acc.id = p.b GROUP BY p.cell_id, p.a) t ON t.cell_id = c.cell_id AND t.id = c.id""",
     "point_copies": f"{_CELLS} SELECT id, count(*) AS copies, max(CASE WHEN is_home THEN cell_id END) AS home, bool_or(is_core) AS is_core FROM flags GROUP BY id",
     "local_cluster_keys": f"{_CELLS} SELECT DISTINCT key FROM keyed",
     "same_point_edges": f"{_CELLS} SELECT a, b FROM same",

@@ -6,7 +6,7 @@ import pytest
 from gridloom import Params, density_clusters
 from gridloom.operators import density
 from gridloom.plans import summary
-from gridloom.plans.cells import Cells
+from gridloom.plans.cells import Cells, each_alone
 from tests import brute
 from tests.data import BOWS, frame
 
@@ -97,6 +97,26 @@ def test_cells_come_to_the_same_labels(spark, factor, merge):
     assert [r.cluster_id for r in rows] == brute.labels(points, params)[0]
 
 
+def test_each_cell_alone(spark):
+    points, params = cloud(13, 150, 2), Params(0.07, 5, cell_factor=2)
+    rows = each_alone(frame(spark, points), params).collect()
+    cells = {}
+    for r in rows:
+        cells.setdefault(r.cell_id, []).append(r)
+    assert sum(r.is_home for r in rows) == len(points) and len(cells) > 20
+    for members in cells.values():
+        members.sort(key=lambda r: r.id)
+        labels, core = brute.labels([points[r.id] for r in members], params)
+        assert [r.is_core for r in members] == core
+        roots = {}
+        for r, label in zip(members, labels):
+            assert (r.local_root is None) == (label < 0)
+            if label > 0:
+                assert roots.setdefault(label, r.local_root) == r.local_root
+        assert len(set(roots.values())) == len(roots)
+    assert each_alone(frame(spark, []), params).collect() == []
+
+
 def test_summary(spark):
     labelled, row = summary.run(frame(spark, BOWS), Params(0.18, 3), "r1", "bows")
     row = row.first()
