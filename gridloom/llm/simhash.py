@@ -9,7 +9,9 @@
    pair of tiles is one group of bounded size, and such a group returns a spanning
    forest of its links instead of all of them: components keep each link between
    different fingerprints, and no list, however hot, meets in one task.
-3. Labels of nodes come from star contraction over the links, cut from their lineage
+3. With ``confirm``, links count only where sketches of the texts' shingles confirm them: the
+   more bits may differ, the more unrelated texts are close by chance.
+4. Labels of nodes come from star contraction over the links, cut from their lineage
    in the shared checkpoint folder each round.
 
 Rows: a null text counts as empty, an empty text has fingerprint zero, and rows with
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.lineage import cut
-from gridloom.llm.common import slices
+from gridloom.llm.common import near, slices
 from gridloom.operators.components import components
 
-#: Nodes of a list that is joined with itself; rows of a tile of a longer one.
-SMALL, TILE = 32, 2048
-#: Shingles of one text that are held as bits at a time.
-STRETCH = 8192
+#: Nodes of a list that is joined with itself; rows of a tile of a longer one; cost of comparing two nodes, in that of listing one.
+SMALL, TILE, PAIR_COST = 32, 2048, 0.02
+#: Shingles of one text that are held as bits at a time; hashes of a sketch.
+STRETCH, SKETCH = 8192, 128
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -66,26 +69,63 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(bits.view(">i8")[0])
 
 
-def fingerprints(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) of every row; ``width`` words to a shingle, repeats included."""
+def fingerprints(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", sketched: int | None = None) -> DataFrame:
+    """(id, fp long) of every row; ``width`` words to a shingle, repeats included. With ``sketched`` also the ``sketch`` of shingles of so many words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "t"):
             fps = [fingerprint(shingle_hashes(t, width)) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(fps, pa.int64())], ["k", "fp"])
+            columns = [part.column("k"), pa.array(fps, pa.int64())]
+            if sketched:
+                columns.append(pa.array([sketch(shingle_hashes(t or "", sketched)) for t in texts], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["k", "fp", "sketch"][: len(columns)])
 
     rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", id_col)
+    return rows.mapInArrow(run, f"k {kind}, fp long" + ", sketch binary" * bool(sketched)).withColumnRenamed("k", id_col)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """The ``SKETCH`` least distinct hashes."""
+    least = np.unique(hashes)[:SKETCH]
+    return least.astype(">u8").tobytes()
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """The Jaccard similarity of two sets of hashes, from their sketches; exact for sets that these hold whole."""
+    x, y = np.frombuffer(a, ">u8"), np.frombuffer(b, ">u8")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.union1d(x, y)[:SKETCH] if SKETCH in (len(x), len(y)) else np.union1d(x, y)
+    return len(np.intersect1d(np.intersect1d(x, y), both)) / len(both)
+
+
+def confirmed(found: DataFrame, marked: DataFrame, least: float) -> DataFrame:
+    """The links (a, b) whose texts resemble each other by ``least`` or more.
+
+    ``marked`` has the ``sketch`` of each text; equal fingerprints are one node, and one of its
+    texts speaks for all. A link meets the sketches of its ends in joins by fingerprint; a
+    sketch is of bounded size.
+    """
+    ends = cut(found.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    held = cut(marked.join(near(ends), "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch")))
+    both = found.join(held.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [resemblance(x, y) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def plan_blocks(nodes: int, distance: int, most: int = 12) -> int:
     """The number of runs that compares and lists fewest nodes, if bits were even. Any choice gives the same links."""
 
     def work(blocks: int) -> float:
-        lists = len(list(combinations(range(blocks), blocks - distance)))
+        lists = comb(blocks, distance)
         bits = 64 * (blocks - distance) / blocks
-        return lists * (4.0 * nodes + nodes * nodes / 2.0**bits)
+        return lists * (nodes + PAIR_COST * nodes * nodes / 2.0**bits)
 
     return min(range(distance + 1, most + 1), key=work)
 
@@ -150,11 +190,19 @@ def links(nodes: DataFrame, distance: int = 3, blocks: int | None = None) -> Dat
     return pairs.unionByName(tiles.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
-def near_duplicates(df: DataFrame, width: int = 5, distance: int = 3, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component): one row for each row of the input; the component's name is its least id."""
-    marked = cut(fingerprints(df, width, id_col, text_col))
+def near_duplicates(df: DataFrame, width: int = 5, distance: int = 3, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text", confirm: tuple[int, float] | None = None) -> DataFrame:
+    """(id, fp, component): one row for each row of the input; the component's name is its least id.
+
+    With ``confirm`` (words, similarity) links between different fingerprints count only if the
+    texts' shingles of so many words have that Jaccard similarity, estimated from sketches.
+    """
+    marked = cut(fingerprints(df, width, id_col, text_col, confirm and confirm[0]))
     nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
-    found = components(links(nodes, distance, blocks))
+    found = links(nodes, distance, blocks)
+    if confirm:
+        found = confirmed(cut(found), marked.select("fp", "sketch"), confirm[1])
+        marked = marked.drop("sketch")
+    found = components(found)
     named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = cut(named)
     # Each task's least ids come first, so that a large component is a row for each task; cut: AQE can split it in the joins.
@@ -168,7 +216,7 @@ def hexed(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_one(df: DataFrame, width: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, width: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", confirm: tuple[int, float] | None = None) -> DataFrame:
     """One row of each component, as it is: that of the least id (rows without id come last), and of equal rows any."""
     names = df.columns
     rows = df.toDF(*(f"c{k}" for k in range(len(names))))
@@ -176,7 +224,7 @@ def keep_one(df: DataFrame, width: int = 5, distance: int = 3, id_col: str = "do
     id_, text = (plain[names.index(c)] for c in (id_col, text_col))
     marks = F.xxhash64(id_, text), F.hash(id_, text)
     key = F.struct(F.col(id_).isNull().alias("without"), F.col(id_).alias("id"), marks[0].alias("a"), marks[1].alias("b"))
-    found = cut(near_duplicates(rows.select(key.alias("key"), F.col(text).alias("text")), width, distance, id_col="key", text_col="text"))
+    found = cut(near_duplicates(rows.select(key.alias("key"), F.col(text).alias("text")), width, distance, id_col="key", text_col="text", confirm=confirm))
     first = found.select("component.a", "component.b").distinct()
     rows = rows.withColumns({"a1": marks[0], "b1": marks[1]})
     if not found.groupBy("key").count().where("count > 1").isEmpty():

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 import sentencepiece
 
 import corpus_pipeline
-from gridloom.llm import entries, spm
+from gridloom.lineage import shared_dir
+from gridloom.llm import entries, simhash, spm
 from tests.llm.test_decontaminate import words
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash import brute_fingerprint
 
 SF_DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -39,7 +42,14 @@ def test_language(steps):
 
 def test_near_duplicates(steps):
     rows = sorted(steps[1], key=lambda r: (r.doc_id is None, r.doc_id))
-    root = brute_components([brute_fingerprint(r.text, 3) for r in rows], corpus_pipeline.BITS)
+    fps = [brute_fingerprint(r.text, 2) for r in rows]
+    grams = [simhash.sketch(simhash.shingle_hashes(r.text, 5)) for r in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if fps[i] == fps[j] or ((fps[i] ^ fps[j]).bit_count() <= corpus_pipeline.BITS and simhash.resemblance(grams[i], grams[j]) >= corpus_pipeline.ALIKE):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
     assert sorted(map(repr, steps[2])) == sorted(repr(rows[k]) for k in set(root))
 
 
@@ -82,7 +92,10 @@ def test_tokens(steps):
 
 
 def test_run(spark):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
     assert corpus_pipeline.run(spark, SF_DIR).count() > 100
+    assert len([p for p in set(folder.iterdir()) - before if len(p.name) == 32]) == 1  # what the last stage reads
     assert spm.read_model(entries.tokenizer_path())
 
 

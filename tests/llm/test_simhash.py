@@ -118,5 +118,40 @@ def test_empty_tables(spark):
     assert simhash.near_duplicates(none).collect() == simhash.keep_one(none).collect() == []
 
 
+def test_sketches_give_similarities():
+    rng = random.Random(1)
+    for n, share in ((50, 0.5), (100, 0.9), (3000, 0.8), (3000, 0.0)):
+        a = [rng.getrandbits(64) for _ in range(n)]
+        b = a[: int(n * share)] + [rng.getrandbits(64) for _ in range(n - int(n * share))]
+        want = len(set(a) & set(b)) / len(set(a) | set(b))
+        got = simhash.resemblance(simhash.sketch(np.array(a * 2, np.uint64)), simhash.sketch(np.array(b, np.uint64)))
+        assert got == want if n < simhash.SKETCH else abs(got - want) < 0.15
+    assert simhash.resemblance(b"", b"") == 1 and simhash.resemblance(b"", simhash.sketch(np.array([1], np.uint64))) == 0
+
+
+def near_copy(rng, words, n):
+    out = list(words)
+    for k in rng.sample(range(len(out)), n):
+        out[k] = "new" + str(rng.randrange(10**6))
+    return out
+
+
+def test_near_copies_are_caught_and_others_stay(spark):
+    """Five-word similarity of 0.8 or more: nine of ten go; unrelated texts of the same words all stay."""
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(300)]
+    base = [rng.choices(vocabulary, [1 / (k + 1) for k in range(300)], k=rng.randrange(150, 400)) for _ in range(150)]
+    copies = [near_copy(rng, w, max(1, len(w) // 60)) for w in base[:100]]
+
+    def similarity(a, b):
+        x, y = (set(zip(*(w[k:] for k in range(5)))) for w in (a, b))
+        return len(x & y) / len(x | y)
+
+    assert all(similarity(a, b) >= 0.8 for a, b in zip(base, copies))
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(base + copies)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(df, width=2, distance=8, confirm=(5, 0.6)).collect()}
+    assert set(range(150)) <= kept and len(kept) <= 160
+
+
 def test_plans_grow():
     assert [simhash.plan_blocks(10**k, 3) for k in (2, 5, 8, 10)] == sorted(simhash.plan_blocks(10**k, 3) for k in (2, 5, 8, 10))
