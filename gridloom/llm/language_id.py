@@ -47,7 +47,7 @@ from gridloom.llm.common import slices
 
 UNKNOWN = "und"
 #: Bytes of a piece, and in front of it and behind it; pieces read side by side; characters handled at a time.
-STEP, CONTEXT, LANES, SLICE = 128, 16, 512, 600_000
+STEP, CONTEXT, LANES, SLICE = 128, 16, 384, 600_000
 _BLANK = 32
 
 
@@ -135,8 +135,30 @@ class Direction:
     gates: np.ndarray  # (H, 2H)
     inner: np.ndarray  # (H, H)
 
+    def states(self, matrix: np.ndarray) -> np.ndarray:
+        """States (time, piece, H), of :meth:`run`, in memory that is made once."""
+        size, n = self.inner.shape[0], matrix.shape[1]
+        states = np.empty((*matrix.shape, size), np.float32)
+        x, zr, rh, c = (np.empty((n, k * size), np.float32) for k in (3, 2, 1, 1))
+        h = np.zeros((n, size), np.float32)
+        for t in range(len(matrix)):
+            np.take(self.byte, matrix[t], axis=0, out=x, mode="clip")
+            np.matmul(h, self.gates, out=zr)
+            zr += x[:, : 2 * size]
+            _sigmoid(zr)
+            np.multiply(zr[:, size:], h, out=rh)
+            np.matmul(rh, self.inner, out=c)
+            c += x[:, 2 * size :]
+            np.tanh(c, out=c)
+            new = states[t]
+            np.subtract(h, c, out=new)
+            new *= zr[:, :size]
+            new += c
+            h = new
+        return states
+
     def run(self, matrix: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States (time, piece, H)."""
+        """States (time, piece, H), and what training needs of them."""
         size = self.inner.shape[0]
         h = np.zeros((matrix.shape[1], size), np.float32)
         states, tape = np.empty((*matrix.shape, size), np.float32), []
@@ -217,6 +239,22 @@ class Network:
         p *= live[:, :, None]
         return (p, live, mirror, a, b, tape_a, tape_b) if keep else (p,)
 
+    def pooled(self, ahead: np.ndarray, behind: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """(piece, label): sums of :meth:`label` over positions; one label after the other lies in memory."""
+        hidden = self.ahead.inner.shape[0]
+        position = np.arange(len(ahead) - CONTEXT)[:, None]
+        live = position < size
+        a = self.ahead.states(ahead)[CONTEXT:].reshape(-1, hidden)
+        at = np.where(live, CONTEXT + size - 1 - position, 0) * len(size) + np.arange(len(size))
+        b = np.take(self.behind.states(behind).reshape(-1, hidden), at.ravel(), axis=0, mode="clip")
+        p = self.out[:hidden].T @ a.T
+        p += self.out[hidden:-1].T @ b.T
+        p += self.out[-1][:, None]
+        p -= p.max(axis=0)
+        np.exp(p, out=p)
+        p *= live.ravel() / p.sum(axis=0)
+        return p.reshape(-1, *live.shape).sum(axis=1, dtype=np.float64).T
+
     def gradients(self, ahead: np.ndarray, behind: np.ndarray, size: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Loss and gradients of the weighted mean cross-entropy over positions."""
         p, live, mirror, a, b, tape_a, tape_b = self.label(ahead, behind, size, keep=True)
@@ -247,8 +285,7 @@ class Network:
         sums = np.zeros((len(texts), len(self.languages) + 1))
         for some in pieces.batches():
             ahead, behind = pieces.matrices(read.data, read.edges, some)
-            (p,) = self.label(ahead, behind, pieces.size[some])
-            np.add.at(sums, pieces.owner[some], p.sum(axis=0, dtype=np.float64))
+            np.add.at(sums, pieces.owner[some], self.pooled(ahead, behind, pieces.size[some]))
         sizes = np.diff(read.edges)
         return [np.round(s / n, 6) if has else None for s, n, has in zip(sums, sizes.tolist(), read.lettered.tolist())]
 
