@@ -6,12 +6,12 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.lineage import cut
 
-#: Edges that may be brought to the driver, roots that one task may number, and edges whose minima are not cut.
+#: Edges that may be brought to the driver, roots that may be numbered there, and edges whose minima are not cut.
 DRIVER_EDGES, TASK_ROOTS, FEW_EDGES = 500_000, 200_000, 2_000_000
 
 
@@ -86,17 +86,18 @@ def components_on_driver(edges: DataFrame, strict: bool = False) -> DataFrame:
 
     More than ``DRIVER_EDGES`` edges are left to :func:`components`, or refused if ``strict``.
     """
-    edges = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if (n := edges.count()) > DRIVER_EDGES:
+    edges = edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    kind = edges.schema["a"].dataType.simpleString()
+    some = edges.limit(DRIVER_EDGES + 1)  # one job finds whether all fit, and brings them
+    held = some.toArrow() if kind in ("int", "bigint") else some.collect()
+    if len(held) > DRIVER_EDGES:
         if strict:
-            raise ValueError(f"{n} edges are too many for the driver; use merge='auto' or 'distributed'")
+            raise ValueError("the edges are too many for the driver; use merge='auto' or 'distributed'")
         return components(edges)
-    kind = edges.schema["a"].dataType.simpleString()
-    if kind in ("int", "bigint") and n:
-        held = edges.toArrow()
+    if kind in ("int", "bigint") and len(held):
         nodes, roots = rooted(held.column("a").to_numpy(), held.column("b").to_numpy())
         return edges.sparkSession.createDataFrame(pa.table({"node": nodes, "root": roots}))
-    found = UnionFind.of((r["a"], r["b"]) for r in edges.collect())
+    found = UnionFind.of((r["a"], r["b"]) for r in held) if len(held) else UnionFind()
     return edges.sparkSession.createDataFrame(found.roots(), f"node {kind}, root {kind}")
 
 
@@ -130,7 +131,9 @@ def numbered_roots(roots: DataFrame) -> DataFrame:
     """(root, cluster_id): distinct roots numbered from 1 in their order."""
     from gridloom.sources.points import numbered
 
-    roots = cut(roots.select("root").distinct())
-    if roots.count() <= TASK_ROOTS:
-        return roots.select("root", F.row_number().over(Window.orderBy("root")).alias("cluster_id"))
+    roots = roots.select("root").distinct()
+    few = sorted(tuple(r)[0] for r in roots.limit(TASK_ROOTS + 1).collect())
+    if len(few) <= TASK_ROOTS:
+        kind = roots.schema["root"].dataType.simpleString()
+        return roots.sparkSession.createDataFrame([(r, k) for k, r in enumerate(few, 1)], f"root {kind}, cluster_id int")
     return numbered(roots, ["root"], "place").select("root", (F.col("place") + 1).cast("int").alias("cluster_id"))
