@@ -5,9 +5,10 @@ a trie and encodes them by the shared-prefix forward pass of :mod:`.spm`. Nothin
 is shuffled; memory is bounded by the slice of rows in hand and a unit memory of
 fixed size.
 
-Rows: null texts give null ids, empty texts none. Repeated rows, ids that are null
-and further columns of the input make no difference; the results have the id column
-and the columns named here.
+Rows: null texts give null ids, empty texts none; texts of any length are encoded whole.
+Repeated rows, ids that are null and further columns of the input, of any name, make no
+difference; the results have the id column and the columns named here. Of merges that
+score alike the leftmost comes first, as in the library. No rows give no rows.
 """
 
 from __future__ import annotations
