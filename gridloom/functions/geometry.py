@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,9 +26,9 @@ def single(c: Column) -> Column:
     return c.cast("float").cast("double")
 
 
-def tile(coords: Column, side: float, dims: int) -> Column:
-    """The tile of side ``side`` that coordinates fall in, on the first ``dims`` dimensions."""
-    return F.array(*(F.floor(coords[i] / F.lit(side)) for i in range(dims)))
+def tile(coords: Column, side: float, axes: Sequence[int]) -> Column:
+    """The tile of side ``side`` that coordinates fall in, on some of the dimensions."""
+    return F.array(*(F.floor(coords[i] / F.lit(side)) for i in axes))
 
 
 def shifted(cell: Column, offset: tuple[int, ...]) -> Column:

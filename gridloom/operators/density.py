@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.geometry import squared_distance, tile
 from gridloom.lineage import cut
 from gridloom.operators.components import connected
-from gridloom.operators.neighbors import TILED, neighbor_pairs, offsets, spread
+from gridloom.operators.neighbors import TILED, neighbor_pairs, offsets, spread, tile_axes
 from gridloom.params import Params
 
 #: Tiles that a neighbour can be away, on each of up to three dimensions.
@@ -37,7 +37,7 @@ def side(params: Params, dims: int) -> float:
 
 
 def tiled(points: DataFrame, params: Params, dims: int) -> DataFrame:
-    return points.select("id", "coords", tile(F.col("coords"), side(params, dims), dims).alias("tile"))
+    return points.select("id", "coords", tile(F.col("coords"), side(params, dims), range(dims)).alias("tile"))
 
 
 def core_points(points: DataFrame, params: Params, dims: int) -> DataFrame:
@@ -128,9 +128,9 @@ def touching(flagged: DataFrame, rooted: DataFrame, params: Params, dims: int) -
     other = flagged.where(~F.col("is_core"))
     g = min(dims, TILED)
     if dims > TILED:
-        step = params.eps32 * 1.0001
-        other = other.withColumn("tile", tile(F.col("coords"), step, g))
-        rooted = rooted.withColumn("tile", tile(F.col("coords"), step, g))
+        step, axes = params.eps32 * 1.0001, tile_axes(flagged, dims)
+        other = other.withColumn("tile", tile(F.col("coords"), step, axes))
+        rooted = rooted.withColumn("tile", tile(F.col("coords"), step, axes))
     near = spread(other.select("id", "coords", "tile"), "tile", g, REACH if dims <= TILED else 1)
     left = near.select("id", F.col("coords").alias("ca"), "near")
     right = rooted.select(F.col("id").alias("core"), F.col("coords").alias("cb"), F.col("tile").alias("at"), "root")

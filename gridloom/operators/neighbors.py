@@ -14,6 +14,14 @@ from gridloom.params import Params
 TILED = 3
 
 
+def tile_axes(points: DataFrame, dims: int) -> list[int]:
+    """The dimensions that tiles are cut on: all, or the ones along which the points spread most."""
+    if dims <= TILED:
+        return list(range(dims))
+    wide = points.agg(*(F.stddev_pop(F.col("coords")[i]) for i in range(dims))).first()
+    return sorted(sorted(range(dims), key=lambda i: (-(wide[i] or 0.0), i))[:TILED])
+
+
 def offsets(dims: int, reach: int) -> list[tuple[int, ...]]:
     return list(product(range(-reach, reach + 1), repeat=dims))
 
@@ -31,18 +39,18 @@ def neighbor_pairs(points: DataFrame, params: Params, dims: int) -> DataFrame:
     Tiles have side eps. One side of the join goes to the tiles around its own, the
     other to its own only, so that each pair meets in one tile.
     """
-    g = min(dims, TILED)
-    tiled = points.withColumn("tile", tile(F.col("coords"), params.eps32 * 1.0001, g))
-    left = spread(tiled, "tile", g, 1).select(F.col("id").alias("a"), F.col("coords").alias("ca"), "near")
+    axes = tile_axes(points, dims)
+    tiled = points.withColumn("tile", tile(F.col("coords"), params.eps32 * 1.0001, axes))
+    left = spread(tiled, "tile", len(axes), 1).select(F.col("id").alias("a"), F.col("coords").alias("ca"), "near")
     right = tiled.select(F.col("id").alias("b"), F.col("coords").alias("cb"), "tile")
     return left.join(right, (F.col("near") == F.col("tile")) & (squared_distance(F.col("ca"), F.col("cb"), dims) <= params.eps2)).select("a", "b")
 
 
 def pairwise_distance(points: DataFrame, params: Params, dims: int) -> DataFrame:
     """(a, b, d2): pairs a < b within eps and their squared distance."""
-    g = min(dims, TILED)
-    tiled = points.withColumn("tile", tile(F.col("coords"), params.eps32 * 1.0001, g))
-    left = spread(tiled, "tile", g, 1).select(F.col("id").alias("a"), F.col("coords").alias("ca"), "near")
+    axes = tile_axes(points, dims)
+    tiled = points.withColumn("tile", tile(F.col("coords"), params.eps32 * 1.0001, axes))
+    left = spread(tiled, "tile", len(axes), 1).select(F.col("id").alias("a"), F.col("coords").alias("ca"), "near")
     right = tiled.select(F.col("id").alias("b"), F.col("coords").alias("cb"), "tile")
     d2 = squared_distance(F.col("ca"), F.col("cb"), dims)
     return left.join(right, (F.col("near") == F.col("tile")) & (F.col("a") < F.col("b")) & (d2 <= params.eps2)).select("a", "b", d2.alias("d2"))
