@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
@@ -51,7 +53,7 @@ _HELD: dict = {}
 
 
 def held(key: tuple, make: Callable[[], object]) -> object:
-    """What a worker keeps from task to task, of one operator at a time."""
+    """What a worker keeps from task to task, of one operator at a time (until another one calls :func:`slices`)."""
     if key not in _HELD:
         _HELD.clear()
         _HELD[key] = make()
@@ -91,11 +93,21 @@ class Memory:
         return here
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def trim() -> None:
+    """Give memory that is free back to the machine: workers live longer than tasks, and other processes need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_CHARS, keep: bool = False) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Cut Arrow batches into runs of rows whose texts hold about ``limit`` characters.
 
-    One row is the least; a text is never cut.
+    One row is the least; a text is never cut. What another operator holds is dropped, unless
+    ``keep`` says that it is the caller's own.
     """
+    if not keep:
+        _HELD.clear()
     for batch in batches:
         lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
         start, total = 0, 0
@@ -108,3 +120,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         if start < batch.num_rows:
             part = batch.slice(start)
             yield part, part.column(text).to_pylist()
+    trim()

@@ -72,7 +72,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(data)
-        for part, texts in slices(batches, "t"):
+        for part, texts in slices(batches, "t", keep=True):
             yield pa.RecordBatch.from_arrays([part.column("k"), _lists(encoder.encode(texts))], ["k", "ids"])
 
     rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
@@ -109,7 +109,7 @@ def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(data)
         decoder = Decoder(encoder.model)
-        for part, texts in slices(batches, "t"):
+        for part, texts in slices(batches, "t", keep=True):
             texts = [t or "" for t in texts]
             ids = encoder.encode(texts)
             back = [decoder.decode(i) for i in ids]

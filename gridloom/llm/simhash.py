@@ -38,10 +38,11 @@ from gridloom.lineage import cut
 from gridloom.llm.common import near, slices
 from gridloom.operators.components import components
 
-#: Nodes of a list that is joined with itself; rows of a tile of a longer one; cost of comparing two nodes, in that of listing one.
-SMALL, TILE, PAIR_COST = 32, 2048, 0.02
+#: Nodes of a list that is joined with itself; rows of a tile of a longer one; cost of comparing two nodes, in that of
+#: listing one (a fiftieth, times the 25 by which lists of real texts are more uneven than those of random bits).
+SMALL, TILE, PAIR_COST = 32, 2048, 0.5
 #: Shingles of one text that are held as bits at a time; hashes of a sketch.
-STRETCH, SKETCH = 8192, 128
+STRETCH, SKETCH = 8192, 64
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -161,14 +162,14 @@ def links(nodes: DataFrame, distance: int = 3, blocks: int | None = None) -> Dat
     """
     blocks = blocks or plan_blocks(nodes.count(), distance)
     masks = _keys(blocks, distance)
-    listed = nodes.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)))).alias("x")).select("fp", "x.choice", "x.bits")
-    sizes = listed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = cut(sizes)
-    kept = listed.join(sizes, ["choice", "bits"])
-    small = kept.where(F.col("n") <= SMALL).select("choice", "bits", "fp")
+    # A list is known by a hash of its choice and bits; should two have one hash, more nodes are compared.
+    listed = nodes.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)))).alias("list"))
+    sizes = cut(listed.groupBy("list").agg(F.count("*").cast("int").alias("n")).where("n > 1"))
+    kept = listed.join(sizes, "list")
+    small = kept.where(F.col("n") <= SMALL).select("list", "fp")
     pairs = (
         small.withColumnRenamed("fp", "a")
-        .join(small.withColumnRenamed("fp", "b"), ["choice", "bits"])
+        .join(small.withColumnRenamed("fp", "b"), "list")
         .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
         .select("a", "b")
     )
@@ -177,7 +178,7 @@ def links(nodes: DataFrame, distance: int = 3, blocks: int | None = None) -> Dat
     # The tile of a node is a hash of its bits, so that a recomputed task deals alike.
     long = kept.where(F.col("n") > SMALL).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(F.col("tile"), o).alias("lo"), F.greatest(F.col("tile"), o).alias("hi")))
-    dealt = long.withColumn("p", F.explode(others)).select("choice", "bits", "p.lo", "p.hi", "fp")
+    dealt = long.withColumn("p", F.explode(others)).select("list", "p.lo", "p.hi", "fp")
 
     def forest(table: pa.Table) -> pa.Table:
         fps = np.sort(table.column("fp").to_numpy())
@@ -186,7 +187,7 @@ def links(nodes: DataFrame, distance: int = 3, blocks: int | None = None) -> Dat
         b = np.fromiter((fps[j] for _, j in found), np.int64, len(found))
         return pa.table({"a": a, "b": b})
 
-    tiles = dealt.groupBy("choice", "bits", "lo", "hi").applyInArrow(forest, "a long, b long")
+    tiles = dealt.groupBy("list", "lo", "hi").applyInArrow(forest, "a long, b long")
     return pairs.unionByName(tiles.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 

@@ -320,7 +320,7 @@ def token_counts(df: DataFrame, model_path: str, limit: int = 4096, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = held(("counter", data), lambda: Counter(spm.Model.parse(data)))
-        for part, texts in slices(batches, "t", STRETCH):
+        for part, texts in slices(batches, "t", STRETCH, keep=True):
             sizes = pa.compute.binary_length(part.column("t")).fill_null(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("k"), sizes, pa.array(counter.counts(texts), pa.int64())], ["k", "n_bytes", "n_tokens"])
 
