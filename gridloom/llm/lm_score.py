@@ -4,9 +4,9 @@ A token is predicted in three factors:
 
     P(token | history) = P(class | features) * P(subclass | class, features) * P(token | class, subclass)
 
-* Features of the history: the word before, the pair of words before, and the word two
-  places back (a skip). They are hashed into rows of the weights of a softmax
-  over classes; the first two, each together with the class, into rows of those over its
+* Features of the history: the word before, the pair of words before, and the words two
+  and three places back (skips). They are hashed into rows of the weights of a softmax
+  over classes; the first three, each together with the class, into rows of those over its
   subclasses.
 * Classes: endings of words (their last three bytes, hashed) are clustered by the
   endings that follow them in the whole training text. The end of a text is a class
@@ -15,8 +15,8 @@ A token is predicted in three factors:
 * Within a subclass, a softmax whose weights are the logarithms of the corpus counts plus
   one, with one place for all unseen tokens. It sums to one.
 
-The number of rows grows with the corpus: one for each 64 distinct tokens counted in it,
-rounded to a power of two, 2 ** 15 at least and 2 ** ``most_bits`` at most (16 MB for each
+The number of rows grows with the corpus: one for each 32 distinct tokens counted in it,
+rounded to a power of two, 2 ** 14 at least and 2 ** ``most_bits`` at most (16 MB for each
 factor by default); beyond that, contexts share rows. The counts grow without a bound.
 
 Training is distributed: ``rounds`` slices of the training documents, dealt by a hash
@@ -59,8 +59,8 @@ from gridloom.llm.common import slices
 END, CELL, ROW, LONG = b"\xfe", b"\xfc", b"\xfd", b"\xff"
 #: Endings are dealt into so many groups, what follows them into so many, and beginnings into so many.
 ENDINGS, FOLLOWERS, BEGINNINGS = 2039, 32, 1021
-#: Distinct tokens that a task counts before it hands them on; tokens scored at a time; characters scanned at a time.
-FLUSH, BLOCK, SLICE = 200_000, 8192, 400_000
+#: Distinct tokens that a task counts before it hands them on; tokens scored at a time; tokens whose gradients are summed at a time; characters scanned at a time.
+FLUSH, BLOCK, HELD, SLICE = 200_000, 8192, 300_000, 400_000
 #: Bytes of a token that is its own key; groups of tasks whose gradients are added first.
 KEY_BYTES, GROUPS = 40, 1024
 #: Whole numbers that stand for a gradient of one, and for a logarithm of one.
@@ -133,14 +133,14 @@ class Scan:
         n = len(self.hashes)
         inside = np.arange(n) - np.repeat(self.first[:-1], np.diff(self.first))
         back = []
-        for k in (1, 2):
+        for k in (1, 2, 3):
             h = np.full(n, 7, np.uint64)
             h[k:] = self.hashes[:-k] if k <= n else 0
             h[inside < k] = 7
             back.append(h)
-        a, b = back
+        a, b, c = back
         with np.errstate(over="ignore"):
-            return [a, a * np.uint64(0xD6E8FEB86659FD93) ^ (b >> np.uint64(7)), b + np.uint64(0xE7037ED1A0B428DB)]
+            return [a, a * np.uint64(0xD6E8FEB86659FD93) ^ (b >> np.uint64(7)), b + np.uint64(0xE7037ED1A0B428DB), c + np.uint64(0x8EBC6AF09C88C6E3)]
 
 
 def _rows(feature: np.ndarray, extra: np.ndarray | int, bits: int) -> np.ndarray:
@@ -175,16 +175,29 @@ class Sums:
 
     top: np.ndarray  # (rows, classes + 1)
     low: np.ndarray  # (rows, subclasses + 1)
-
-    @staticmethod
-    def add(to: np.ndarray, rows: list[np.ndarray], p: np.ndarray, target: np.ndarray) -> None:
-        p *= np.float32(-UNIT)
-        q = np.rint(p, out=p).T.astype(np.float64)
-        q[target, np.arange(len(target))] += UNIT
-        for k, one in enumerate(q):
-            for r in rows:
-                to[:, k] += np.bincount(r, one, len(to))
-        to[:, -1] += np.bincount(np.concatenate(rows), minlength=len(to))
+    held: list[tuple] = field(default_factory=list)
+    count: int = 0
+
+    def add(self, *some: tuple[list[np.ndarray], np.ndarray, np.ndarray]) -> None:
+        """Rows, probabilities and targets of the tokens of a slice, for both softmaxes; summed when there are many."""
+        self.held.append(some)
+        self.count += len(some[0][2])
+        if self.count >= HELD:
+            self.flush()
+
+    def flush(self) -> None:
+        for to, parts in zip((self.top, self.low), zip(*self.held)):
+            target = np.concatenate([t for _, _, t in parts])
+            p = np.concatenate([p for _, p, _ in parts])
+            p *= np.float32(-UNIT)
+            np.rint(p, out=p)
+            p[np.arange(len(target)), target] += UNIT
+            for rows in zip(*(r for r, _, _ in parts)):  # of one feature
+                row = np.concatenate(rows)
+                for k in range(p.shape[1]):
+                    to[:, k] += np.bincount(row, p[:, k], len(to))
+                to[:, -1] += np.bincount(row, minlength=len(to))
+        self.held, self.count = [], 0
 
 
 @dataclass
@@ -208,7 +221,7 @@ class Model:
         features = scan.features()
         y, sub = self.classes[scan.ending], self.subs[scan.beginning]
         top = [_rows(f, 0, self.bits) for f in features]
-        low = [_rows(f, y, self.bits) for f in features[:2]]
+        low = [_rows(f, y, self.bits) for f in features[:3]]
         out = np.empty(len(y))
         p, q = np.empty((len(y), self.top.shape[1]), np.float32), np.empty((len(y), self.low.shape[1]), np.float32)
         for at in range(0, len(y), BLOCK):
@@ -219,8 +232,7 @@ class Model:
             out[part] = (one.astype(np.float64) + two) / math.log(10)
         if sums is not None:
             inner = y > 0
-            Sums.add(sums.top, top, p, y)
-            Sums.add(sums.low, [r[inner] for r in low], q[inner], sub[inner])
+            sums.add((top, p, y), ([r[inner] for r in low], q[inner], sub[inner]))
         return out
 
 
@@ -307,6 +319,7 @@ def gradients(train: DataFrame, model: Model, blocks: int, tasks: int, text_col:
             sent.value.factors(Scan.of(_lowered(texts)), sums)
             any_rows = True
         if any_rows:
+            sums.flush()
             joint = np.concatenate([sums.top, sums.low], axis=1).astype(np.int64)
             for k in range(blocks):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([joint[k * per : (k + 1) * per].tobytes()], pa.binary())], ["block", "sums"])
@@ -341,7 +354,7 @@ def _step(weights: np.ndarray, sums: np.ndarray, prior: np.ndarray, rate: float,
     weights += (rate * np.clip(sums[:, :-1] / UNIT / (curvature + ridge), -4, 4)).astype(np.float32)
 
 
-def fit(train: DataFrame, classes: int = 16, subclasses: int = 8, bits: int | None = None, most_bits: int = 18, rounds: int = 4, head: int = 200_000, step: float = 0.6, ridge: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+def fit(train: DataFrame, classes: int = 16, subclasses: int = 16, bits: int | None = None, most_bits: int = 18, rounds: int = 6, head: int = 200_000, step: float = 0.6, ridge: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model, and the table of the counts of all tokens (key, n). Without ``bits`` the number of rows follows from the distinct tokens."""
     counts = cut(corpus_counts(train, text_col))
     first = F.substring("key", 1, 1)
@@ -378,7 +391,7 @@ def fit(train: DataFrame, classes: int = 16, subclasses: int = 8, bits: int | No
         least = row["bin"]
     most = tokens.where(order >= (math.inf if least is None else least)).select("key", "n").toArrow()
     known = dict(zip(most.column("key").to_pylist(), most.column("n").to_pylist()))
-    bits = bits or min(most_bits, max(15, round(math.log2(totals["v"] + 1)) - 6))
+    bits = bits or min(most_bits, max(14, round(math.log2(totals["v"] + 1)) - 5))
     by_class = mass.sum(axis=1)
     bias = np.log((by_class + 1) / (by_class.sum() + classes)).astype(np.float32)
     low_bias = np.log((mass + 1) / (by_class + subclasses)[:, None]).astype(np.float32)
