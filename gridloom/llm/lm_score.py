@@ -41,6 +41,7 @@ fall into the head together or not at all.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -66,6 +67,7 @@ KEY_BYTES, GROUPS = 40, 1024
 #: Whole numbers that stand for a gradient of one, and for a logarithm of one.
 UNIT, LOG_UNIT = 1 << 12, 1 << 36
 
+_SOME_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _P = 0x9E3779B97F4A7C15
@@ -100,6 +102,22 @@ class Scan:
 
     @classmethod
     def of(cls, texts: list[bytes], hashed: bool = True) -> Scan:
+        """A long text (which is a slice of its own) is scanned in pieces that end at blanks: bytes need more room than tokens."""
+        if len(texts) != 1 or len(texts[0]) <= 2 * SLICE:
+            return cls._of(texts, hashed)
+        [text], parts, at = texts, [], 0
+        while at < len(text):
+            blank = _SOME_BLANK.search(text, at + SLICE)
+            end = blank.start() if blank else len(text)
+            one = cls._of([text[at:end]], hashed)
+            cut = len(one.hashes) - (end < len(text))  # the end counts once
+            parts.append((one.hashes[:cut], one.ending[:cut], one.beginning[:cut]))
+            at = end
+        hashes, ending, beginning = map(np.concatenate, zip(*parts))
+        return cls(hashes, ending, beginning, np.array([0, len(hashes)]))
+
+    @classmethod
+    def _of(cls, texts: list[bytes], hashed: bool) -> Scan:
         data = np.frombuffer(b" ".join([b"", *texts, b""]) if texts else b" ", np.uint8)
         word = ~_BLANK[data]
         starts = np.flatnonzero(word[1:] & ~word[:-1]) + 1
@@ -223,11 +241,13 @@ class Model:
         top = [_rows(f, 0, self.bits) for f in features]
         low = [_rows(f, y, self.bits) for f in features[:3]]
         out = np.empty(len(y))
-        p, q = np.empty((len(y), self.top.shape[1]), np.float32), np.empty((len(y), self.low.shape[1]), np.float32)
+        room = BLOCK if sums is None else len(y)
+        p, q = np.empty((room, self.top.shape[1]), np.float32), np.empty((room, self.low.shape[1]), np.float32)
         for at in range(0, len(y), BLOCK):
             part = slice(at, at + BLOCK)
-            one = _softmax(self.top, [r[part] for r in top], self.bias, y[part], p[part])
-            two = _softmax(self.low, [r[part] for r in low], self.low_bias[y[part]], sub[part], q[part])
+            here = slice(0, len(y[part])) if sums is None else part
+            one = _softmax(self.top, [r[part] for r in top], self.bias, y[part], p[here])
+            two = _softmax(self.low, [r[part] for r in low], self.low_bias[y[part]], sub[part], q[here])
             two[y[part] == 0] = 0  # the end has no subclasses
             out[part] = (one.astype(np.float64) + two) / math.log(10)
         if sums is not None:

@@ -43,6 +43,17 @@ def test_features_look_back_inside_a_text_only():
         assert p[4:].tolist() == q.tolist()
 
 
+def test_long_texts_are_scanned_in_pieces(monkeypatch):
+    texts = [b"word%d " % k * (k % 4) + b"\t" * (k % 3) for k in range(300)] + [b"x" * 500, b" " * 90, b"tail"]
+    for text in (b"".join(texts), b"y" * 400, b"a " * 300, b" " * 300):
+        whole = lm.Scan.of([text])
+        monkeypatch.setattr(lm, "SLICE", 50)
+        cut = lm.Scan.of([text])
+        monkeypatch.undo()
+        for a, b in zip((whole.hashes, whole.ending, whole.beginning, whole.first), (cut.hashes, cut.ending, cut.beginning, cut.first)):
+            assert a.tolist() == b.tolist()
+
+
 def model_of(rng, bits=6, classes=5, subs=3):
     label, sub = np.append(rng.integers(1, classes, lm.ENDINGS), 0), np.append(rng.integers(0, subs, lm.BEGINNINGS), 0)
     top, low = (rng.normal(0, 0.3, (1 << bits, n)).astype(np.float32) for n in (classes, subs))
