@@ -170,8 +170,8 @@ def _rows(feature: np.ndarray, extra: np.ndarray | int, bits: int) -> np.ndarray
     return (m >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _softmax(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, target: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the targets' probabilities; all probabilities go to ``p``.
+def _softmax(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, target: np.ndarray, p: np.ndarray, keep: bool = True) -> np.ndarray:
+    """Natural logarithms of the targets' probabilities; with ``keep`` all probabilities go to ``p``.
 
     Weights are bounded by the steps of training, so that no exponential is too large.
     """
@@ -183,7 +183,8 @@ def _softmax(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, targ
     mine = p[np.arange(len(target)), target]
     np.exp(p, out=p)
     total = p.sum(axis=1)
-    p /= total[:, None]
+    if keep:
+        p /= total[:, None]
     return mine - np.log(total)
 
 
@@ -246,8 +247,8 @@ class Model:
         for at in range(0, len(y), BLOCK):
             part = slice(at, at + BLOCK)
             here = slice(0, len(y[part])) if sums is None else part
-            one = _softmax(self.top, [r[part] for r in top], self.bias, y[part], p[here])
-            two = _softmax(self.low, [r[part] for r in low], self.low_bias[y[part]], sub[part], q[here])
+            one = _softmax(self.top, [r[part] for r in top], self.bias, y[part], p[here], sums is not None)
+            two = _softmax(self.low, [r[part] for r in low], self.low_bias[y[part]], sub[part], q[here], sums is not None)
             two[y[part] == 0] = 0  # the end has no subclasses
             out[part] = (one.astype(np.float64) + two) / math.log(10)
         if sums is not None:
@@ -340,7 +341,8 @@ def gradients(train: DataFrame, model: Model, blocks: int, tasks: int, text_col:
             any_rows = True
         if any_rows:
             sums.flush()
-            joint = np.concatenate([sums.top, sums.low], axis=1).astype(np.int64)
+            joint = np.concatenate([sums.top, sums.low], axis=1)
+            joint = joint.astype(np.int32 if np.abs(joint).max() < 1 << 31 else np.int64)
             for k in range(blocks):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([joint[k * per : (k + 1) * per].tobytes()], pa.binary())], ["block", "sums"])
 
@@ -348,7 +350,7 @@ def gradients(train: DataFrame, model: Model, blocks: int, tasks: int, text_col:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, s in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist()):
-                part = np.frombuffer(s, np.int64)
+                part = np.frombuffer(s, np.int32 if len(s) == 4 * per * (wide + narrow) else np.int64).astype(np.int64)
                 held[k] = held[k] + part if k in held else part
         for k, v in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(v.astype(np.float32) if last else v).tobytes()], pa.binary())], ["block", "sums"])
