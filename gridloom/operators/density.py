@@ -89,8 +89,11 @@ def _gap(a_low: Column, a_high: Column, b_low: Column, b_high: Column, dims: int
     return out
 
 
-def core_components(flagged: DataFrame, params: Params, dims: int) -> DataFrame:
-    """(id, coords, root) of the core points: root is the least core id of the component; with the tile as in ``core_points``."""
+def core_components(flagged: DataFrame, params: Params, dims: int, apart: int = 0) -> DataFrame:
+    """(id, coords, root) of the core points: root is the least core id of the component; with the tile as in ``core_points``.
+
+    Up to three dimensions, a tile may have ``apart`` more numbers: points that differ in these are no neighbours.
+    """
     core = flagged.where("is_core")
     if dims > TILED:
         pairs = neighbor_pairs(core.select("id", "coords"), params, dims).where("a < b")
@@ -98,7 +101,7 @@ def core_components(flagged: DataFrame, params: Params, dims: int) -> DataFrame:
         return core.join(found, core.id == found.node, "left").select("id", "coords", F.coalesce("root", "id").alias("root"))
     tiles = cut(_summaries(core, dims))
     half = [o for o in offsets(dims, REACH) if o > (0,) * dims]
-    steps = F.array(*(F.array(*(F.lit(x).cast("long") for x in o)) for o in half))
+    steps = F.array(*(F.array(*(F.lit(x).cast("long") for x in o + (0,) * apart)) for o in half))
     left = tiles.select("tile", "rep", "low", "high", "some", F.explode(F.transform(steps, lambda s: F.zip_with("tile", s, lambda a, b: a + b))).alias("near"))
     right = tiles.select(*(F.col(c).alias(f"{c}2") for c in tiles.columns))
     margin = params.eps2 * 1.000001  # of boxes only: points decide
@@ -123,15 +126,15 @@ def core_components(flagged: DataFrame, params: Params, dims: int) -> DataFrame:
     return core.join(named, "tile").select("id", "coords", "tile", "root")
 
 
-def touching(flagged: DataFrame, rooted: DataFrame, params: Params, dims: int) -> DataFrame:
-    """(id, core, root): core points within eps of each point that is not core."""
+def touching(flagged: DataFrame, rooted: DataFrame, params: Params, dims: int, apart: int = 0) -> DataFrame:
+    """(id, core, root): core points within eps of each point that is not core; ``apart`` as in ``core_components``."""
     other = flagged.where(~F.col("is_core"))
     g = min(dims, TILED)
     if dims > TILED:
         step, axes = params.eps32 * 1.0001, tile_axes(flagged, dims)
         other = other.withColumn("tile", tile(F.col("coords"), step, axes))
         rooted = rooted.withColumn("tile", tile(F.col("coords"), step, axes))
-    near = spread(other.select("id", "coords", "tile"), "tile", g, REACH if dims <= TILED else 1)
+    near = spread(other.select("id", "coords", "tile"), "tile", g, REACH if dims <= TILED else 1, apart=apart)
     left = near.select("id", F.col("coords").alias("ca"), "near")
     right = rooted.select(F.col("id").alias("core"), F.col("coords").alias("cb"), F.col("tile").alias("at"), "root")
     return left.join(right, (F.col("near") == F.col("at")) & (squared_distance(F.col("ca"), F.col("cb"), dims) <= params.eps2)).select("id", "core", "root")

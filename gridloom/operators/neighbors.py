@@ -26,9 +26,9 @@ def offsets(dims: int, reach: int) -> list[tuple[int, ...]]:
     return list(product(range(-reach, reach + 1), repeat=dims))
 
 
-def spread(df: DataFrame, cell: str, dims: int, reach: int, out: str = "near") -> DataFrame:
-    """Each row once for each tile that is up to ``reach`` tiles away."""
-    steps = F.array(*(F.array(*(F.lit(o).cast("long") for o in off)) for off in offsets(dims, reach)))
+def spread(df: DataFrame, cell: str, dims: int, reach: int, out: str = "near", apart: int = 0) -> DataFrame:
+    """Each row once for each tile that is up to ``reach`` tiles away; the last ``apart`` numbers of a tile stay."""
+    steps = F.array(*(F.array(*(F.lit(o).cast("long") for o in off + (0,) * apart)) for off in offsets(dims, reach)))
     near = F.transform(steps, lambda s: F.zip_with(F.col(cell), s, lambda a, b: a + b))
     return df.withColumn(out, F.explode(near))
 

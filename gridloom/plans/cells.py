@@ -14,11 +14,12 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.geometry import tile
 from gridloom.lineage import cut
 from gridloom.operators import components as graph
-from gridloom.operators.density import core_points
+from gridloom.operators.density import core_components, core_points, side, touching
 from gridloom.operators.grid import Grid, copies, grid_of
-from gridloom.operators.neighbors import neighbor_pairs
+from gridloom.operators.neighbors import TILED
 from gridloom.params import Params
 from gridloom.plans.clustering import density_clusters
 from gridloom.sources.points import dimensions
@@ -68,47 +69,66 @@ class Cells:
 
     @cached_property
     def flagged(self) -> DataFrame:
-        return cut(core_points(self.points, self.params, self.dims).select("id", "is_core"))
+        return cut(core_points(self.points, self.params, self.dims).select("id", "coords", "is_core"))
 
     @cached_property
-    def copies(self) -> DataFrame:
-        """(id, cell_id, is_home, is_core)."""
-        return cut(copies(self.points, self.grid).select("id", "cell_id", "is_home").join(self.flagged, "id"))
+    def places(self) -> DataFrame:
+        """(place, coords, is_core): distinct coordinates, under the least id that has them. Points that lie on each other share all that follows."""
+        return cut(self.flagged.groupBy("coords").agg(F.min("id").alias("place"), F.bool_or("is_core").alias("is_core")))
 
-    @cached_property
-    def links(self) -> DataFrame:
-        """(cell_id, a, b, b_core): neighbours that both have copies in a cell, a core."""
-        pairs = neighbor_pairs(self.points, self.params, self.dims).where("a != b")
-        a = self.copies.where("is_core").select(F.col("id").alias("a"), "cell_id")
-        b = self.copies.select(F.col("id").alias("b"), "cell_id", F.col("is_core").alias("b_core"))
-        return pairs.join(a, "a").join(b, ["b", "cell_id"]).select("cell_id", "a", "b", "b_core")
+    def expanded(self, rows: DataFrame) -> DataFrame:
+        """Rows of places (column ``place``), once for each of their points (column ``id``)."""
+        members = self.flagged.join(self.places.select("coords", "place"), "coords").select("id", "place")
+        return members.join(rows, "place").drop("place")
 
     @cached_property
-    def local(self) -> DataFrame:
-        """(cell_id, id, is_home, is_core, local_root): core copies with their component inside the cell.
+    def place_copies(self) -> DataFrame:
+        """(place, coords, cell_id, is_home, is_core)."""
+        found = copies(self.places.select(F.col("place").alias("id"), "coords"), self.grid).select(F.col("id").alias("place"), "coords", "cell_id", "is_home")
+        return cut(found.join(self.places.select("place", "is_core"), "place"))
 
-        Copies of points that are not core have a row for each local cluster that they
-        touch, and one with a null root where they touch none.
+    @property
+    def copies(self) -> DataFrame:
+        """(id, cell_id, is_home, is_core)."""
+        return self.expanded(self.place_copies.select("place", "cell_id", "is_home", "is_core"))
+
+    @cached_property
+    def local_places(self) -> DataFrame:
+        """(cell_id, place, is_home, is_core, local_root): core copies with their component inside the cell.
+
+        Copies of places that are not core have a row for each local cluster that they
+        touch, and one with a null root where they touch none. Tiles are those of
+        :mod:`gridloom.operators.density`, with the cell as one more number, so that no
+        list of pairs is made of a dense cell; beyond three dimensions, which have no such
+        tiles, cells are kept apart by one more coordinate.
         """
-        node = F.struct("cell_id", F.col("a").alias("id"))
-        edges = self.links.where("b_core and a < b").select(node.alias("a"), F.struct("cell_id", F.col("b").alias("id")).alias("b"))
-        found = graph.connected(edges, self.params.merge).select("node.cell_id", "node.id", F.col("root.id").alias("found"))
-        core = self.copies.where("is_core").join(found, ["cell_id", "id"], "left").select("cell_id", "id", "is_home", "is_core", F.coalesce("found", "id").alias("local_root"))
-        core = cut(core)
-        met = self.links.where("not b_core").select("cell_id", F.col("a").alias("core"), F.col("b").alias("id"))
-        met = met.join(core.select("cell_id", F.col("id").alias("core"), "local_root"), ["cell_id", "core"]).select("cell_id", "id", "local_root").distinct()
-        border = self.copies.where("not is_core").join(met, ["cell_id", "id"], "left").select("cell_id", "id", "is_home", "is_core", "local_root")
-        return cut(core.unionByName(border))
+        dims, c = self.dims, F.col("coords")
+        params = replace(self.params, merge="distributed" if self.params.merge == "distributed" else "auto")  # the driver's room is for the merge
+        rows = self.place_copies.withColumn("id", F.struct("cell_id", "place"))
+        if apart := int(dims <= TILED):
+            rows = rows.withColumn("tile", F.concat(tile(c, side(params, dims), range(dims)), F.array("cell_id")))
+        else:
+            rows, dims = rows.withColumn("coords", F.concat(c, F.array(F.col("cell_id") * F.lit(8 * params.eps32)))), dims + 1
+        rooted = cut(core_components(rows, params, dims, apart))
+        core = rows.where("is_core").select("id", "is_home", "is_core").join(rooted.select("id", "root"), "id")
+        met = touching(rows, rooted, params, dims, apart).select("id", "root").distinct()
+        border = rows.where("not is_core").select("id", "is_home", "is_core").join(met, "id", "left")
+        return cut(core.unionByName(border).select("id.cell_id", "id.place", "is_home", "is_core", F.col("root.place").alias("local_root")))
+
+    @property
+    def local(self) -> DataFrame:
+        """(cell_id, id, is_home, is_core, local_root): the same of all points."""
+        return self.expanded(self.local_places).select("cell_id", "id", "is_home", "is_core", "local_root")
 
     def keyed(self) -> DataFrame:
-        """(key, id, is_home, is_core): copies in a local cluster, by its name."""
-        return self.local.where("local_root is not null").select(key(F.col("cell_id"), F.col("local_root")).alias("key"), "id", "is_home", "is_core")
+        """(key, place, is_home, is_core): copies of places in a local cluster, by its name."""
+        return self.local_places.where("local_root is not null").select(key(F.col("cell_id"), F.col("local_root")).alias("key"), "place", "is_home", "is_core")
 
     def same_point_edges(self) -> DataFrame:
         """(a, b): local clusters of different cells that a core point has copies in; a star for each point."""
-        core = self.keyed().where("is_core").select("id", "key")
-        least = core.groupBy("id").agg(F.min("key").alias("a"))
-        return core.join(least, "id").where("key != a").select("a", F.col("key").alias("b")).distinct()
+        core = self.keyed().where("is_core").select("place", "key")
+        least = core.groupBy("place").agg(F.min("key").alias("a"))
+        return core.join(least, "place").where("key != a").select("a", F.col("key").alias("b")).distinct()
 
     @cached_property
     def merged(self) -> DataFrame:
@@ -119,12 +139,14 @@ class Cells:
     @cached_property
     def global_ids(self) -> DataFrame:
         """(key, cluster_id): components numbered from 1 by their least core id."""
-        named = self.merged.join(self.keyed().where("is_core"), "key").groupBy(F.col("root").alias("component")).agg(F.min("id").alias("root"))
+        first = self.keyed().where("is_core").groupBy("key").agg(F.min("place").alias("place"))
+        named = self.merged.join(first, "key").groupBy(F.col("root").alias("component")).agg(F.min("place").alias("root"))
         numbers = graph.numbered_roots(named)
         return cut(self.merged.join(named.withColumnRenamed("root", "least"), F.col("root") == F.col("component")).join(numbers.withColumnRenamed("root", "least"), "least").select("key", "cluster_id"))
 
     def point_to_global(self) -> DataFrame:
         """(id, cluster_id): the cluster of a point's core copies, else the least of its other copies', else -1."""
         met = self.keyed().join(self.global_ids, "key")
-        best = met.groupBy("id").agg(F.min(F.when(F.col("is_core"), F.col("cluster_id"))).alias("core"), F.min(F.when(~F.col("is_core"), F.col("cluster_id"))).alias("border"))
-        return self.points.select("id").join(best, "id", "left").select("id", F.coalesce("core", "border", F.lit(-1)).alias("cluster_id"))
+        best = met.groupBy("place").agg(F.min(F.when(F.col("is_core"), F.col("cluster_id"))).alias("core"), F.min(F.when(~F.col("is_core"), F.col("cluster_id"))).alias("border"))
+        rows = self.places.select("place").join(best, "place", "left").select("place", F.coalesce("core", "border", F.lit(-1)).alias("cluster_id"))
+        return self.expanded(rows).select("id", "cluster_id")

@@ -5,6 +5,7 @@ import pytest
 
 from gridloom import Params, density_clusters
 from gridloom.operators import density
+from gridloom.operators.components import UnionFind
 from gridloom.plans import summary
 from gridloom.plans.cells import Cells, each_alone
 from tests import brute
@@ -97,6 +98,52 @@ def test_cells_come_to_the_same_labels(spark, factor, merge):
     assert [r.cluster_id for r in rows] == brute.labels(points, params)[0]
 
 
+@pytest.mark.parametrize(("dims", "eps"), [(1, 0.02), (2, 0.07), (3, 0.15), (4, 0.3)])
+def test_local_clusters_are_those_of_brute_force(spark, dims, eps):
+    points, params = cloud(17, 90, dims), Params(eps, 4, cell_factor=2)
+    near, core = brute.neighbours(points, params), brute.labels(points, params)[1]
+    cells = Cells(frame(spark, points), params)
+    held, got = {}, {}
+    for r in cells.copies.collect():
+        held.setdefault(r.cell_id, []).append(r.id)
+    for r in cells.local.collect():
+        got.setdefault((r.cell_id, r.id), set()).add(r.local_root)
+    want = {}
+    for cell, ids in held.items():
+        inner = [i for i in ids if core[i]]
+        root = dict(UnionFind.of([(i, j) for i in inner for j in inner if near[i][j]]).roots())
+        for i in ids:
+            want[cell, i] = {root[i]} if core[i] else {root[j] for j in inner if near[i][j]} or {None}
+    assert got == want
+
+
+def test_the_drivers_room_is_not_for_pairs(spark):
+    """A cell of 1500 points on one place and 500 around it: more pairs than the driver takes edges."""
+    points = [(0.5, 0.5)] * 1500 + [(0.5 + k * 1e-5, 0.5) for k in range(500)] + [(0.9, 0.9)]
+    rows = Cells(frame(spark, points), Params(0.1, 5, merge="driver")).merged.collect()
+    assert len({r.root for r in rows}) == 1
+
+
+@pytest.mark.parametrize("step", ["keys", "edges", "local", "labels"])
+def test_cells_list_no_pairs(spark, monkeypatch, step):
+    from gridloom.plans import cells as module
+
+    def refuse(*_):
+        raise AssertionError("pairs of a dense cell")
+
+    monkeypatch.setattr(module, "neighbor_pairs", refuse, raising=False)
+    monkeypatch.setattr("gridloom.operators.density.neighbor_pairs", refuse)
+    cells = Cells(frame(spark, BOWS * 3), Params(0.18, 3))
+    if step == "keys":
+        assert cells.keyed().select("key").distinct().count() > 1
+    elif step == "edges":
+        assert {r.a < r.b for r in cells.same_point_edges().collect()} == {True}
+    elif step == "local":
+        assert {r.id for r in cells.local.collect()} == set(range(51))
+    else:
+        assert [r.cluster_id for r in cells.point_to_global().orderBy("id").collect()] == brute.labels(BOWS * 3, Params(0.18, 3))[0]
+
+
 def test_each_cell_alone(spark):
     points, params = cloud(13, 150, 2), Params(0.07, 5, cell_factor=2)
     rows = each_alone(frame(spark, points), params).collect()
