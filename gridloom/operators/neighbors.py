@@ -33,32 +33,51 @@ def spread(df: DataFrame, cell: str, dims: int, reach: int, out: str = "near", a
     return df.withColumn(out, F.explode(near))
 
 
-def neighbor_pairs(points: DataFrame, params: Params, dims: int) -> DataFrame:
-    """(a, b): every ordered pair of points within eps, each point with itself included.
+#: Points of one place that go as one list.
+TOGETHER = 1024
+
+
+def _listed(points: DataFrame) -> DataFrame:
+    """(coords, ids): the points of each place, in lists of bounded size."""
+    points = points.select("id", F.transform("coords", lambda x: x + F.lit(0.0)).alias("coords"))  # one zero
+    sizes = points.groupBy("coords").agg(F.ceil(F.count("*") / TOGETHER).alias("lists"))
+    rows = points.join(sizes, "coords")
+    return rows.groupBy("coords", F.pmod(F.xxhash64("id"), F.col("lists")).alias("list")).agg(F.collect_list("id").alias("ids")).select("coords", "ids")
+
+
+def _near_lists(points: DataFrame, params: Params, dims: int) -> tuple[DataFrame, Column]:
+    """(as_, bs, ca, cb): lists of points whose places are within eps, and the squared distance of these.
 
     Tiles have side eps. One side of the join goes to the tiles around its own, the
-    other to its own only, so that each pair meets in one tile.
+    other to its own only, so that each pair meets in one tile. A distance is taken once for
+    all points of two places.
     """
     axes = tile_axes(points, dims)
-    tiled = points.withColumn("tile", tile(F.col("coords"), params.eps32 * 1.0001, axes))
-    left = spread(tiled, "tile", len(axes), 1).select(F.col("id").alias("a"), F.col("coords").alias("ca"), "near")
-    right = tiled.select(F.col("id").alias("b"), F.col("coords").alias("cb"), "tile")
-    return left.join(right, (F.col("near") == F.col("tile")) & (squared_distance(F.col("ca"), F.col("cb"), dims) <= params.eps2)).select("a", "b")
+    tiled = _listed(points).withColumn("tile", tile(F.col("coords"), params.eps32 * 1.0001, axes))
+    left = spread(tiled, "tile", len(axes), 1).select(F.col("ids").alias("as_"), F.col("coords").alias("ca"), "near")
+    right = tiled.select(F.col("ids").alias("bs"), F.col("coords").alias("cb"), "tile")
+    d2 = squared_distance(F.col("ca"), F.col("cb"), dims)
+    return left.join(right, (F.col("near") == F.col("tile")) & (d2 <= params.eps2)), d2
+
+
+def neighbor_pairs(points: DataFrame, params: Params, dims: int) -> DataFrame:
+    """(a, b): every ordered pair of points within eps, each point with itself included."""
+    near, _ = _near_lists(points, params, dims)
+    return near.select("bs", F.explode("as_").alias("a")).select("a", F.explode("bs").alias("b"))
 
 
 def pairwise_distance(points: DataFrame, params: Params, dims: int) -> DataFrame:
     """(a, b, d2): pairs a < b within eps and their squared distance."""
-    axes = tile_axes(points, dims)
-    tiled = points.withColumn("tile", tile(F.col("coords"), params.eps32 * 1.0001, axes))
-    left = spread(tiled, "tile", len(axes), 1).select(F.col("id").alias("a"), F.col("coords").alias("ca"), "near")
-    right = tiled.select(F.col("id").alias("b"), F.col("coords").alias("cb"), "tile")
-    d2 = squared_distance(F.col("ca"), F.col("cb"), dims)
-    return left.join(right, (F.col("near") == F.col("tile")) & (F.col("a") < F.col("b")) & (d2 <= params.eps2)).select("a", "b", d2.alias("d2"))
+    near, d2 = _near_lists(points, params, dims)
+    rows = near.where(F.array_min("as_") < F.array_max("bs")).select("bs", d2.alias("d2"), F.explode("as_").alias("a"))
+    return rows.select("a", F.explode("bs").alias("b"), "d2").where("a < b")
 
 
 def neighbor_counts(points: DataFrame, params: Params, dims: int) -> DataFrame:
-    """(id, neighbors): points within eps of each point, itself included."""
-    return neighbor_pairs(points, params, dims).groupBy("a").agg(F.count("*").alias("neighbors")).withColumnRenamed("a", "id")
+    """(id, neighbors): points within eps of each point, itself included; no pair has a row."""
+    from gridloom.operators import counts
+
+    return counts.neighbor_counts(points, params, dims)
 
 
 def radius_search(points: DataFrame, centre: list[float], radius: float, dims: int) -> DataFrame:
