@@ -139,22 +139,40 @@ class Direction:
         """States (time, piece, H), of :meth:`run`, in memory that is made once."""
         size, n = self.inner.shape[0], matrix.shape[1]
         states = np.empty((*matrix.shape, size), np.float32)
-        x, zr, rh, c = (np.empty((n, k * size), np.float32) for k in (3, 2, 1, 1))
+        # Gates lie apart, so that all steps go over whole arrays. Sigmoids are 1 / (1 + exp(-x)) and tanh(x) is
+        # 1 - 2 / (1 + exp(2 x)), as numpy has a fast exponential; the factors of x are in the weights.
+        one, two = np.float32(1), np.float32(2)
+        bytes_z, bytes_r, bytes_c = (np.ascontiguousarray(self.byte[:, k * size : (k + 1) * size]) * w for k, w in enumerate((-one, -one, two)))
+        gate_z, gate_r = (-np.ascontiguousarray(self.gates[:, k * size : (k + 1) * size]) for k in range(2))
+        inner = self.inner * two
+        x, zr = np.empty((2, n, size), np.float32), np.empty((2, n, size), np.float32)
+        xc, c = np.empty((n, size), np.float32), np.empty((n, size), np.float32)
+        z, r = zr
         h = np.zeros((n, size), np.float32)
-        for t in range(len(matrix)):
-            np.take(self.byte, matrix[t], axis=0, out=x, mode="clip")
-            np.matmul(h, self.gates, out=zr)
-            zr += x[:, : 2 * size]
-            _sigmoid(zr)
-            np.multiply(zr[:, size:], h, out=rh)
-            np.matmul(rh, self.inner, out=c)
-            c += x[:, 2 * size :]
-            np.tanh(c, out=c)
-            new = states[t]
-            np.subtract(h, c, out=new)
-            new *= zr[:, :size]
-            new += c
-            h = new
+        with np.errstate(over="ignore"):  # an infinite exponential is a gate that is shut
+            for t in range(len(matrix)):
+                at = matrix[t].astype(np.intp)
+                bytes_z.take(at, 0, x[0], "clip")
+                bytes_r.take(at, 0, x[1], "clip")
+                bytes_c.take(at, 0, xc, "clip")
+                np.matmul(h, gate_z, out=z)
+                np.matmul(h, gate_r, out=r)
+                zr += x
+                np.exp(zr, out=zr)
+                zr += one
+                np.divide(one, zr, out=zr)
+                r *= h
+                np.matmul(r, inner, out=c)
+                c += xc
+                np.exp(c, out=c)
+                c += one
+                np.divide(-two, c, out=c)
+                c += one
+                new = states[t]
+                np.subtract(h, c, out=new)
+                new *= z
+                new += c
+                h = new
         return states
 
     def run(self, matrix: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:

@@ -163,3 +163,17 @@ def test_no_labels_and_no_rows(spark):
     assert [r.lang_pred for r in li.predict(docs, net).collect()] == ["und", "und"]
     assert li.keep(docs, net).collect() == []
     assert li.predict(docs.limit(0), net).collect() == []
+
+
+def test_states_are_those_of_training():
+    """The way without memory of its steps has the same states, and asks for no slow hyperbolic tangent."""
+    network = li.Network.fresh(["a", "b"], 16)
+    matrix = np.random.default_rng(2).integers(0, 256, (40, 30)).astype(np.uint8)
+    network.ahead.byte[:, :5] *= 100  # gates that are shut
+    want = network.ahead.run(matrix)[0]
+    tanh, np.tanh = np.tanh, None
+    try:
+        got = network.ahead.states(matrix)
+    finally:
+        np.tanh = tanh
+    assert np.isfinite(got).all() and np.abs(got - want).max() < 1e-5
