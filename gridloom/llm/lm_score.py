@@ -211,6 +211,7 @@ class Sums:
             p *= np.float32(-UNIT)
             np.rint(p, out=p)
             p[np.arange(len(target)), target] += UNIT
+            p = np.asfortranarray(p, np.float64)  # columns together and as bincount wants them, once for all features
             for rows in zip(*(r for r, _, _ in parts)):  # of one feature
                 row = np.concatenate(rows)
                 for k in range(p.shape[1]):
@@ -424,6 +425,7 @@ def fit(train: DataFrame, classes: int = 16, subclasses: int = 16, bits: int | N
     tasks = max(train.sparkSession.sparkContext.defaultParallelism, -(-train.select(text_col).rdd.getNumPartitions() // max(1, rounds)))
     for k in range(rounds if totals["n"] else 0):
         sums = gradients(train.where(slice_of == k), model, 16, tasks, text_col)
+        train.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of the round go when the driver drops its plan
         rate = step / (1 + 0.5 * k)
         _step(model.top, sums.top, np.exp(bias), rate, ridge)
         _step(model.low, sums.low, low_prior, rate, ridge)

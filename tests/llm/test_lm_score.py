@@ -194,3 +194,20 @@ def test_empty_tables(spark):
     assert lm.score(none, model, counts).collect() == []
     [row] = lm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model, counts).collect()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
+
+
+def test_gradients_are_summed_by_whole_columns(monkeypatch):
+    """Sums read each column as it lies in memory, in the kind that they are made in."""
+    from gridloom.llm import lm_score as module
+
+    rng = np.random.default_rng(5)
+    sums = module.Sums(np.zeros((8, 5), order="F"), np.zeros((8, 5), order="F"))
+    row, p, y = rng.integers(0, 8, 50), rng.random((50, 4), dtype=np.float32), rng.integers(0, 4, 50)
+    want = np.zeros((8, 4))
+    np.add.at(want, row, np.eye(4)[y] * module.UNIT - np.rint(p * np.float32(module.UNIT)))
+    plain, read = np.bincount, []
+    monkeypatch.setattr(np, "bincount", lambda x, w=None, n=0, minlength=0: (read.append(w), plain(x, w, n or minlength))[1])
+    sums.add(([row], p.copy(), y), ([row], p.copy(), y))
+    sums.flush()
+    assert all(w.dtype == np.float64 and w.flags.c_contiguous for w in read if w is not None)
+    assert (sums.top[:, :4] == want).all() and (sums.top[:, 4] == plain(row, minlength=8)).all()
